@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, reshard, simhash, warc
+from . import bpe, decontaminate, exact_dedup, reshard, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 #: Shards that documents lie in before op4, and after.
 OLD_SHARDS, NEW_SHARDS = 32, 40
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -30,16 +34,33 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.shard_documents(_table(spark, sf_dir, "documents"), OLD_SHARDS, NEW_SHARDS)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.round_trip(_table(spark, sf_dir, "pages")))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_sharding, op6_exact_dedup, op9_warc)}
+    every = (
+        op1_simhash, op2_bpe, op3_decontamination, op4_sharding, op5_token_counts, op6_exact_dedup, op7_substring_dedup, op9_warc, op10_suffix_array,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP3 = """
@@ -76,6 +97,19 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM plain WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
 
+_OP7 = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS m FROM win) WHERE m < doc_id),
+spots AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM gone) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, p, word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w)
+  ANTI JOIN (SELECT doc_id, unnest(ps) AS p FROM spots) USING (doc_id, p)
+), texts AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM kept GROUP BY doc_id)
+SELECT w.doc_id, cast(len(w.w) AS BIGINT) AS n_words, cast(coalesce(len(s.ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t.t, '')) AS kept_sha256
+FROM w LEFT JOIN spots s USING (doc_id) LEFT JOIN texts t USING (doc_id)
+"""
+
 _OP9 = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
@@ -88,4 +122,4 @@ FROM p LEFT JOIN f ON p.d = f.d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op6_exact_dedup": _OP6, "op9_warc": _OP9}
+    return {"op3_decontamination": _OP3, "op6_exact_dedup": _OP6, "op7_substring_dedup": _OP7, "op9_warc": _OP9}
