@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, reshard, simhash, substring_dedup, suffix_dedup, token_counts, warc
+from . import bpe, decontaminate, exact_dedup, quality, reshard, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 #: Shards that documents lie in before op4, and after.
 OLD_SHARDS, NEW_SHARDS = 32, 40
@@ -47,6 +47,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.round_trip(_table(spark, sf_dir, "pages")))
 
@@ -58,7 +63,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_simhash, op2_bpe, op3_decontamination, op4_sharding, op5_token_counts, op6_exact_dedup, op7_substring_dedup, op9_warc, op10_suffix_array,
+        op1_simhash, op2_bpe, op3_decontamination, op4_sharding, op5_token_counts, op6_exact_dedup, op7_substring_dedup, op8_quality, op9_warc, op10_suffix_array,
     )
     return {f.__name__: f for f in every}
 
