@@ -1,0 +1,118 @@
+"""Planning links, a folder and metadata for a note from its neighbours."""
+
+from __future__ import annotations
+
+import math
+import re
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+RRF_K, NEIGHBOURS, FOLDERS, CONSENSUS = 60, 15, 5, 3
+
+#: Confidence from which a link is put in the text, or among the related ones.
+INLINE, RELATED = 0.9, 0.6
+
+
+def query_texts(title: str, body: str, terms: list[str]) -> list[tuple[str, str]]:
+    """Channel and query of up to three searches; empty ones are left out."""
+    made = (("title", title[:100]), ("body", body[:300]), ("terms", " ".join(terms[:5])))
+    return [(c, q) for c, q in made if q.strip()]
+
+
+def neighbour_rrf(hits: DataFrame, own: str | None = None, most: int = NEIGHBOURS) -> DataFrame:
+    """note_id, rrf, best, channels of the notes that the channels found.
+
+    ``hits``: channel, note_id, rank (from 1), score.  The note itself and scores that are no
+    numbers are dropped; order is by sum, best score and id, all descending.
+    """
+    rows = hits.filter(~F.isnan("score") & F.col("score").isNotNull() & (F.abs("score") != float("inf")))
+    if own is not None:
+        rows = rows.filter(F.col("note_id") != own)
+    told = rows.groupBy("note_id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("rrf"), F.max("score").alias("best"), F.sort_array(F.collect_set("channel")).alias("channels"))
+    return told.orderBy(F.desc("rrf"), F.desc("best"), F.desc("note_id")).limit(most)
+
+
+def folder_consensus(neighbours: DataFrame, top: int = FOLDERS, least: int = CONSENSUS) -> DataFrame:
+    """folder and n, if ``least`` of the first ``top`` neighbours (by place) share one."""
+    told = neighbours.filter(F.col("place") <= top).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    return told.filter(F.col("n") >= least).orderBy(F.desc("n"), "folder").limit(1)
+
+
+def target_index(notes: DataFrame) -> DataFrame:
+    """key and path: title, stem, path, path without suffix; the first note in path order wins."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.md$", "")
+    names = F.array("title", stem, "path", F.regexp_replace("path", "\\.md$", ""))
+    rows = notes.select("path", F.posexplode(F.transform(names, lambda n: F.lower(F.trim(n)))).alias("rank", "key"))
+    w = Window.partitionBy("key").orderBy(F.split("path", "/"), "rank")
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("key", "path")
+
+
+def anchor_line(bodies: DataFrame) -> DataFrame:
+    """note_id and the first line (from 1) of ``body`` that holds ``anchor``."""
+    lines = bodies.select("note_id", "anchor", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    return lines.filter(F.contains("line", "anchor")).groupBy("note_id", "anchor").agg((F.min("pos") + 1).alias("line"))
+
+
+def confidence(value: object) -> float | None:
+    """A number from 0 to 1; null for anything else, truth values included."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or not 0 <= value <= 1:
+        return None
+    return float(value)
+
+
+def place(source: str, folder: str, consensus: str | None) -> str:
+    """Folder of the note: text from outside or the inbox goes where its neighbours are."""
+    fresh = source == "stdin" or folder == "Inbox" or folder.startswith("Inbox/")
+    return consensus if fresh and consensus else "Inbox" if source == "stdin" else folder
+
+
+def new_title(old: str, proposed: str | None) -> str | None:
+    """A proposed title that is safe as a file name and differs in more than signs."""
+    plain = (proposed or "").strip()
+    if not plain or re.search(r'[\\/:*?"<>|#^\[\]\x00-\x1f]', plain) or plain.startswith("."):
+        return None
+    bare = lambda t: re.sub(r"[^0-9a-z]+", "", t.lower())
+    return None if bare(plain) == bare(old) else plain
+
+
+def sort_links(proposed: list[dict], known: dict[str, str], linked: set[str], body: str) -> tuple[list[dict], list[dict], list[str]]:
+    """Inline links, related links and warnings of what a model proposes.
+
+    Unknown targets are warned of; those already linked are passed over; a low confidence
+    drops a link; without its anchor in the text, or below ``INLINE``, it is a related one.
+    """
+    inline: dict[str, dict] = {}
+    related: dict[str, dict] = {}
+    warnings = []
+    for p in proposed:
+        target, sure = known.get(str(p.get("target", "")).strip().lower()), confidence(p.get("confidence"))
+        if target is None:
+            warnings.append(f"unknown target: {p.get('target')}")
+        elif sure is None:
+            warnings.append(f"no confidence: {p.get('target')}")
+        elif target not in linked and sure >= RELATED:
+            anchor = str(p.get("anchor") or "")
+            row = {"path": target, "confidence": sure, "anchor": anchor}
+            if sure >= INLINE and anchor and anchor in body:
+                inline.setdefault(target, row)
+            else:
+                related.setdefault(target, row)
+    return list(inline.values()), [r for t, r in related.items() if t not in inline], warnings
+
+
+def metadata_patch(have: dict, proposed: dict, allowed: set[str]) -> dict:
+    """Fields to add: an allowed type if none is set, further aliases, a source if none is set."""
+    out = {}
+    if not have.get("type") and proposed.get("type") in allowed:
+        out["type"] = proposed["type"]
+    known = {a.lower() for a in have.get("aliases", [])}
+    if more := [a for a in dict.fromkeys(map(str, proposed.get("aliases") or [])) if a.strip() and a.lower() not in known]:
+        out["aliases"] = [*have.get("aliases", []), *more]
+    if not have.get("source_url") and str(proposed.get("source_url") or "").startswith(("http://", "https://")):
+        out["source_url"] = proposed["source_url"]
+    return out
+
+
+def overall(links: int, warnings: int) -> str:
+    return "high" if links and not warnings else "low" if warnings > 3 else "medium"

@@ -1,11 +1,718 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins.
+
+The star-schema tables are read as notes by ``sources.notes.notes_view``; planted relations
+cover what those tables do not hold.  Results are scalars or joined strings, rounded alike.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import backfill, chunking, dense, edits, enrich, evaluation, evidence, filters, fusion, health, lexical, links, ranking, stats, summaries, sync, synthesis
+from ..sources.notes import notes_view, table
+from . import hybrid, planted
+
+#: Words of the flagship query, the note whose vector goes with it, and the time that counts as now.
+QUERY, QUERY_NOTE, NOW = 'the ering "of the" tionea and ation', 1, "2024-02-01 00:00:00"
+TOP_K, RESULTS = 150, 10
+
+_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _Q[f.__name__] = (f, sql)
+        return f
+
+    return keep
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _Q.items() if s}
+
+
+# --- SQL parts ---------------------------------------------------------------------------------
+
+_NOTES = """
+notes_v AS (
+  SELECT d.doc_id, cast(d.doc_id AS VARCHAR) AS note_id, d.source || '/' || d.doc_id || '.md' AS path, d.source AS folder, d.lang AS note_type, [d.lang, d.source] AS tags,
+         d.text AS body, left(split_part(d.text, chr(10), 1), 80) AS title, CASE l.quality WHEN 1 THEN 'human' WHEN 0 THEN 'reference' ELSE '' END AS provenance, e.ts AS updated
+  FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN events e ON e.event_id = d.doc_id
+)"""
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+_NORM = "array_to_string(" + _WORDS + ", ' ')"
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_TOKENS = f"""
+toks AS (SELECT note_id, list_filter({_WORDS.format("body")}, lambda w: w NOT IN ({_STOP})) AS tokens FROM notes_v),
+tot AS (SELECT count(*) AS n_docs, sum(len(tokens)) / count(*) AS avg_len FROM toks),
+dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM toks) GROUP BY term),
+raws AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, tot),
+wts AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+
+
+def _terms_sql(terms: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(terms)) + ") AS q(k, term)"
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    return f"""
+tfs AS (SELECT note_id, q.k, q.term, len(tokens) AS dl, len(list_filter(tokens, lambda t: t = q.term)) AS tf FROM toks, {_terms_sql(terms)}),
+kw0 AS (
+  SELECT note_id, sum(CASE WHEN tf > 0 THEN coalesce(idf, 0) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_len)) ELSE 0 END) AS score
+  FROM tfs LEFT JOIN wts USING (term), tot GROUP BY note_id
+)"""
+
+
+_TERMS = lexical.query_terms(QUERY.replace('"', " "))
+_KW = f"""
+{_bm25_sql(_TERMS)},
+kw AS (SELECT note_id, score * (1 + 0.3 * cast(contains(' ' || {_NORM.format("body")} || ' ', ' of the ') AS INT)) AS keyword FROM kw0 JOIN notes_v USING (note_id))"""
+_DIST = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (cast(p[1] AS DOUBLE) - cast(p[2] AS DOUBLE)) * (cast(p[1] AS DOUBLE) - cast(p[2] AS DOUBLE))))"
+_SEM = f"""
+qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {QUERY_NOTE}),
+near AS (SELECT cast(vec_id AS VARCHAR) AS note_id, {_DIST.format(a="embedding", b="q")} AS distance FROM embeddings, qv)"""
+_CAND = f"""
+kt AS (SELECT note_id FROM kw ORDER BY keyword DESC, note_id LIMIT {TOP_K}),
+st AS (SELECT note_id, exp(-distance) + 1 AS semantic FROM near ORDER BY distance, note_id LIMIT {TOP_K}),
+cand AS (
+  SELECT n.*, k.keyword, coalesce(s.semantic, 0) AS semantic FROM notes_v n JOIN kw k USING (note_id) LEFT JOIN st s USING (note_id)
+  WHERE note_id IN (SELECT note_id FROM kt UNION SELECT note_id FROM st)
+)"""
+_MINMAX = "CASE WHEN max({0}) OVER () - min({0}) OVER () < 1e-12 THEN 0.5 ELSE ({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) END"
+
+
+def _rrf_sql(src: str, out: str, keep: str = "*") -> str:
+    return f"""
+{out}_r AS (SELECT *, rank() OVER (ORDER BY semantic DESC) + (count(*) OVER (PARTITION BY semantic) - 1) / 2 AS rs, rank() OVER (ORDER BY keyword DESC) + (count(*) OVER (PARTITION BY keyword) - 1) / 2 AS rk FROM {src}),
+{out}_s AS (SELECT *, 0.5 / (60 + rs) + 0.5 / (60 + rk) AS total FROM {out}_r),
+{out} AS (SELECT {keep}, {_MINMAX.format("total")} AS fused FROM {out}_s)"""
+
+
+_PLANTED = {"v_notes": planted.NOTES, "v_attach": planted.ATTACHMENTS, "v_scores": planted.SCORES, "v_labels": planted.LABELS, "v_groups": planted.GROUPS, "v_hits": planted.HITS, "v_front": planted.FRONT}
+
+
+def _planted(spark: SparkSession, name: str) -> DataFrame:
+    df = spark.sql(_PLANTED[name])
+    if name == "v_notes":
+        df = df.withColumn("body", F.replace("body", F.lit("\\n"), F.lit("\n"))).withColumn("aliases", F.filter(F.split("alias_list", "\\|"), lambda a: a != ""))
+    return df
+
+
+# --- scans and scalar functions ------------------------------------------------------------------
+
+
+@query(f"WITH {_NOTES} SELECT note_id, path, folder, note_type, title, provenance, updated, array_to_string(tags, ',') AS tags FROM notes_v")
+def notes_scan(spark, sf_dir):
+    return notes_view(spark, sf_dir).select("note_id", "path", "folder", "note_type", "title", "provenance", "updated", F.array_join("tags", ",").alias("tags"))
+
+
+_TAGGED = [(1, "has #ignore here"), (2, "not#ignore"), (3, "#ignored word"), (4, "#Ignore"), (5, "a #ignore-this"), (6, "x\t#ignore.")]
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, true)) AS t(k, ignored)")
+def ignore_tag_filter(spark, sf_dir):
+    return spark.createDataFrame(_TAGGED, "k int, body string").select("k", T.has_ignore_tag(F.col("body")).alias("ignored"))
+
+
+_HASH62 = "regexp_replace(array_to_string(list_transform(range(10, -1, -1), lambda k: substr('" + T.DIGITS + "', cast((v // pow62[k + 1]) % 62 AS BIGINT) + 1, 1)), ''), '^0+(.)', '\\1')"
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, md5(source || '/' || doc_id || '.md') AS m, {[62**k for k in range(11)]}::HUGEINT[] AS pow62 FROM documents),
+v AS (SELECT doc_id, pow62, list_reduce(list_transform(range(17, 33), lambda i: cast(instr('0123456789abcdef', substr(m, i, 1)) - 1 AS HUGEINT)), lambda a, b: a * 16 + b) AS v FROM h)
+SELECT doc_id, {_HASH62} AS note_hash FROM v
+""")
+def note_hash62(spark, sf_dir):
+    return notes_view(spark, sf_dir).select("doc_id", T.hash62(F.col("path")).alias("note_hash"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.sha256(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
+def normalize_no_punct(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS tokens FROM documents")
+def token_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+@query(f"""
+WITH {_NOTES}, {_TOKENS.split("tot AS")[0].rstrip().rstrip(",")},
+t AS (SELECT note_id, unnest(tokens) AS term, unnest(range(1, len(tokens) + 1)) AS pos FROM toks),
+c AS (SELECT note_id, term, count(*) AS n, min(pos) AS pos FROM t GROUP BY note_id, term),
+r AS (SELECT note_id, term, n, row_number() OVER (PARTITION BY note_id ORDER BY n DESC, pos) AS place FROM c)
+SELECT note_id, place, term, n FROM r WHERE place <= 5
+""")
+def top_terms(spark, sf_dir):
+    rows = lexical.top_terms(lexical.tokenized(notes_view(spark, sf_dir)), "note_id")
+    return rows.select("note_id", F.col("place").cast("long").alias("place"), "term", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(lower(left(split_part(text, chr(10), 1), 200)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 80), '^-|-$', '', 'g') AS slug FROM documents")
+def title_slugs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring(F.split("text", "\n")[0], 1, 200)).alias("slug"))
+
+
+@query("""
+SELECT * FROM (VALUES ('a/b.md', true), ('', false), ('/a', false), ('a//b', false), ('a/../b', false), ('./a', false), ('a\\b', false), ('a b/é.md', true)) AS t(path, ok)
+""")
+def path_validation(spark, sf_dir):
+    rows = [("a/b.md",), ("",), ("/a",), ("a//b",), ("a/../b",), ("./a",), ("a\\b",), ("a b/é.md",)]
+    return spark.createDataFrame(rows, "path string").select("path", T.valid_path(F.col("path")).alias("ok"))
+
+
+@query("SELECT doc_id, left(text, 700) AS excerpt, 'notes://open?vault=My%20Vault&file=' || source || '/' || doc_id AS link FROM documents")
+def evidence_excerpt(spark, sf_dir):
+    return notes_view(spark, sf_dir).select("doc_id", T.excerpt(F.col("body")).alias("excerpt"), T.deep_link("notes", F.lit("My Vault"), F.col("path")).alias("link"))
+
+
+@query(f"WITH {_NOTES} SELECT note_id, strftime(updated, '%Y-%m-%dT%H:%M:%SZ') AS utc_z, strftime(updated, '%Y-%m-%dT%H:%M:%S') AS local, strftime(updated, '%-d %b %Y') AS short FROM notes_v")
+def time_formats(spark, sf_dir):
+    notes = notes_view(spark, sf_dir)
+    ts = F.col("updated").cast("timestamp")
+    return notes.select("note_id", T.format_time(ts, "utc_z").alias("utc_z"), T.format_time(ts, "local").alias("local"), F.date_format(ts, "d MMM yyyy").alias("short"))
+
+
+# --- filters ---------------------------------------------------------------------------------------
+
+
+def _filtered(spark: SparkSession, sf_dir: str, keep: Column) -> DataFrame:
+    return notes_view(spark, sf_dir).filter(keep).select("note_id", "path")
+
+
+@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE folder = 'src1' OR starts_with(folder, 'src1/')")
+def folder_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir, filters.in_folder("src1"))
+
+
+@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE list_has_all(tags, ['en', 'src3'])")
+def tag_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir, filters.has_tags(["EN", "src3"]))
+
+
+@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE lower(note_type) = 'de'")
+def type_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir, filters.of_type("DE"))
+
+
+@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE provenance = 'human'")
+def provenance_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir, filters.of_provenance("human"))
+
+
+@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE updated BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
+def date_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir, filters.between("2024-01-10", "2024-01-20"))
+
+
+@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE contains(' ' || {_NORM.format('body')} || ' ', ' and the ') AND contains(' ' || {_NORM.format('body')} || ' ', ' is ')")
+def must_include(spark, sf_dir):
+    return _filtered(spark, sf_dir, filters.must_include(["and, the", "IS", "!"]))
+
+
+@query(f"""WITH {_NOTES} SELECT count(*) AS notes, count(DISTINCT folder) AS folders, count(updated) AS dated, count(*) FILTER (provenance = 'human') AS human,
+count(*) FILTER (provenance = 'reference') AS reference, (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM notes_v)) AS tags FROM notes_v""")
+def index_stats(spark, sf_dir):
+    return stats.index_stats(notes_view(spark, sf_dir))
+
+
+# --- lexical and dense -----------------------------------------------------------------------------
+
+
+@query(f"WITH {_NOTES}, {_TOKENS} SELECT term, df, round(idf, 6) AS idf FROM wts")
+def bm25_stats(spark, sf_dir):
+    return lexical.weights(lexical.tokenized(notes_view(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_NOTES}, {_TOKENS}, {_bm25_sql(['tion', 'ering', 'ation', 'tion', 'des'])} SELECT note_id, round(score, 6) AS keyword FROM kw0 ORDER BY score DESC, note_id LIMIT {TOP_K}")
+def bm25_topk(spark, sf_dir):
+    return lexical.search(notes_view(spark, sf_dir), "tion the of ering ation tion des", TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
+
+
+@query(f"WITH {_NOTES}, {_TOKENS}, {_KW} SELECT note_id, round(keyword, 6) AS keyword FROM kw ORDER BY keyword DESC, note_id LIMIT {TOP_K}")
+def bm25_phrase(spark, sf_dir):
+    return lexical.search(notes_view(spark, sf_dir), QUERY, TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
+
+
+@query()
+def bm25_stemmed(spark, sf_dir):
+    return lexical.search(notes_view(spark, sf_dir), "nationally relational and hoping", TOP_K, stemmed=True).select("note_id", F.round("keyword", 6).alias("keyword"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("note_id"), "embedding")
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).first()["embedding"])
+
+
+@query(f"WITH {_SEM} SELECT note_id, round(distance, 6) AS distance FROM near ORDER BY distance, note_id LIMIT 20")
+def knn_topk(spark, sf_dir):
+    return dense.nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20, "note_id").select("note_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_SEM} SELECT note_id, round(exp(-distance) + 1, 6) AS semantic FROM near")
+def semantic_score(spark, sf_dir):
+    d = dense.squared_distance(F.col("embedding"), dense.literal(_query_vector(spark, sf_dir)))
+    return _vectors(spark, sf_dir).select("note_id", F.round(dense.similarity(d), 6).alias("semantic"))
+
+
+@query(f"""
+WITH d AS (SELECT b.vec_id AS query_id, a.vec_id, {_DIST.format(a="a.embedding", b="b.embedding")} AS distance FROM embeddings a, embeddings b WHERE b.vec_id < 8)
+SELECT query_id, vec_id, place, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d) WHERE place <= 5
+""")
+def knn_batch(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = [(r.vec_id, list(r.embedding)) for r in rows.filter("vec_id < 8").orderBy("vec_id").collect()]
+    out = dense.nearest_batch(rows, asked, 5)
+    return out.select("query_id", "vec_id", F.col("place").cast("long").alias("place"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"""
+WITH {_SEM}, s AS (SELECT d.source AS folder, n.note_id, distance FROM near n JOIN documents d ON cast(d.doc_id AS VARCHAR) = n.note_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY distance, note_id) AS k FROM s)
+SELECT folder, note_id, round(distance, 6) AS distance FROM r WHERE k = 1
+""")
+def focus_section(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.col("doc_id").cast("string").alias("note_id"))
+    rows = _vectors(spark, sf_dir).join(docs, "note_id")
+    return dense.focus(rows, _query_vector(spark, sf_dir), "folder", "note_id").select("folder", "note_id", F.round("distance", 6).alias("distance"))
+
+
+# --- fusion and ranking ------------------------------------------------------------------------------
+
+
+def _scores(spark: SparkSession) -> DataFrame:
+    return _planted(spark, "v_scores").select("note_id", F.col("semantic").cast("double").alias("semantic"), F.col("keyword").cast("double").alias("keyword"))
+
+
+_VS = "v_scores AS (SELECT note_id, cast(semantic AS DOUBLE) AS semantic, cast(keyword AS DOUBLE) AS keyword FROM (" + planted.SCORES + "))"
+
+
+@query(f"WITH {_VS}, {_rrf_sql('v_scores', 'f')} SELECT note_id, round(fused, 6) AS fused FROM f")
+def rrf(spark, sf_dir):
+    return fusion.rrf(_scores(spark)).select("note_id", F.round("fused", 6).alias("fused"))
+
+
+_Z = "1 / (1 + exp(-({0} - avg({0}) OVER ()) / stddev_pop({0}) OVER ()))"
+
+
+@query(f"WITH {_VS} SELECT note_id, round(0.5 * ({_Z.format('semantic')}) + 0.5 * ({_Z.format('keyword')}), 6) AS fused FROM v_scores")
+def zsigmoid(spark, sf_dir):
+    return fusion.z_sigmoid(_scores(spark)).select("note_id", F.round("fused", 6).alias("fused"))
+
+
+@query(f"WITH {_VS} SELECT note_id, round(0.5 * ({_MINMAX.format('semantic')}) + 0.5 * ({_MINMAX.format('keyword')}), 6) AS fused FROM v_scores")
+def minmax_fusion(spark, sf_dir):
+    return fusion.min_max_fusion(_scores(spark)).select("note_id", F.round("fused", 6).alias("fused"))
+
+
+def _search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    options = {k: more.pop(k) for k in ("allowed", "now", "mixed", "provider") if k in more}
+    params = ranking.SearchParams(top_k=TOP_K, n_results=RESULTS, **more)
+    # The query's vector is a scalar subquery, so the search is one plan and starts no job.
+    asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).select("embedding").scalar()
+    notes = notes_view(spark, sf_dir).withColumn("group_id", F.col("folder"))
+    return hybrid.retrieve(notes, _vectors(spark, sf_dir), QUERY, asked, params, **options)
+
+
+_HYBRID = f"WITH {_NOTES}, {_TOKENS}, {_KW}, {_SEM}, {_CAND}, {_rrf_sql('cand', 'f')}"
+
+
+@query(f"""{_HYBRID} SELECT note_id, path, round(semantic, 4) AS semantic, round(keyword, 4) AS keyword, round(fused, 4) AS final, row_number() OVER (ORDER BY fused DESC, note_id) AS place
+FROM f ORDER BY fused DESC, note_id LIMIT {RESULTS}""")
+def hybrid_search(spark, sf_dir):
+    out = _search(spark, sf_dir)
+    return out.select("note_id", "path", *(F.round(c, 4).alias(c) for c in ("semantic", "keyword", "final")), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_NOTES}, {_TOKENS}, {_KW}, {_SEM}, {_CAND}, allowed AS (SELECT * FROM cand WHERE note_type = 'en' AND updated >= TIMESTAMP '2024-01-01'), {_rrf_sql('allowed', 'f')}
+SELECT note_id, round(fused, 4) AS final FROM f ORDER BY fused DESC, note_id LIMIT {RESULTS}""")
+def hybrid_filtered(spark, sf_dir):
+    return _search(spark, sf_dir, allowed=filters.scope(note_type="en", since="2024-01-01")).select("note_id", F.round("final", 4).alias("final"))
+
+
+@query(f"""{_HYBRID}, c AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY fused DESC, note_id) AS k FROM f)
+SELECT note_id, folder, round(fused, 4) AS final FROM c WHERE k <= 3 ORDER BY fused DESC, note_id LIMIT {RESULTS}""")
+def mixed_cap(spark, sf_dir):
+    return _search(spark, sf_dir, mixed=True).select("note_id", "folder", F.round("final", 4).alias("final"))
+
+
+def _by_length(texts: list[str]) -> list[float]:
+    return [1 / (1 + len(t)) for t in texts]
+
+
+@query(f"""{_HYBRID}, p AS (SELECT *, row_number() OVER (ORDER BY fused DESC, note_id) AS k FROM f), r AS (SELECT *, CASE WHEN k <= 30 THEN 1 / (1 + length(body)) END AS reranker FROM p),
+o AS (SELECT *, row_number() OVER (ORDER BY reranker DESC NULLS LAST, note_id) AS rr FROM r)
+SELECT note_id, round(coalesce(reranker, fused), 6) AS final, CASE WHEN reranker IS NOT NULL THEN rr END AS rerank_rank FROM o ORDER BY coalesce(reranker, fused) DESC, fused DESC, note_id LIMIT {RESULTS}""")
+def rerank_pool(spark, sf_dir):
+    return _search(spark, sf_dir, provider=_by_length).select("note_id", F.round("final", 6).alias("final"), F.col("rerank_rank").cast("long").alias("rerank_rank"))
+
+
+@query(f"WITH {_VS} SELECT note_id, round(1 - (row_number() OVER (ORDER BY keyword DESC, note_id) - 1) / greatest(count(*) OVER () - 1, 1) * 0.5, 6) AS rank_score FROM v_scores")
+def rank_scores(spark, sf_dir):
+    return ranking.rank_scores(_scores(spark), "keyword", "note_id").select("note_id", F.round("rank_score", 6).alias("rank_score"))
+
+
+_FRESH = f"coalesce(exp(-greatest(floor(date_diff('microsecond', updated, TIMESTAMP '{NOW}') / 86400000000), 0) / 180), 0)"
+
+
+@query(f"WITH {_NOTES} SELECT note_id, round({_FRESH}, 6) AS freshness FROM notes_v")
+def freshness(spark, sf_dir):
+    return notes_view(spark, sf_dir).select("note_id", F.round(ranking.freshness(F.col("updated"), F.lit(NOW).cast("timestamp"), 180), 6).alias("freshness"))
+
+
+@query(f"""{_HYBRID}, o AS (SELECT *, {_FRESH} AS fr, row_number() OVER (ORDER BY fused DESC, note_id) AS k, count(*) OVER () AS n FROM f),
+b AS (SELECT greatest(0, max(CASE WHEN k = least(n, {RESULTS}) THEN fused END) - max(CASE WHEN k = least(n, {RESULTS} + 3) THEN fused END)) AS lam FROM o)
+SELECT note_id, round(lam, 6) AS budget, round(fused + lam * fr, 6) AS final FROM o, b ORDER BY fused + lam * fr DESC, fused DESC, note_id LIMIT {RESULTS}""")
+def recency_geometry(spark, sf_dir):
+    out = _search(spark, sf_dir, recency="geometry", recency_budget=3, now=F.lit(NOW).cast("timestamp"))
+    return out.select("note_id", F.round("budget", 6).alias("budget"), F.round("final", 6).alias("final"))
+
+
+@query(f"""{_HYBRID}, o AS (SELECT *, fused * 0.5 + fused * (1 + {_FRESH}) * 0.5 AS final FROM f)
+SELECT note_id, round(final, 6) AS final FROM o ORDER BY o.final DESC, fused DESC, note_id LIMIT {RESULTS}""")
+def recency_multiplicative(spark, sf_dir):
+    return _search(spark, sf_dir, recency="multiplicative", now=F.lit(NOW).cast("timestamp")).select("note_id", F.round("final", 6).alias("final"))
+
+
+# --- evidence -----------------------------------------------------------------------------------------
+
+_ZED = "CASE WHEN stddev_pop({0}) OVER () < 1e-9 THEN 0 ELSE ({0} - avg({0}) OVER ()) / stddev_pop({0}) OVER () END"
+
+
+@query(f"""WITH {_VS}, z AS (SELECT note_id, CASE note_id WHEN 'a' THEN 2 WHEN 'b' THEN 7 END AS rr, {_ZED.format('keyword')} AS k, {_ZED.format('semantic')} AS s FROM v_scores)
+SELECT note_id, CASE WHEN rr <= 3 THEN 'reranked into top ' || rr || ' for this query' WHEN k > s THEN 'strong keyword match' WHEN s > k THEN 'strong semantic match' ELSE 'combined keyword+semantic signal' END AS why FROM z""")
+def evidence_why(spark, sf_dir):
+    rows = _scores(spark).withColumn("rerank_rank", F.when(F.col("note_id") == "a", 2).when(F.col("note_id") == "b", 7))
+    return evidence.why(rows).select("note_id", "why")
+
+
+@query(f"WITH {_VS} SELECT note_id, round((keyword - min(keyword) OVER ()) / CASE WHEN max(keyword) OVER () = min(keyword) OVER () THEN 1 ELSE max(keyword) OVER () - min(keyword) OVER () END * 100, 0) AS bar FROM v_scores")
+def display_bars(spark, sf_dir):
+    return _scores(spark).select("note_id", evidence.bars("keyword").alias("bar"))
+
+
+@query(f"""WITH {_NOTES}, p AS (SELECT *, row_number() OVER (ORDER BY updated DESC, note_id) - 1 AS k FROM notes_v WHERE updated IS NOT NULL)
+SELECT 'S' || k AS key, note_id, '<source key="S' || k || '" path="' || path || '"' || CASE WHEN provenance IN ('distilled', 'reference', 'llm') THEN ' provenance="' || provenance || '"' ELSE '' END
+  || '>' || chr(10) || left(body, 700) || chr(10) || '</source>' AS block FROM p WHERE k < 8""")
+def context_block(spark, sf_dir):
+    top = notes_view(spark, sf_dir).filter("updated IS NOT NULL").orderBy(F.desc("updated"), "note_id").limit(8)
+    return evidence.context(top, [F.desc("updated"), F.col("note_id")])
+
+
+@query(f"""{_HYBRID}, k AS (SELECT note_id, row_number() OVER (ORDER BY keyword DESC, note_id) AS rank, keyword AS score FROM kw), s AS (SELECT note_id, row_number() OVER (ORDER BY distance, note_id) AS rank, exp(-distance) + 1 AS score FROM near),
+h AS (SELECT 'title' AS channel, * FROM k WHERE rank <= 30 UNION ALL SELECT 'body', * FROM s WHERE rank <= 30),
+t AS (SELECT note_id, sum(1 / (60 + rank)) AS rrf, max(score) AS best, string_agg(channel, ',' ORDER BY channel) AS channels FROM h WHERE note_id <> '{QUERY_NOTE}' GROUP BY note_id)
+SELECT note_id, round(rrf, 6) AS rrf, round(best, 6) AS best, channels FROM t ORDER BY t.rrf DESC, t.best DESC, note_id DESC LIMIT 15""")
+def neighbor_rrf(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("note_id", F.round("rrf", 6).alias("rrf"), F.round("best", 6).alias("best"), F.array_join("channels", ",").alias("channels"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lexical.search(notes_view(spark, sf_dir), QUERY, 30).select(F.lit("title").alias("channel"), "note_id", F.col("keyword").alias("score"))
+    near = dense.nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 30, "note_id").select(F.lit("body").alias("channel"), "note_id", dense.similarity(F.col("distance")).alias("score"))
+    hits = words.unionByName(near)
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), "note_id")))
+    return enrich.neighbour_rrf(hits, own=str(QUERY_NOTE))
+
+
+@query("SELECT * FROM (VALUES ('src1', 3)) AS t(folder, n)")
+def folder_consensus(spark, sf_dir):
+    rows = [("src1", 1), ("src2", 2), ("src1", 3), ("src3", 4), ("src1", 5), ("src3", 6), ("src3", 7)]
+    return enrich.folder_consensus(spark.createDataFrame(rows, "folder string, place int")).select("folder", F.col("n").cast("int").alias("n"))
+
+
+# --- links and health ------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, href, n FROM (SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id, href)""")
+def page_links(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return rows.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT url AS path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
+u AS (SELECT * FROM l WHERE target NOT IN (SELECT url FROM pages))
+SELECT target, count(*) AS links, count(DISTINCT path) AS sources FROM u GROUP BY target""")
+def dangling_targets(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select(F.col("url").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+    broken = found.join(pages.select(F.col("url").alias("target")).distinct(), "target", "left_anti")
+    return links.dangling(broken).select("target", "links", F.size("sources").cast("long").alias("sources"))
+
+
+def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    notes = _planted(spark, "v_notes")
+    return notes, links.resolve(links.body_links(notes), notes, _planted(spark, "v_attach"))
+
+
+_LINKS = f"""
+WITH RECURSIVE v_notes0 AS ({planted.NOTES}), v_notes AS (SELECT * REPLACE (replace(body, '\\n', chr(10)) AS body) FROM v_notes0), v_attach AS ({planted.ATTACHMENTS}),
+ln AS (SELECT path, unnest(string_split(body, chr(10))) AS text, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line FROM v_notes),
+st AS (SELECT *, sum(cast(starts_with(trim(text), '```') AS INT)) OVER (PARTITION BY path ORDER BY line) AS fences FROM ln),
+lk AS (SELECT path, line, trim(unnest(regexp_extract_all(regexp_replace(text, '`[^`]*`', '', 'g'), '\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1))) AS target FROM st WHERE fences % 2 = 0 AND NOT starts_with(trim(text), '```')),
+nm AS (
+  SELECT path, 1 AS rank, lower(title) AS key FROM v_notes UNION ALL SELECT path, 2, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '')) FROM v_notes
+  UNION ALL SELECT path, 3, lower(path) FROM v_notes UNION ALL SELECT path, 3, lower(regexp_replace(path, '\\.md$', '')) FROM v_notes
+  UNION ALL SELECT path, 4, lower(unnest(string_split(alias_list, '|'))) FROM v_notes WHERE alias_list <> ''
+), ky AS (SELECT key, path AS resolved FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, string_split(path, '/')) AS k FROM nm) WHERE k = 1),
+ak AS (SELECT DISTINCT unnest([lower(path), lower(regexp_extract(path, '[^/]*$')), lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', ''))]) AS key FROM v_attach),
+rs AS (SELECT lk.*, resolved, resolved IS NULL AND lower(target) IN (SELECT key FROM ak) AS attachment FROM lk LEFT JOIN ky ON lower(target) = key),
+ed AS (SELECT DISTINCT path AS src, resolved AS dst FROM rs WHERE resolved IS NOT NULL AND resolved <> path)
+"""
+
+
+@query(f"{_LINKS} SELECT path, line, target, resolved, attachment FROM rs")
+def resolve_links(spark, sf_dir):
+    return _graph(spark)[1].select("path", F.col("line").cast("long").alias("line"), "target", "resolved", "attachment")
+
+
+@query(f"{_LINKS} SELECT dst AS path, string_agg(src, ';' ORDER BY src) AS linked_from, count(*) AS n FROM ed GROUP BY dst")
+def backlinks(spark, sf_dir):
+    return links.backlinks(links.edges(_graph(spark)[1])).select("path", F.array_join("linked_from", ";").alias("linked_from"), "n")
+
+
+@query(f"{_LINKS} SELECT path FROM v_notes WHERE note_type <> 'distilled' AND path NOT IN (SELECT src FROM ed) AND path NOT IN (SELECT dst FROM ed)")
+def orphans(spark, sf_dir):
+    notes, resolved = _graph(spark)
+    return health.orphans(notes, links.edges(resolved))
+
+
+@query(f"{_LINKS} SELECT path, line, target FROM rs WHERE resolved IS NULL AND NOT attachment")
+def broken_links(spark, sf_dir):
+    return links.unresolved(_graph(spark)[1]).select("path", F.col("line").cast("long").alias("line"), "target")
+
+
+@query("SELECT * FROM (VALUES ('Distilled/Old.md', 'Areas/Gamma.md')) AS t(path, sources)")
+def stale_distilled(spark, sf_dir):
+    return health.stale_distilled(_planted(spark, "v_notes")).select("path", F.array_join("sources", ";").alias("sources"))
+
+
+@query("""SELECT sha256(text) AS content_hash, count(*) AS n, string_agg(source || '/' || doc_id || '.md', ';' ORDER BY source || '/' || doc_id || '.md') AS paths FROM documents GROUP BY text HAVING count(*) > 1""")
+def duplicate_content(spark, sf_dir):
+    rows = notes_view(spark, sf_dir).select("path", T.sha256(F.col("body")).alias("content_hash"))
+    return health.duplicate_ids(rows, "content_hash").select("content_hash", F.size("paths").cast("long").alias("n"), F.array_join("paths", ";").alias("paths"))
+
+
+@query(f"""{_LINKS.replace("WITH RECURSIVE", "WITH")}, g AS (SELECT lower(title) AS k, string_agg(path, ';' ORDER BY path) AS paths, arg_min(title, string_split(path, '/')) AS title, count(*) AS n FROM v_notes GROUP BY 1)
+SELECT title, paths FROM g WHERE n > 1""")
+def duplicate_titles(spark, sf_dir):
+    return health.duplicate_titles(_planted(spark, "v_notes")).select("title", F.array_join("paths", ";").alias("paths"))
+
+
+@query(f"{_LINKS} SELECT n.path, count(e.src) AS inbound FROM v_notes n LEFT JOIN ed e ON e.dst = n.path WHERE length(trim(n.body)) <= 20 GROUP BY n.path")
+def empty_notes(spark, sf_dir):
+    notes, resolved = _graph(spark)
+    return health.empty_notes(notes, links.edges(resolved))
+
+
+@query(f"""WITH v AS ({planted.NOTES}) SELECT path, concat_ws(',', CASE WHEN coalesce(trim(created), '') = '' THEN 'created' END, CASE WHEN coalesce(trim(updated), '') = '' THEN 'updated' END) AS missing
+FROM v WHERE coalesce(trim(created), '') = '' OR coalesce(trim(updated), '') = ''""")
+def missing_fields(spark, sf_dir):
+    return health.missing_fields(_planted(spark, "v_notes"), ("created", "updated")).select("path", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT * FROM (VALUES ('Projects/Beta.md', 'created', 'naive'), ('Projects/Beta.md', 'updated', 'unparseable'), ('Projects/Empty.md', 'created', 'unparseable'), ('Projects/Empty.md', 'updated', 'unparseable')) AS t(path, field, problem)")
+def invalid_timestamps(spark, sf_dir):
+    return health.invalid_timestamps(_planted(spark, "v_notes")).select("path", "field", "problem")
+
+
+@query(f"WITH v AS ({planted.NOTES}) SELECT path, provenance FROM v WHERE provenance IN ('reference', 'llm') AND coalesce(trim(source_url), '') = ''")
+def missing_source(spark, sf_dir):
+    return health.imported_missing_source(_planted(spark, "v_notes"))
+
+
+@query()
+def conflict_copies(spark, sf_dir):
+    return health.conflict_copies(_planted(spark, "v_notes"))
+
+
+@query()
+def health_summary(spark, sf_dir):
+    return health.summary(health.all_checks(_planted(spark, "v_notes"), _planted(spark, "v_attach")))
+
+
+# --- chunking ---------------------------------------------------------------------------------------------
+
+_LINE_WINDOWS = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+f AS (SELECT *, sum(cast(starts_with(trim(t), '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY line) AS fences FROM l),
+h AS (SELECT *, sum(cast(NOT starts_with(trim(t), '```') AND fences % 2 = 0 AND regexp_matches(t, '^#{1,3}\\s+') AS INT)) OVER (PARTITION BY doc_id ORDER BY line) AS part FROM f),
+w AS (SELECT *, cast(floor((sum(length(t) + 1) OVER (PARTITION BY doc_id, part ORDER BY line) - length(t) - 1) / 1000) AS BIGINT) AS win FROM h)
+SELECT doc_id, cast(part AS BIGINT) AS part, win, min(line) + 1 AS first_line, max(line) + 1 AS last_line, cast(sum(length(t) + 1) AS BIGINT) AS chars FROM w GROUP BY doc_id, part, win
+"""
+
+
+@query(_LINE_WINDOWS)
+def line_windows(spark, sf_dir):
+    out = chunking.line_windows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("part", "win", "first_line", "last_line", "chars")))
+
+
+@query()
+def block_chunks(spark, sf_dir):
+    rows = chunking.sections(notes_view(spark, sf_dir).select("note_id", "body"))
+    return rows.select("s.chunk_id", "s.heading", "s.line_start", "s.line_end", "s.token_count", T.sha256(F.col("s.text")).alias("text_sha256"))
+
+
+# --- sync and summaries -----------------------------------------------------------------------------------
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The notes as they are, and an index in which some are missing, older, moved or of another version."""
+    notes = notes_view(spark, sf_dir).select("doc_id", "note_id", "path", T.sha256(F.col("body")).alias("content_hash"))
+    disk = notes.filter("doc_id % 11 <> 3")
+    index = notes.filter("doc_id % 7 <> 2").select(
+        "note_id", F.when(F.col("doc_id") % 13 == 5, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when(F.col("doc_id") % 5 == 4, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("doc_id") % 17 == 6, 1).otherwise(2).alias("schema_version"),
+    )
+    return disk, index
+
+
+@query(f"""WITH {_NOTES}, x AS (SELECT doc_id, note_id, path, doc_id % 11 <> 3 AS d, doc_id % 7 <> 2 AS i, doc_id % 5 = 4 OR doc_id % 13 = 5 AS c, doc_id % 17 = 6 AS s,
+CASE WHEN doc_id % 13 = 5 THEN 'old/' || path ELSE path END AS old_path FROM notes_v)
+SELECT note_id, CASE WHEN d THEN path ELSE old_path END AS path, CASE WHEN NOT d THEN 'delete' WHEN NOT i THEN 'add' WHEN c OR s THEN 'update' ELSE 'unchanged' END AS action,
+CASE WHEN NOT d THEN 'delete' WHEN NOT i THEN 'add' WHEN c THEN 'update' WHEN s THEN 'rechunk' ELSE 'unchanged' END AS reason FROM x WHERE d OR i""")
+def sync_diff(spark, sf_dir):
+    return sync.plan(*_sides(spark, sf_dir))
+
+
+@query("WITH o AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0) SELECT count(*) FILTER (o.text IS NOT NULL) AS reused, count(*) FILTER (o.text IS NULL) AS needed FROM documents d LEFT JOIN o ON d.text = o.text")
+def embedding_reuse(spark, sf_dir):
+    fresh = table(spark, sf_dir, "documents").select("doc_id", T.sha256(F.col("text")).alias("entry_hash"))
+    kept = fresh.filter("doc_id % 2 = 0").withColumn("embedding", F.array(F.lit(0.0)))
+    return sync.reuse(fresh, kept)
+
+
+@query("SELECT lang || '-' || length(text) % 50 AS note_id, arg_min(source || '/' || doc_id || '.md', [source, doc_id || '.md']) AS path FROM documents GROUP BY 1")
+def note_dedupe(spark, sf_dir):
+    notes = notes_view(spark, sf_dir).withColumn("note_id", F.concat("note_type", F.lit("-"), (F.length("body") % 50).cast("string")))
+    return health.first_of_each(notes).select("note_id", "path")
+
+
+@query("""SELECT count(*) FILTER (doc_id % 3 = 0) AS ready, count(*) FILTER (doc_id % 3 = 1) AS stale, count(*) FILTER (doc_id % 3 = 2) AS missing, 1 AS orphaned,
+round(count(*) FILTER (doc_id % 3 = 0) / count(*), 4) AS coverage FROM documents""")
+def summary_status(spark, sf_dir):
+    notes = notes_view(spark, sf_dir)
+    done = summaries.fingerprinted(notes).filter("doc_id % 3 < 2")
+    have = done.select("note_id", F.when(F.col("doc_id") % 3 == 0, F.col("fingerprint")).otherwise("old").alias("source_fingerprint"))
+    have = have.unionByName(spark.createDataFrame([("gone", "x")], "note_id string, source_fingerprint string"))
+    out = summaries.coverage(summaries.status(notes, have))
+    return out.withColumn("orphaned", F.col("orphaned").cast("int"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------
+
+_EVAL = f"""
+WITH v_labels AS ({planted.LABELS}), v_groups AS ({planted.GROUPS}), v_hits AS ({planted.HITS}),
+m AS (SELECT h.query_id, h.rank, h.path, l.heading, row_number() OVER (PARTITION BY h.query_id, h.rank ORDER BY length(l.heading) DESC) AS k
+      FROM v_hits h JOIN v_labels l ON h.query_id = l.query_id AND h.path = l.path AND (l.heading = '' OR l.heading = h.heading)),
+c AS (SELECT l.query_id, l.path, l.heading, l.grade, min(m.rank) AS rank FROM v_labels l LEFT JOIN m ON m.k = 1 AND m.query_id = l.query_id AND m.path = l.path AND m.heading = l.heading GROUP BY ALL)
+"""
+
+
+def _claims(spark: SparkSession) -> DataFrame:
+    return evaluation.claims(_planted(spark, "v_labels"), _planted(spark, "v_hits"))
+
+
+_NDCG = """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, path, heading) AS place FROM c),
+s AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN grade / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN place <= 5 THEN grade / log2(place + 1) ELSE 0 END) AS ideal FROM o GROUP BY query_id)
+"""
+
+
+@query(f"{_EVAL}{_NDCG} SELECT query_id, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 4) AS ndcg FROM s")
+def ndcg(spark, sf_dir):
+    return evaluation.ndcg(_claims(spark)).select("query_id", F.round("ndcg", 4).alias("ndcg"))
+
+
+@query(f"""{_EVAL}, g AS (SELECT g.query_id, g.group_no, coalesce(bool_or(h.rank <= 5 AND (g.heading = '' OR g.heading = h.heading)), false) AS ok
+FROM v_groups g LEFT JOIN v_hits h ON h.query_id = g.query_id AND h.path = g.path GROUP BY ALL) SELECT query_id, round(avg(cast(ok AS INT)), 4) AS recall, bool_and(ok) AS complete FROM g GROUP BY query_id""")
+def group_recall(spark, sf_dir):
+    out = evaluation.group_recall(_planted(spark, "v_groups"), _planted(spark, "v_hits"))
+    return out.select("query_id", F.round("recall", 4).alias("recall"), "complete")
+
+
+@query(f"{_EVAL} SELECT query_id, round(coalesce(1 / min(CASE WHEN grade >= 3 THEN rank END), 0), 4) AS rr FROM c GROUP BY query_id")
+def mrr(spark, sf_dir):
+    return evaluation.reciprocal_rank(_claims(spark)).select("query_id", F.round("rr", 4).alias("rr"))
+
+
+@query(f"{_EVAL} SELECT query_id, path, heading, grade FROM c WHERE grade >= 2 AND rank IS NULL")
+def missed_evidence(spark, sf_dir):
+    return evaluation.missed(_claims(spark))
+
+
+@query("""WITH r AS (SELECT doc_id, lang AS category, [source, CASE WHEN n_chars > 1500 THEN 'long' ELSE 'short' END] AS slices, round(n_chars % 100 / 99, 4) AS m FROM documents),
+u AS (SELECT 'overall' AS kind, '' AS name, m FROM r UNION ALL SELECT 'category', category, m FROM r UNION ALL SELECT 'slice', unnest(slices), m FROM r)
+SELECT kind, name, count(*) AS n, round(avg(m), 4) AS score FROM u GROUP BY kind, name""")
+def eval_breakdown(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"), F.col("lang").alias("category"), F.array("source", F.when(F.col("n_chars") > 1500, "long").otherwise("short")).alias("slices"),
+        F.round(F.col("n_chars") % 100 / 99, 4).alias("score"),
+    )
+    return evaluation.breakdown(rows, ("score",))
+
+
+@query("SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'no document' WHEN quality NOT IN (0, 1) THEN 'quality' ELSE 'toxic' END AS problem FROM labels l LEFT JOIN documents d USING (doc_id) WHERE d.doc_id IS NULL OR quality NOT IN (0, 1) OR toxic <> 0")
+def label_validation(spark, sf_dir):
+    known = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("known"))
+    rows = table(spark, sf_dir, "labels").join(known, "doc_id", "left")
+    problem = F.when(F.col("known").isNull(), "no document").when(~F.col("quality").isin(0, 1), "quality").when(F.col("toxic") != 0, "toxic")
+    return rows.select("doc_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+# --- backfill, edits, answers -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH v AS ({planted.NOTES}) SELECT path, coalesce(nullif(provenance, ''), CASE WHEN note_type = 'distilled' THEN 'distilled' WHEN coalesce(trim(source_url), '') <> '' THEN 'reference' ELSE 'human' END) AS provenance,
+coalesce(provenance, '') = '' AS filled FROM v""")
+def provenance_backfill(spark, sf_dir):
+    return backfill.provenance(_planted(spark, "v_notes").withColumn("generated_by", F.lit(None).cast("string")))
+
+
+@query("""SELECT * FROM (VALUES ('p2', 'id', 'u2', 'uid', 'high'), ('p2', 'created', '2023-05-05', 'date', 'high'), ('p2', 'updated', '2023-07-01', 'last commit', 'high'),
+('p3', 'id', md5('p3'), 'minted', 'high'), ('p3', 'created', '2023-06-01', 'first commit', 'high'), ('p3', 'updated', '2024-03-01', 'modification time', 'low'),
+('p7', 'updated', '2024-05-01', 'created', 'low'), ('p8', 'id', md5('p8'), 'minted', 'high'), ('p8', 'created', '2022-02-02', 'birth time', 'medium'), ('p8', 'updated', '2024-03-01', 'modification time', 'low'))
+AS t(path, field, value, source, confidence)""")
+def frontmatter_resolution(spark, sf_dir):
+    return backfill.resolution(_planted(spark, "v_front"))
+
+
+@query("SELECT * FROM (VALUES ('p4', 'id and uid differ'), ('p5', 'created is no time'), ('p6', 'updated before created')) AS t(path, reason)")
+def frontmatter_manual(spark, sf_dir):
+    return backfill.manual(_planted(spark, "v_front"))
+
+
+@query()
+def text_edits(spark, sf_dir):
+    change = F.concat(F.lit('[{"old_text": "'), F.substring(F.split("text", "[^A-Za-z]+")[0], 1, 8), F.lit('", "new_text": "X"}]'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", edits.edited("text", change).alias("e"))
+    return rows.select("doc_id", "e.error", T.sha256(F.col("e.body")).alias("body_sha256"))
+
+
+@query("""SELECT * FROM (VALUES ('a', 0, 'S0', 'n1'), ('a', 1, 'S2', 'n3'), ('b', 0, 'S1', 'n9'), ('b', 1, 'S7', NULL)) AS t(id, place, key, note_id)""")
+def citation_links(spark, sf_dir):
+    answers = spark.createDataFrame([("a", "One [S0]. Two [S2, S0]."), ("b", "See [S1] and [S7]."), ("c", "None.")], "id string, answer string")
+    sources = spark.createDataFrame([("a", "S0", "n1"), ("a", "S1", "n2"), ("a", "S2", "n3"), ("b", "S1", "n9")], "id string, key string, note_id string")
+    return synthesis.citations(answers, sources).select("id", "place", "key", "note_id")
+
+
+@query("""SELECT * FROM (VALUES (1, '{"a": 1}'), (2, '{"a": 2}'), (3, '{"a": 3}'), (4, '{"a": [1, 2]}'), (5, NULL), (6, '{"a": "b"}')) AS t(k, json)""")
+def llm_json_repair(spark, sf_dir):
+    rows = [(1, '{"a": 1}'), (2, '```json\n{"a": 2}\n```'), (3, 'Sure: {"a": 3} ok'), (4, '{"a": [1, 2'), (5, "no object"), (6, '{"a": "b')]
+    return spark.createDataFrame(rows, "k int, raw string").select("k", synthesis.repaired("raw").alias("json"))
