@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import hold_batches, without
 from .textbuf import buffers, mix, slices, word_hashes
 
 #: Most labelled documents that are learnt from.
@@ -175,8 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     chosen = usable.select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
     y = table.column("y").to_numpy().astype(np.float64)
+    slots, first = np.zeros(0, np.int64), np.zeros(1, np.int64)
     data, offs = buffers(table.column("text"))
-    slots, first = slots_of(data, offs)
+    for a, b in slices(offs):
+        own, cut = slots_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        slots, first = np.concatenate((slots, own)), np.concatenate((first, cut[1:] + first[-1]))
     vectors = word_vectors([slots[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
     if len(np.unique(y)) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
@@ -206,6 +210,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str
     Only the text is read for the score.  Null and empty texts have no words and all get the
     same score.  Repeated rows each get a row; a null id is not held out.
     """
+    hold_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(sent), f"doc_id {kind}, score double")
@@ -214,5 +219,4 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str
 
 def keep_good(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that are predicted good, with all their columns."""
-    bad = score(docs, model, id_col, text).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    return without(docs, score(docs, model, id_col, text).filter("predicted = 0").select("doc_id"), id_col, "quality-bad")
