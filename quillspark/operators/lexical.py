@@ -39,10 +39,14 @@ def corpus_totals(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avg_len"))
 
 
+def _raw_weights(tokens: DataFrame) -> DataFrame:
+    n = corpus_totals(tokens).select(F.struct("n_docs", "avg_len")).scalar()["n_docs"]
+    return document_frequencies(tokens).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+
 def weights(tokens: DataFrame) -> DataFrame:
     """term, df and idf; a negative idf becomes a share of the mean over all terms."""
-    n = corpus_totals(tokens).select("n_docs").scalar()
-    raw = document_frequencies(tokens).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = _raw_weights(tokens)
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, mean * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
@@ -51,16 +55,19 @@ def scored(tokens: DataFrame, terms: list[str]) -> DataFrame:
     """``tokens`` with ``keyword``: the BM25 score of each row, 0 where nothing is met."""
     if not terms:
         return tokens.withColumn("keyword", F.lit(0.0))
-    idf = weights(tokens).filter(F.col("term").isin(*terms)).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf")))).scalar()
-    mean = corpus_totals(tokens).select("avg_len").scalar()
-    rows = tokens.withColumns({"__idf": idf, "__len": F.size("tokens") / mean})
+    # One pass over the terms gives both the mean weight and the few weights that are asked for.
+    own = F.collect_list(F.when(F.col("term").isin(*terms), F.struct("term", "raw")))
+    told = _raw_weights(tokens).agg(F.avg("raw").alias("mean"), F.map_from_entries(own).alias("own")).select(F.struct("mean", "own")).scalar()
+    mean = corpus_totals(tokens).select(F.struct("n_docs", "avg_len")).scalar()["avg_len"]
+    rows = tokens.withColumns({"__told": told, "__len": F.size("tokens") / mean})
 
     def part(total: Column, term: Column) -> Column:
         tf = F.size(F.filter("tokens", lambda t: t == term)).cast("double")
-        gain = F.coalesce(F.try_element_at(F.col("__idf"), term), F.lit(0.0)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len")))
+        raw = F.coalesce(F.try_element_at(F.col("__told.own"), term), F.lit(0.0))
+        gain = F.when(raw < 0, F.col("__told.mean") * EPSILON).otherwise(raw) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len")))
         return total + F.when(tf > 0, gain).otherwise(0.0)
 
-    return rows.withColumn("keyword", F.aggregate(F.array(*map(F.lit, terms)), F.lit(0.0), part)).drop("__idf", "__len")
+    return rows.withColumn("keyword", F.aggregate(F.array(*map(F.lit, terms)), F.lit(0.0), part)).drop("__told", "__len")
 
 
 def phrase_boost(query: str, text: str = "body") -> Column:

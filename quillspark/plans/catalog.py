@@ -106,6 +106,11 @@ def _planted(spark: SparkSession, name: str) -> DataFrame:
     return df
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and bodies alone, without the joins that give notes their metadata."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.col("text").alias("body"))
+
+
 # --- scans and scalar functions ------------------------------------------------------------------
 
 
@@ -157,7 +162,7 @@ r AS (SELECT note_id, term, n, row_number() OVER (PARTITION BY note_id ORDER BY
 SELECT note_id, place, term, n FROM r WHERE place <= 5
 """)
 def top_terms(spark, sf_dir):
-    rows = lexical.top_terms(lexical.tokenized(notes_view(spark, sf_dir)), "note_id")
+    rows = lexical.top_terms(lexical.tokenized(_texts(spark, sf_dir)), "note_id")
     return rows.select("note_id", F.col("place").cast("long").alias("place"), "term", F.col("n").cast("long").alias("n"))
 
 
@@ -234,22 +239,22 @@ def index_stats(spark, sf_dir):
 
 @query(f"WITH {_NOTES}, {_TOKENS} SELECT term, df, round(idf, 6) AS idf FROM wts")
 def bm25_stats(spark, sf_dir):
-    return lexical.weights(lexical.tokenized(notes_view(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.weights(lexical.tokenized(_texts(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_NOTES}, {_TOKENS}, {_bm25_sql(['tion', 'ering', 'ation', 'tion', 'des'])} SELECT note_id, round(score, 6) AS keyword FROM kw0 ORDER BY score DESC, note_id LIMIT {TOP_K}")
 def bm25_topk(spark, sf_dir):
-    return lexical.search(notes_view(spark, sf_dir), "tion the of ering ation tion des", TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
+    return lexical.search(_texts(spark, sf_dir), "tion the of ering ation tion des", TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
 
 
 @query(f"WITH {_NOTES}, {_TOKENS}, {_KW} SELECT note_id, round(keyword, 6) AS keyword FROM kw ORDER BY keyword DESC, note_id LIMIT {TOP_K}")
 def bm25_phrase(spark, sf_dir):
-    return lexical.search(notes_view(spark, sf_dir), QUERY, TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
+    return lexical.search(_texts(spark, sf_dir), QUERY, TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
 
 
 @query()
 def bm25_stemmed(spark, sf_dir):
-    return lexical.search(notes_view(spark, sf_dir), "nationally relational and hoping", TOP_K, stemmed=True).select("note_id", F.round("keyword", 6).alias("keyword"))
+    return lexical.search(_texts(spark, sf_dir), "nationally relational and hoping", TOP_K, stemmed=True).select("note_id", F.round("keyword", 6).alias("keyword"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +332,7 @@ def _search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     # The query's vector is a scalar subquery, so the search is one plan and starts no job.
     asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).select("embedding").scalar()
     notes = notes_view(spark, sf_dir).withColumn("group_id", F.col("folder"))
-    return hybrid.retrieve(notes, _vectors(spark, sf_dir), QUERY, asked, params, **options)
+    return hybrid.retrieve(notes, _vectors(spark, sf_dir), QUERY, asked, params, texts=_texts(spark, sf_dir), **options)
 
 
 _HYBRID = f"WITH {_NOTES}, {_TOKENS}, {_KW}, {_SEM}, {_CAND}, {_rrf_sql('cand', 'f')}"
@@ -424,7 +429,7 @@ def neighbor_rrf(spark, sf_dir):
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lexical.search(notes_view(spark, sf_dir), QUERY, 30).select(F.lit("title").alias("channel"), "note_id", F.col("keyword").alias("score"))
+    words = lexical.search(_texts(spark, sf_dir), QUERY, 30).select(F.lit("title").alias("channel"), "note_id", F.col("keyword").alias("score"))
     near = dense.nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 30, "note_id").select(F.lit("body").alias("channel"), "note_id", dense.similarity(F.col("distance")).alias("score"))
     hits = words.unionByName(near)
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), "note_id")))

@@ -11,14 +11,15 @@ from ..operators import dense, evidence, fusion, lexical, ranking
 
 
 def retrieve(notes: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | Column, params: ranking.SearchParams, allowed: Column | None = None,
-             now: Column | None = None, mixed: bool = False, provider: Callable[[list[str]], list[float]] | None = None, stemmed: bool = False) -> DataFrame:
+             now: Column | None = None, mixed: bool = False, provider: Callable[[list[str]], list[float]] | None = None, stemmed: bool = False, texts: DataFrame | None = None) -> DataFrame:
     """note_id, semantic, keyword, fused, reranker, rerank_rank, freshness, relevance, final and place of the results.
 
     Both top-k's are taken over all notes and filtered after that.  ``vectors``: note_id and
-    embedding.  Beyond the two scans every step handles at most 2 * top_k rows.
+    embedding; ``texts``: note_id and body, where they are to be had without the joins that
+    make ``notes``.  Beyond the two scans every step handles at most 2 * top_k rows.
     """
     key = "note_id"
-    words = lexical.scored(lexical.tokenized(notes.select(key, "body"), stemmed=stemmed), lexical.query_terms(query.replace('"', " "), stemmed))
+    words = lexical.scored(lexical.tokenized(notes.select(key, "body") if texts is None else texts, stemmed=stemmed), lexical.query_terms(query.replace('"', " "), stemmed))
     words = words.select(key, (F.col("keyword") * lexical.phrase_boost(query)).alias("keyword"))
     top_words = words.orderBy(F.desc("keyword"), key).limit(params.top_k)
     near = dense.nearest(vectors, vector, params.top_k, key).select(key, dense.similarity(F.col("distance")).alias("semantic"))
