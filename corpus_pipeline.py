@@ -41,8 +41,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and of the decoded text."""
-    decoded = bpe.decode(bpe.encode(docs))
-    return bpe.digest(decoded)
+    return bpe.digest(bpe.encode(docs, decoded=True))
 
 
 STAGES = [("quality", keep_good), ("exact", drop_copies), ("near", drop_near_copies), ("benchmark", drop_leaks), ("encode", encode)]

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import hold_batches, stored
 from .vocab import BYTE_BPE_JSON, path_of, pieces_of_json, read
 
 #: White space of the splitting pattern.
@@ -30,7 +30,7 @@ _WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\
 PATTERN = f"'(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_WHITE}\\p{{L}}\\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
 #: Bytes of the word table that an executor's worker holds, words and ids.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 24 << 20
 
 #: Counts above this are one class when the table's least count is chosen.
 _TOP_COUNT = 1000
@@ -100,18 +100,16 @@ def _take_lists(lists: pa.ListArray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return n, values[index]
 
 
-def _encode(raw: Broadcast, table: Broadcast):
+def _encode(raw: Broadcast, table: Broadcast, pieces: Broadcast | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(raw.value)
+        # One chunk, read in place.
         with pa.ipc.open_stream(table.value) as stream:
-            known = stream.read_all().combine_chunks()
-        listed = known.column("word").combine_chunks()
-        ids = known.column("ids").combine_chunks()
-        if not len(listed):
-            listed, ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+            known = stream.read_next_batch()
+        listed, ids = known.column("word"), known.column("ids")
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 rows = part.column("words")
                 flat = rows.flatten()
                 at = pc.index_in(flat, value_set=listed)
@@ -126,30 +124,40 @@ def _encode(raw: Broadcast, table: Broadcast):
                 n, values = _take_lists(lists, at)
                 cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False))))
                 offs = np.concatenate(([0], np.cumsum(n)))[cuts].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+                coded = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(values, pa.int32()))], ["doc_id", "ids"])
+                if pieces is None:
+                    yield coded
+                else:
+                    yield from _decode(pieces)(iter([coded]))
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, table_bytes: int = TABLE_BYTES, decoded: bool = False) -> DataFrame:
     """doc_id and ids of every document, without tokens added at its ends.
 
+    With ``decoded``, also text: the ids are decoded by the task that made them, as ``decode``
+    does with stored ids.
+
     Null and empty texts have no ids.  Repeated rows each get a row.  ``tokenizer`` is the path
     of a byte-level BPE file; special strings in a text become their ids, as in the library.
     """
     spark = docs.sparkSession
+    hold_batches(spark)
     content = read(tokenizer or path_of(BYTE_BPE_JSON))
     special = [t["content"] for t in json.loads(content)["added_tokens"]]
     raw = spark.sparkContext.broadcast(content)
     kept, _ = stored(word_table(docs, text, special, raw, table_bytes), "bpe-table")
     table = kept.toArrow()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as stream:
-        stream.write_table(table)
+    whole = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
+    with pa.ipc.new_stream(sink, whole) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([], f.type), *(c.cast(f.type) for c in table.column(f.name).chunks)]) for f in whole], schema=whole))
     sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text), special).alias("words"))
-    return rows.mapInArrow(_encode(raw, sent), f"doc_id {kind}, ids array<int>")
+    pieces = spark.sparkContext.broadcast(pieces_of_json(content)) if decoded else None
+    return rows.mapInArrow(_encode(raw, sent, pieces), f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def _decode(pieces: Broadcast):

@@ -23,7 +23,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+    return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), decoded=True))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
