@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import hold_batches, without
 from .textbuf import buffers, gap_table, intervals, run_hashes, slices, spans, word_hashes
 
 #: Lower-cases A-Z and turns every separator into a space.
@@ -206,6 +207,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     an item without words has no window; a null item id is called "None"; equal item ids are
     one item.  Repeated documents each get a row.  Either table may be empty.
     """
+    hold_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     parts = [sc.broadcast(Windows(b, window, shingle)) for b in _blocks(items, item_id, item_text, block_bytes)] or [sc.broadcast(Windows([], window, shingle))]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
@@ -228,8 +230,7 @@ def digest(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
     """Rows of ``docs`` in which no window of an item occurs, with all their columns."""
     id_col = str(options.get("id_col", "doc_id"))
-    bad = contamination(docs, items, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    return without(docs, contamination(docs, items, **options).filter("n_hit > 0").select("doc_id"), id_col, "leaks")
 
 
 def brute_force(doc: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, list[str]]:

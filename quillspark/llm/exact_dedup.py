@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import one_of_each, stored, without
 
 #: Characters deleted before comparison.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -86,7 +86,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    best = best.select("recipe", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size")
+    # Written, so that the join reads both sides through exchanges and Spark may split a hot recipe.
+    best, _ = stored(best.select("recipe", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size"), "recipe-groups")
     return listed.join(best, "recipe").select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"),
@@ -96,5 +97,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay, with all their columns; one of repeated equal rows."""
-    gone = exact_groups(docs, id_col, text).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti").dropDuplicates([id_col])
+    gone = exact_groups(docs, id_col, text).filter(~F.col("kept")).select("doc_id")
+    return one_of_each(without(docs, gone, id_col, "exact-gone"), id_col, "exact-again")

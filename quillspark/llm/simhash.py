@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import drop, shuffle_partitions, stored
+from .tables import drop, hold_batches, one_of_each, shuffle_partitions, stored, without
 from .textbuf import WHITE, buffers, slices, spans
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -79,6 +79,7 @@ def _fingerprints(shingle: int, seed: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of every document."""
+    hold_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints(shingle, seed), f"doc_id {kind}, fp long")
 
@@ -309,6 +310,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """Rows of ``docs`` that represent their group, with all their columns: the smallest id."""
-    stay = near_groups(docs, id_col, text, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col] == stay["__stay"], "left_semi").dropDuplicates([id_col])
+    """Rows of ``docs`` that represent their group, with all their columns: the smallest id.
+
+    Of rows that repeat an id one stays, and of rows without an id one whose text is like no other.
+    """
+    gone = near_groups(docs, id_col, text, **options).filter("NOT doc_id <=> component_id").select("doc_id")
+    return one_of_each(without(docs, gone, id_col, "near-gone"), id_col, "near-again")
