@@ -15,6 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import hold_batches
 from .vocab import BYTE_BPE_RANKS, path_of, pieces_of_ranks, read
 
 #: Words remembered by a worker; beyond it the memory is emptied and filled anew.
@@ -104,6 +105,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vo
     as pieces that begin a word do in the vocabulary (a ranks file; its path is a parameter).
     Null and empty texts have no words and no tokens.  Repeated rows each get a row.
     """
+    hold_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of_ranks(read(vocabulary or path_of(BYTE_BPE_RANKS))))
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_count(pieces, start), f"doc_id {kind}, n_words long, n_tokens long")
