@@ -6,25 +6,24 @@ window costs its few bytes and not a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shuffle_partitions
+from .tables import hold_batches, shuffle_partitions
 from .textbuf import covered, intervals
 
 #: Text, in bytes, whose windows one reducing call holds; more text means more hash ranges.
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 
 #: Text, in bytes, that a map task deduplicates at once before it sends anything.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def hash_parts(docs: DataFrame, text: str = "text") -> int:
     """How many hash ranges the whole table needs."""
+    hold_batches(docs.sparkSession)
     size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     return int(min(max(shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES)), 1 << 20))
 
@@ -53,13 +52,29 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def runs_by_doc(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Documents and, for each, its runs of window starts as 32-bit (start, count) pairs."""
-    order = np.lexsort((start, doc))
-    doc = doc[order]
-    heads = group_starts(doc)
-    pairs = np.stack((start[order], count[order]), 1).astype(np.int32).ravel()
-    return doc[heads], binary_column(pairs, np.concatenate((heads, [len(doc)])) * 2)
+#: Columns of packed runs: a bucket of documents and, as arrays, document, first window and number of each run.
+RUNS = "bucket int, docs binary, starts binary, counts binary"
+
+
+def pack_runs(doc: np.ndarray, start: np.ndarray, count: np.ndarray, buckets: int) -> list[pa.Array]:
+    """Runs of windows by bucket of their document: a row for each bucket, not for each document."""
+    bucket = (doc % buckets).astype(np.int32)
+    order = np.lexsort((start, doc, bucket))
+    bounds = np.concatenate((group_starts(bucket[order]), [len(order)]))
+    return [
+        pa.array(bucket[order][bounds[:-1]]), binary_column(doc[order], bounds), binary_column(start[order].astype(np.int32), bounds), binary_column(count[order].astype(np.int32), bounds),
+    ]
+
+
+def runs_table(*parts: list[pa.Array]) -> pa.Table:
+    names = [c.split()[0] for c in RUNS.split(", ")]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({n: pa.chunked_array([p[k] for p in parts], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
+
+
+def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """All arrays of a binary column, one after another."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c] or [np.zeros(0, kind)])
 
 
 def as_runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,17 +88,24 @@ def as_runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _merge(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lists in batch.column("runs"):
-                runs = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in lists.values]).reshape(-1, 2).astype(np.int64)
-                runs = runs[np.argsort(runs[:, 0], kind="stable")]
-                end = np.maximum.accumulate(runs[:, 0] + runs[:, 1] + length - 1)
-                new = np.concatenate(([True], runs[1:, 0] > end[:-1]))
-                last = np.flatnonzero(np.concatenate((new[1:], [True])))
-                out.append(np.stack((runs[new, 0], end[last]), 1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "spans"])
+    def run(table: pa.Table) -> pa.Table:
+        doc, start = joined(table, "docs", np.int64), joined(table, "starts", np.int32).astype(np.int64)
+        end = start + joined(table, "counts", np.int32) + length - 1
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        heads = group_starts(doc)
+        # The furthest end so far within a document: documents are set apart by more than any length.
+        apart = np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [len(doc)])))) * (int(end.max(initial=0)) + 1)
+        reach = np.maximum.accumulate(end + apart) - apart
+        new = np.ones(len(doc), bool)
+        new[1:] = start[1:] > reach[:-1]
+        new[heads] = True
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(doc)])) - 1
+        pairs = np.stack((start[first], reach[last]), 1).astype(np.int32).ravel()
+        whose = doc[first]
+        tops = group_starts(whose)
+        return pa.table({"doc_id": pa.array(whose[tops]), "spans": binary_column(pairs, np.concatenate((tops, [len(whose)])) * 2)})
 
     return run
 
@@ -91,17 +113,9 @@ def _merge(length: int):
 def merged(runs: DataFrame, length: int) -> DataFrame:
     """doc_id and spans: maximal removed intervals as 32-bit (start, end) pairs.
 
-    A document has at most one row for each hash range, so a group is bounded by its length.
+    ``runs`` has the columns of ``RUNS``; there are as many buckets as hash ranges.
     """
-    return runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")).mapInArrow(_merge(length), "doc_id long, spans binary")
-
-
-def span_mask(spans: bytes | None, n: int) -> np.ndarray:
-    pairs = np.frombuffer(spans or b"", np.int32).reshape(-1, 2)
-    mask = np.zeros(n, bool)
-    for s, e in pairs:
-        mask[s:e] = True
-    return mask
+    return runs.groupBy("bucket").applyInArrow(_merge(length), "doc_id long, spans binary")
 
 
 def brute_force(texts: dict[int, list], length: int) -> dict[int, np.ndarray]:
@@ -117,4 +131,4 @@ def brute_force(texts: dict[int, list], length: int) -> dict[int, np.ndarray]:
     return out
 
 
-__all__ = ["BATCH_BYTES", "as_runs", "binary_column", "brute_force", "group_starts", "hash_parts", "intervals", "merged", "part_of", "runs_by_doc", "span_mask"]
+__all__ = ["BATCH_BYTES", "RUNS", "as_runs", "binary_column", "brute_force", "group_starts", "hash_parts", "intervals", "joined", "merged", "pack_runs", "part_of", "runs_table"]

@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .removal import BATCH_BYTES, as_runs, binary_column, group_starts, hash_parts, merged, part_of, runs_by_doc
+from .removal import BATCH_BYTES, RUNS, as_runs, binary_column, group_starts, hash_parts, joined, merged, pack_runs, part_of, runs_table
 from .tables import join_measured
 from .textbuf import WHITE, buffers, run_hashes, slices, spans, word_hashes
 
 #: Words of a window.
 WINDOW = 50
 
-_PACKED = "part int, local boolean, hashes binary, low binary, seg_doc binary, seg_high binary, seg_n binary, seg_runs binary"
+_PACKED = "part int, local boolean, hashes binary, low binary, seg_doc binary, seg_high binary, seg_n binary"
 _NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 
 
@@ -69,12 +69,9 @@ def _send(window: int, parts: int):
                 yield from _pack(parts, h, doc, pos, np.flatnonzero(~later))
                 gone = np.flatnonzero(later)
                 if len(gone):
-                    whose, runs = runs_by_doc(*as_runs(doc[gone], pos[gone]))
-                    empty = pa.array([b""] * len(whose), pa.binary())
-                    part = (whose % parts).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part), pa.array(np.ones(len(whose), bool)), empty, empty, binary_column(whose, np.arange(len(whose) + 1)), empty, empty, runs], _NAMES
-                    )
+                    bucket, docs, starts, counts = pack_runs(*as_runs(doc[gone], pos[gone]), parts)
+                    empty = pa.array([b""] * len(bucket), pa.binary())
+                    yield pa.RecordBatch.from_arrays([bucket, pa.array(np.ones(len(bucket), bool)), empty, starts, docs, empty, counts], _NAMES)
 
     return run
 
@@ -95,27 +92,23 @@ def _pack(parts: int, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, keep: np.
         [
             pa.array(part[cuts].astype(np.int32)), pa.array(np.zeros(n, bool)), binary_column(h[keep], bounds),
             binary_column((pos[keep] & 0xFFFF).astype(np.uint16), bounds), binary_column(doc[keep][segs], seg_bounds),
-            binary_column(high[segs].astype(np.uint16), seg_bounds), binary_column(seg_n.astype(np.uint16), seg_bounds), pa.array([b""] * n, pa.binary()),
+            binary_column(high[segs].astype(np.uint16), seg_bounds), binary_column(seg_n.astype(np.uint16), seg_bounds),
         ],
         _NAMES,
     )
 
 
-def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c] or [np.zeros(0, kind)])
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    """Windows of one range that a smaller document has too, as runs by document."""
+def _settle(parts: int, table: pa.Table) -> pa.Table:
+    """Windows of one range that a smaller document has too, as packed runs."""
     local = table.column("local").combine_chunks()
-    own = table.filter(local)
+    own = table.filter(local).combine_chunks()
     rest = table.filter(pa.compute.invert(local))
-    docs, runs = [_joined(own, "seg_doc", np.int64)], [own.column("seg_runs").combine_chunks()]
+    out = [[own.column(c).chunk(0) for c in ("part", "seg_doc", "low", "seg_n")]] if own.num_rows else []
     if rest.num_rows:
-        h = _joined(rest, "hashes", np.uint64)
-        seg_n = _joined(rest, "seg_n", np.uint16).astype(np.int64) + 1
-        doc = np.repeat(_joined(rest, "seg_doc", np.int64), seg_n)
-        pos = _joined(rest, "low", np.uint16) + (np.repeat(_joined(rest, "seg_high", np.uint16).astype(np.int64), seg_n) << 16)
+        h = joined(rest, "hashes", np.uint64)
+        seg_n = joined(rest, "seg_n", np.uint16).astype(np.int64) + 1
+        doc = np.repeat(joined(rest, "seg_doc", np.int64), seg_n)
+        pos = joined(rest, "low", np.uint16) + (np.repeat(joined(rest, "seg_high", np.uint16).astype(np.int64), seg_n) << 16)
         order = np.argsort(h, kind="stable")
         heads = group_starts(h[order])
         size = np.diff(np.concatenate((heads, [len(order)])))
@@ -126,10 +119,8 @@ def _settle(table: pa.Table) -> pa.Table:
             least = np.minimum.reduceat(doc[order], np.concatenate(([0], np.cumsum(size)))[:-1])
             gone = order[doc[order] > np.repeat(least, size)]
             if len(gone):
-                whose, mine = runs_by_doc(doc[gone], pos[gone], np.ones(len(gone), np.int64))
-                docs.append(whose)
-                runs.append(mine)
-    return pa.table({"doc_id": pa.array(np.concatenate(docs)), "runs": pa.chunked_array(runs, pa.binary())})
+                out.append(pack_runs(doc[gone], pos[gone], np.ones(len(gone), np.int64), parts))
+    return runs_table(*out)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -137,7 +128,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = hash_parts(rows)
     sent = rows.mapInArrow(_send(window, parts), _PACKED)
-    return merged(sent.groupBy("part").applyInArrow(_settle, "doc_id long, runs binary"), window)
+    return merged(sent.groupBy("part").applyInArrow(lambda table: _settle(parts, table), RUNS), window)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes; a longer text makes a run of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 #: Odd multiplier of the polynomial over bytes and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
