@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .removal import BATCH_BYTES, as_runs, group_starts, hash_parts, merged, part_of, runs_by_doc
+from .removal import BATCH_BYTES, RUNS, as_runs, group_starts, hash_parts, merged, pack_runs, part_of, runs_table
 from .tables import join_measured
 from .textbuf import buffers, mix, run_hashes, slices
 
@@ -26,11 +26,14 @@ from .textbuf import buffers, mix, run_hashes, slices
 LENGTH, GRAM = 50, 12
 
 #: Bytes of stretches that are refined at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+
+#: Stretches compared at once.
+STEP = 4096
 
 _U = np.uint64
-_PACKED = "part int, local boolean, size long, packed binary"
-_NAMES = ["part", "local", "size", "packed"]
+_PACKED = "part int, local boolean, size long, packed binary, starts binary, counts binary"
+_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -122,21 +125,21 @@ def _send(length: int, gram: int, parts: int):
                 head = np.repeat(by[heads], np.diff(np.concatenate((heads, [len(by)]))))
                 maybe = (doc[by] != doc[head]) & (size[by] == size[head])
                 by, head = by[maybe], head[maybe]
-                same = np.concatenate([_equal(data, at[by[k : k + 65536]], at[head[k : k + 65536]], size[by[k : k + 65536]]) for k in range(0, len(by), 65536)] or [np.zeros(0, bool)])
+                same = np.concatenate([_equal(data, at[by[k : k + STEP]], at[head[k : k + STEP]], size[by[k : k + STEP]]) for k in range(0, len(by), STEP)] or [np.zeros(0, bool)])
                 later = np.zeros(len(at), bool)
                 later[by[same]] = True
                 yield from _pack(data, at, doc, pos, n, low, np.flatnonzero(~later), length, parts)
                 gone = np.flatnonzero(later)
                 if len(gone):
-                    whose, runs = runs_by_doc(doc[gone], pos[gone], n[gone])
-                    yield pa.RecordBatch.from_arrays([pa.array((whose % parts).astype(np.int32)), pa.array(np.ones(len(whose), bool)), pa.array(whose), runs], _NAMES)
+                    bucket, docs, starts, counts = pack_runs(doc[gone], pos[gone], n[gone], parts)
+                    yield pa.RecordBatch.from_arrays([bucket, pa.array(np.ones(len(bucket), bool)), pa.array(np.zeros(len(bucket), np.int64)), docs, starts, counts], _NAMES)
 
     return run
 
 
 def _pack(data, at, doc, pos, n, low, keep, length: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Stretches by range: counts, documents, places, lengths and bytes, compressed together."""
-    part = part_of(low[keep], parts)
+    part = part_of(mix(low[keep]), parts)  # least values are small, so they are spread again
     order = np.lexsort((low[keep], part))
     part, keep = part[order], keep[order]
     bounds = np.concatenate((group_starts(part), [len(part)]))
@@ -147,7 +150,8 @@ def _pack(data, at, doc, pos, n, low, keep, length: int, parts: int) -> Iterator
         rows.append((int(part[s]), False, len(raw), pa.compress(raw, "zstd", asbytes=True)))
     for k in range(0, len(rows), 64):
         cols = list(zip(*rows[k : k + 64], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], _NAMES)
+        none = pa.array([b""] * len(cols[0]), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), none, none], _NAMES)
 
 
 def _unpack(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
@@ -179,16 +183,16 @@ def buckets(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return order, group_starts(*(k[order] for k in keys))
 
 
-def _settle(length: int, gram: int):
+def _settle(length: int, gram: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         local = table.column("local").combine_chunks()
-        own, rest = table.filter(local), table.filter(pa.compute.invert(local))
-        docs, runs = [own.column("size").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)], [own.column("packed").combine_chunks()]
+        own, rest = table.filter(local).combine_chunks(), table.filter(pa.compute.invert(local))
+        settled = [[own.column(c).chunk(0) for c in ("part", "packed", "starts", "counts")]] if own.num_rows else []
+        gone_runs = []
         # First the buckets of all stretches, without their bytes; then the bytes of those that stay.
-        blobs = list(zip(rest.column("packed").to_pylist(), rest.column("size").to_pylist(), strict=True))
         kept = []
-        for packed, size in blobs:
-            doc, pos, n, data = _unpack(pa.decompress(packed, size, "zstd", asbytes=True), length)
+        for packed, size in zip((x for c in rest.column("packed").chunks for x in c), rest.column("size").to_pylist(), strict=True):
+            doc, pos, n, data = _unpack(pa.decompress(packed.as_buffer(), size, "zstd", asbytes=True), length)
             span = n + length - 1
             low = np.empty(len(doc), _U)
             ends = np.cumsum(span)
@@ -233,10 +237,10 @@ def _settle(length: int, gram: int):
                 if len(out):
                     first = np.concatenate(([0], np.cumsum(n[mine])))[:-1]
                     place = pos[mine][item[out]] + out - first[item[out]]
-                    whose, own_runs = runs_by_doc(*as_runs(owner[out], place))
-                    docs.append(whose)
-                    runs.append(own_runs)
-        return pa.table({"doc_id": pa.array(np.concatenate(docs)), "runs": pa.chunked_array(runs, pa.binary())})
+                    gone_runs.append(as_runs(owner[out], place))
+        if gone_runs:
+            settled.append(pack_runs(*(np.concatenate(x) for x in zip(*gone_runs, strict=True)), parts))
+        return runs_table(*settled)
 
     return run
 
@@ -246,7 +250,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = hash_parts(rows)
     sent = rows.mapInArrow(_send(length, gram, parts), _PACKED)
-    return merged(sent.groupBy("part").applyInArrow(_settle(length, gram), "doc_id long, runs binary"), length)
+    return merged(sent.groupBy("part").applyInArrow(_settle(length, gram, parts), RUNS), length)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,10 +60,9 @@ def test_small_pieces(spark, monkeypatch):
     packed = pa.Table.from_batches(list(suffix_dedup._send(50, 12, 3)(iter(keep))))
     marks = {d: np.zeros(len(g), bool) for d, g in want.items()}
     for part in range(3):
-        out = suffix_dedup._settle(50, 12)(packed.filter(pa.compute.equal(packed.column("part"), part)))
-        for d, runs in zip(out.column("doc_id").to_pylist(), out.column("runs").to_pylist(), strict=True):
-            for s, n in np.frombuffer(runs, np.int32).reshape(-1, 2):
-                marks[d][s : s + n + 49] = True
+        out = suffix_dedup._settle(50, 12, 3)(packed.filter(pa.compute.equal(packed.column("part"), part)))
+        for d, s, n in zip(removal.joined(out, "docs", np.int64), removal.joined(out, "starts", np.int32), removal.joined(out, "counts", np.int32), strict=True):
+            marks[d][s : s + n + 49] = True
     assert all(np.array_equal(marks[d], want[d]) for d in want)
     assert textbuf.SLICE_BYTES
 
