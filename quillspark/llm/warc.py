@@ -194,11 +194,14 @@ def captures(records: DataFrame) -> DataFrame:
         F.first(F.when(F.col("kind") == "request", F.struct("record_id", "uri", "head")), True).alias("request"),
         F.first(F.when(F.col("kind") == "metadata", F.struct("record_id", F.col("payload").alias("fields"))), True).alias("metadata"),
     )
+    # Written, like ``first`` below, so that Spark may split the side of the join that is skewed.
+    side, _ = stored(side, "warc-partners")
     answers = records.filter("kind IN ('response', 'revisit')")
     whole = answers.join(side, F.col("record_id") == F.col("answer"), "left")
     first = records.filter("kind = 'response'").groupBy(F.col("record_id").alias("of")).agg(
         F.first(F.struct("payload", "payload_bytes", "payload_digest")).alias("full")
     )
+    first, _ = stored(first, "warc-originals")
     whole = whole.join(first, F.col("refers_to") == F.col("of"), "left")
     pick = lambda c: F.when(F.col("kind") == "revisit", F.col(f"full.{c}")).otherwise(F.col(c)).alias(c)
     return whole.select(
@@ -221,4 +224,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
 def page_rows(found: DataFrame) -> DataFrame:
     """Name the page that each revisit refers to instead of its record."""
     named = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("of")).agg(F.min("page_id").alias("refers_to"))
+    named, _ = stored(named, "warc-pages")
     return found.join(named, F.col("target") == F.col("of"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
