@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: join is left to Spark, which shuffles both sides.
 BROADCAST_BYTES = 24 << 20
 
+#: Column of a row's key.
+KEY = "__row"
+
 #: Rows of an Arrow batch that holds texts.
 BATCH_ROWS = 2000
 
@@ -96,6 +99,41 @@ def one_of_each(rows: DataFrame, id_col: str, name: str) -> DataFrame:
     return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([id_col]))
 
 
+def keyed(rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with a key: whether the id is null, the id, and 128 bits hashed from every column.
+
+    Only rows that are equal in every column share a key.  Keys sort by id, null last.
+    """
+    every = [x for c in rows.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    one, two = F.xxhash64(*every).alias("a"), F.xxhash64(F.lit(1), *every).alias("b")
+    return rows.withColumn(KEY, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), one, two))
+
+
+def join_rows(rows: DataFrame, small: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """Keyed ``rows`` joined with ``small`` on the 128 bits of the key, written and measured first."""
+    kept, path = stored(small.withColumns({"__a": F.col(f"{KEY}.a"), "__b": F.col(f"{KEY}.b")}).drop(KEY), name)
+    if size_of(rows.sparkSession, path) <= BROADCAST_BYTES:
+        kept = F.broadcast(kept)
+    return rows.join(kept, (rows[KEY]["a"] == kept["__a"]) & (rows[KEY]["b"] == kept["__b"]), how)
+
+
+def all_but_gone(docs: DataFrame, gone: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``docs`` without the rows whose keys ``gone`` has; rows equal in every column become one."""
+    rows = join_rows(keyed(docs, id_col), gone.select(KEY).distinct(), name, "left_anti")
+    again, path = stored(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(KEY), f"{name}-again")
+    if not again.isEmpty():
+        twice = join_rows(rows, again, f"{name}-twice", "left_semi").dropDuplicates([KEY])
+        rows = join_rows(rows, again, f"{name}-once", "left_anti").unionByName(twice)
+    return rows.drop(KEY)
+
+
+def all_but_least(docs: DataFrame, placed: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Of the rows of each ``component`` in ``placed`` (keys with their component), the least key's."""
+    placed, _ = stored(placed, f"{name}-placed")
+    least, _ = stored(placed.groupBy("component").agg(F.min(KEY).alias("__least")), f"{name}-least")
+    return all_but_gone(docs, placed.join(least, "component").filter(~F.col(KEY).eqNullSafe(F.col("__least"))), id_col, name)
+
+
 def hold_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to ``BATCH_ROWS`` rows where the session has Spark's default.
 

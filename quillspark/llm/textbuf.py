@@ -31,6 +31,9 @@ def gap_table(word_bytes: bytes) -> np.ndarray:
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and return.
 WHITE = gap_table(bytes(b for b in range(256) if b not in (0x20, *range(0x09, 0x0E))))
 
+#: Bytes with A to Z as a to z.
+ASCII_LOWER = np.frombuffer(bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)), np.uint8)
+
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as the empty text."""
