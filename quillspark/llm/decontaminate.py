@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import hold_batches, without
+from .tables import hold_batches
 from .textbuf import buffers, gap_table, intervals, run_hashes, slices, spans, word_hashes
 
 #: Lower-cases A-Z and turns every separator into a space.
@@ -228,9 +228,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
-    """Rows of ``docs`` in which no window of an item occurs, with all their columns."""
-    id_col = str(options.get("id_col", "doc_id"))
-    return without(docs, contamination(docs, items, **options).filter("n_hit > 0").select("doc_id"), id_col, "leaks")
+    """Rows of ``docs`` in which no window of an item occurs, with all their columns; each by its own text.
+
+    ``options`` are those of ``contamination``; ``id_col`` has no effect.
+    """
+    text = str(options.pop("text", "text"))
+    rest = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in docs.columns if c != text))
+    rows = docs.select(rest.alias("__rest"), F.col(text).alias("text"))
+    clean = contamination(rows, items, **options | {"id_col": "__rest"}).filter("n_hit = 0")
+    return clean.select(*(F.col("text").alias(c) if c == text else F.col("doc_id")[c].alias(c) for c in docs.columns))
 
 
 def brute_force(doc: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, list[str]]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import one_of_each, stored, without
+from .tables import KEY, all_but_gone, keyed, stored
 
 #: Characters deleted before comparison.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -96,6 +96,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, with all their columns; one of repeated equal rows."""
-    gone = exact_groups(docs, id_col, text).filter(~F.col("kept")).select("doc_id")
-    return one_of_each(without(docs, gone, id_col, "exact-gone"), id_col, "exact-again")
+    """Of the rows of each text the one that stays, with all its columns.
+
+    It is the row with the most code points, then the smallest id, null last; verdicts are on
+    rows, so what shares an id, or has none, stays unless its text is repeated.
+    """
+    gone = exact_groups(keyed(docs, id_col).select(KEY, F.col(text).alias("text")), KEY).filter(~F.col("kept")).select(F.col("doc_id").alias(KEY))
+    return all_but_gone(docs, gone, id_col, "exact-gone")

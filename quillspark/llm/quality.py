@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import hold_batches, without
+from .tables import hold_batches
 from .textbuf import buffers, mix, slices, word_hashes
 
 #: Most labelled documents that are learnt from.
@@ -190,16 +190,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return Classifier((vectors @ net.w1).astype(np.float32), net)
 
 
+def _scores(m: Classifier, texts: pa.Array) -> np.ndarray:
+    data, offs = buffers(texts)
+    out = [np.zeros(0)]
+    for a, b in slices(offs):
+        slots, first = slots_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        out.append(m.network.scores(pooled(m.vectors, slots, first)))
+    return np.concatenate(out)
+
+
 def _score(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Classifier = model.value
         for batch in batches:
-            data, offs = buffers(batch.column("text"))
-            out = [np.zeros(0)]
-            for a, b in slices(offs):
-                slots, first = slots_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                out.append(m.network.scores(pooled(m.vectors, slots, first)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model.value, batch.column("text")))], ["doc_id", "score"])
+
+    return run
+
+
+def _good(model: Broadcast, text: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model.value, batch.column(text)) >= threshold))
 
     return run
 
@@ -218,5 +229,6 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are predicted good, with all their columns."""
-    return without(docs, score(docs, model, id_col, text).filter("predicted = 0").select("doc_id"), id_col, "quality-bad")
+    """Rows of ``docs`` that are predicted good, with all their columns; each by its own text."""
+    hold_batches(docs.sparkSession)
+    return docs.mapInArrow(_good(docs.sparkSession.sparkContext.broadcast(model), text, THRESHOLD), docs.schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import drop, hold_batches, one_of_each, shuffle_partitions, stored, without
+from .tables import KEY, all_but_least, drop, hold_batches, keyed, shuffle_partitions, stored
 from .textbuf import WHITE, buffers, slices, spans
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -309,10 +309,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """Rows of ``docs`` that represent their group, with all their columns: the smallest id.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:
+    """Rows of ``docs`` that represent their group, with all their columns: the smallest id, null last.
 
-    Of rows that repeat an id one stays, and of rows without an id one whose text is like no other.
+    Verdicts are on rows, so rows that share an id, or have none, are judged by their own texts.
     """
-    gone = near_groups(docs, id_col, text, **options).filter("NOT doc_id <=> component_id").select("doc_id")
-    return one_of_each(without(docs, gone, id_col, "near-gone"), id_col, "near-again")
+    rows = keyed(docs, id_col).select(KEY, F.col(text).alias("text"))
+    marked, _ = stored(fingerprints(rows, KEY, "text", shingle).withColumnRenamed("doc_id", KEY), "simhash-rows")
+    points, _ = stored(marked.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-points")
+    roots, _ = stored(components(links(points, radius, segments)), "simhash-roots")
+    placed = marked.join(roots, marked["fp"] == roots["node"], "left").select(KEY, F.coalesce("root", "fp").alias("component"))
+    return all_but_least(docs, placed, id_col, "near-gone")

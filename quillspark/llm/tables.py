@@ -73,32 +73,6 @@ def join_measured(large: DataFrame, small: DataFrame, on: str, name: str, limit:
     return large.join(kept, on, "left")
 
 
-def without(rows: DataFrame, gone: DataFrame, id_col: str, name: str) -> DataFrame:
-    """``rows`` whose id is not among the ids of ``gone`` (its first column), with all columns.
-
-    The ids are written and measured; up to ``BROADCAST_BYTES`` they are sent to the rows, and
-    beyond that both sides are shuffled.  A null id in ``gone`` takes out the rows without one.
-    """
-    kept, path = stored(gone.toDF("__gone").distinct(), name)
-    if size_of(rows.sparkSession, path) <= BROADCAST_BYTES:
-        kept = F.broadcast(kept)
-    return rows.join(kept, rows[id_col].eqNullSafe(kept["__gone"]), "left_anti")
-
-
-def one_of_each(rows: DataFrame, id_col: str, name: str) -> DataFrame:
-    """One row of those that repeat an id.
-
-    Only ids are shuffled to find such rows; without any, ``rows`` are passed on as they are.
-    """
-    again, path = stored(rows.groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__again"), name)
-    if again.isEmpty():
-        return rows
-    if size_of(rows.sparkSession, path) <= BROADCAST_BYTES:
-        again = F.broadcast(again)
-    same = rows[id_col].eqNullSafe(again["__again"])
-    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([id_col]))
-
-
 def keyed(rows: DataFrame, id_col: str) -> DataFrame:
     """``rows`` with a key: whether the id is null, the id, and 128 bits hashed from every column.
 
