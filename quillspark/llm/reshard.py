@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shuffle_partitions, stored
+from .tables import BROADCAST_BYTES, KEY, keyed, new_path, one_of_equal, shuffle_partitions, size_of, stored
 
 #: Bytes a row takes beside its text.
 ROW_OVERHEAD = 16
@@ -193,14 +193,15 @@ def reshard(rows: DataFrame, n_new: int) -> tuple[DataFrame, list[Transfer]]:
     return out.drop("from_shard", "first", "last", "shift", "rank"), plan
 
 
-def sized(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and old_shard of each document; null text counts as empty."""
+def sized(docs: DataFrame, old_shard: Column, id_col: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32 and old_shard of each document, and the columns ``more``; null text counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(body) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
+        *more,
     )
 
 
@@ -212,29 +213,42 @@ def hashed_shard(id_col: str, n_old: int) -> Column:
 def shard_documents(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``.
 
+    The shards that give or take rows are written, and size, checksum, shard and slot of their
+    rows are those of the files; the rows of other shards stay where they are.
+
     Rows with a null id are dealt like any other.  Repeated rows each get a slot of their own;
     which of them gets which is fixed when the ranks are written.  Null text has size 16 and
     the checksum of the empty text.  An empty table gives an empty result.
     """
-    rows, _ = stored(sized(docs, hashed_shard(id_col, n_old), id_col, text), "reshard-sizes")
-    placed, _ = reshard(rows, n_new)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    spark = docs.sparkSession
+    whole = keyed(docs, id_col).withColumn("__key", F.struct(f"{KEY}.a", f"{KEY}.b"))
+    rows, _ = stored(sized(whole, hashed_shard(id_col, n_old), id_col, text, ("__key",)), "reshard-sizes")
+    placed, plan = reshard(rows, n_new)
+    touched = sorted({t.source for t in plan} | {t.target for t in plan})
+    out = placed.filter(~F.col("shard").isin(touched)).select("doc_id", "size", "text_crc32", "shard", "slot")
+    if plan:
+        # Rows equal in every column share a key: one of them is joined with all their places.
+        texts = one_of_equal(whole, "reshard-equal").select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), "__key", *(F.col(f"`{c}`").alias(f"__{k}_{c}") for k, c in enumerate(docs.columns) if c not in (id_col, text)))
+        files = rewrite_affected(texts, placed.select(F.col("__key").alias("doc_id"), "shard", "slot"), plan, new_path(spark, "reshard-shards"), "__key")
+        out = out.unionByName(sized(files, F.col("shard"), more=("shard", "slot")).drop("old_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def rewrite_affected(docs: DataFrame, placed: DataFrame, plan: list[Transfer], path: str, id_col: str = "doc_id", rows_per_file: int = 100_000) -> DataFrame:
     """Write the documents of every shard that gives or takes rows, by shard and slot.
 
     Shards that no transfer names keep their files.  ``placed`` is from ``reshard`` with the
-    same, unique ids.  A shard is written by as many tasks as its rows need.
+    same ids, unique in ``docs``.  A shard is written by as many tasks as its rows need.
     """
+    spark = docs.sparkSession
     touched = sorted({t.source for t in plan} | {t.target for t in plan})
-    place = placed.filter(F.col("shard").isin(touched)).select(F.col("doc_id").alias("__id"), "shard", "slot")
+    place, at = stored(placed.filter(F.col("shard").isin(touched)).select(F.col("doc_id").alias("__id"), "shard", "slot"), "reshard-places")
+    if size_of(spark, at) <= BROADCAST_BYTES:
+        place = F.broadcast(place)
     rows = docs.join(place, F.col(id_col) == F.col("__id")).drop("__id")
     (
         rows.repartition("shard", F.floor(F.col("slot") / rows_per_file))
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
     )
-    return docs.sparkSession.read.parquet(path)
-
-
+    return spark.read.schema(rows.schema).parquet(path)

@@ -91,14 +91,19 @@ def join_rows(rows: DataFrame, small: DataFrame, name: str, how: str = "inner")
     return rows.join(kept, (rows[KEY]["a"] == kept["__a"]) & (rows[KEY]["b"] == kept["__b"]), how)
 
 
-def all_but_gone(docs: DataFrame, gone: DataFrame, id_col: str, name: str) -> DataFrame:
-    """``docs`` without the rows whose keys ``gone`` has; rows equal in every column become one."""
-    rows = join_rows(keyed(docs, id_col), gone.select(KEY).distinct(), name, "left_anti")
-    again, path = stored(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(KEY), f"{name}-again")
+def one_of_equal(rows: DataFrame, name: str) -> DataFrame:
+    """Keyed ``rows``, one of those that are equal in every column."""
+    again, _ = stored(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(KEY), f"{name}-again")
     if not again.isEmpty():
         twice = join_rows(rows, again, f"{name}-twice", "left_semi").dropDuplicates([KEY])
         rows = join_rows(rows, again, f"{name}-once", "left_anti").unionByName(twice)
-    return rows.drop(KEY)
+    return rows
+
+
+def all_but_gone(docs: DataFrame, gone: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``docs`` without the rows whose keys ``gone`` has; rows equal in every column become one."""
+    rows = join_rows(keyed(docs, id_col), gone.select(KEY).distinct(), name, "left_anti")
+    return one_of_equal(rows, name).drop(KEY)
 
 
 def all_but_least(docs: DataFrame, placed: DataFrame, id_col: str, name: str) -> DataFrame:
