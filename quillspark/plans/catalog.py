@@ -287,6 +287,16 @@ def knn_batch(spark, sf_dir):
     return out.select("query_id", "vec_id", F.col("place").cast("long").alias("place"), F.round("distance", 6).alias("distance"))
 
 
+@query(f"""
+WITH d AS (SELECT b.vec_id AS query_id, a.vec_id, {_DIST.format(a="a.embedding", b="b.embedding")} AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)
+SELECT query_id, vec_id, place, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d) WHERE place <= 5
+""")
+def knn_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    out = dense.nearest_blocks(rows, rows.filter("vec_id % 20 = 0"), 5)
+    return out.select("query_id", "vec_id", F.col("place").cast("long").alias("place"), F.round("distance", 6).alias("distance"))
+
+
 @query(f"""
 WITH {_SEM}, s AS (SELECT d.source AS folder, n.note_id, distance FROM near n JOIN documents d ON cast(d.doc_id AS VARCHAR) = n.note_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY distance, note_id) AS k FROM s)
