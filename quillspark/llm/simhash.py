@@ -3,9 +3,9 @@
 Fingerprints are cut into segments.  If two differ in at most ``radius`` bits, then in some
 segment they differ in no more bits than that segment's share of the radius, so it is enough
 to enumerate the small Hamming balls within each segment, to fetch what the table holds under
-those keys and to verify the whole distance.  Verified links are merged into a forest where
-they are found, so a dense group never becomes its pairs, and components follow from a
-distributed contraction of the forests.
+those keys and to verify the whole distance.  Verified links are thinned to a forest as they
+are found, so a dense group never becomes its pairs, and components follow from a distributed
+contraction of the forests.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import KEY, all_but_least, drop, hold_batches, keyed, shuffle_partitions, stored
+from .tables import KEY, all_but_least, broadcast_measured, drop, hold_batches, keyed, shuffle_partitions, stored
 from .textbuf import WHITE, buffers, slices, spans
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -31,8 +31,11 @@ SEGMENTS = (22, 21, 21)
 #: Fingerprints under one key that are compared in one go.
 TILE = 1024
 
-#: Under a key that more fingerprints share than this, links are found by shared midpoints.
-DENSE = 32768
+#: Own fingerprints of a key in one task; a key with more is dealt to several, each with a block of them.
+BLOCK = 8192
+
+#: Links that a task holds before it thins them, and links that are thinned together between tasks.
+HELD, THINNED = 1 << 19, 1 << 21
 
 _LOWER = np.frombuffer(bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)), np.uint8)
 
@@ -99,7 +102,7 @@ def ball(bits: int, radius: int) -> np.ndarray:
 
 
 def _probes(segments: tuple[int, ...], radius: int, around: bool = True):
-    """Rows (key, fp, rep, own): each fingerprint under its own keys and, if asked, those around them."""
+    """Rows (key, fp, own): each fingerprint under its own keys and, if asked, those around them."""
     plan, shift = [], 0
     for k, (bits, r) in enumerate(zip(segments, segment_radii(segments, radius), strict=True)):
         if r >= 0:
@@ -110,179 +113,173 @@ def _probes(segments: tuple[int, ...], radius: int, around: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                fp = part.column("fp").to_numpy().view(np.uint64)
-                rep = part.column("rep").to_numpy()
+                fp = batch.column("fp").slice(a, step).to_numpy().view(np.uint64)
                 for k, at, bits, masks in plan:
                     own = (fp >> np.uint64(at)) & np.uint64((1 << bits) - 1)
                     keys = ((own[:, None] ^ masks[None, :]) | np.uint64(k << 60)).view(np.int64).ravel()
                     m = len(masks)
                     mine = np.zeros((len(fp), m), bool)
                     mine[:, 0] = True
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.repeat(fp.view(np.int64), m)), pa.array(np.repeat(rep, m)), pa.array(mine.ravel())], ["key", "fp", "rep", "own"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp.view(np.int64), m)), pa.array(mine.ravel())], ["key", "fp", "own"])
 
     return run
 
 
-class Forest:
-    """Union-find over numbers 0 to n-1 with the smallest as root."""
-
-    def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = int(up[i])
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def _link(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one key's rows as a forest: own rows against all rows, in tiles."""
-    own_at = np.flatnonzero(own)
-    forest = Forest(len(fp))
-    for a in range(0, len(own_at), TILE):
-        mine = own_at[a : a + TILE]
-        for b in range(0, len(fp), TILE):
-            near = np.bitwise_count(fp[mine][:, None] ^ fp[None, b : b + TILE]) <= radius
-            near &= mine[:, None] != np.arange(b, min(b + TILE, len(fp)))[None, :]
-            x, y = np.nonzero(near)
-            # One link to the first of its links joins each column to the rest of its row.
-            for i, j in zip(mine[x].tolist(), (y + b).tolist(), strict=True) if len(x) <= 4 * TILE else _thin(near, mine, b):
-                forest.join(i, j)
-    root = np.array([forest.find(i) for i in range(len(fp))])
-    moved = np.flatnonzero(root != np.arange(len(fp)))
-    return rep[moved], rep[root[moved]]
-
-
-def _thin(near: np.ndarray, mine: np.ndarray, b: int) -> Iterator[tuple[int, int]]:
-    """As few pairs with the same components: a breadth-first forest of a dense tile."""
-    left, rows, cols = near.copy(), np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components: each node that is not its component's smallest, and that one."""
+    if not len(a):
+        return a, b
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
     while True:
-        todo = np.flatnonzero(rows & left.any(1))
-        if not len(todo):
-            return
-        queue = [int(todo[0])]
-        rows[queue[0]] = False
-        while queue:
-            r = queue.pop()
-            new = np.flatnonzero(left[r] & cols)
-            cols[new] = False
-            for c in np.flatnonzero(left[r])[:1].tolist() + new.tolist():
-                yield int(mine[r]), int(c + b)
-            if len(new):
-                more = np.flatnonzero(rows & left[:, new].any(1))
-                for m in more.tolist():
-                    yield int(mine[m]), int(new[np.flatnonzero(left[m, new])[0]] + b)
-                rows[more] = False
-                queue.extend(more.tolist())
+        low = np.minimum(root[x], root[y])
+        up = root.copy()
+        np.minimum.at(up, root[x], low)
+        np.minimum.at(up, root[y], low)
+        while not np.array_equal(up[up], up):
+            up = up[up]
+        if np.array_equal(up, root):
+            break
+        root = up
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+class _Links:
+    """Links found so far, thinned whenever there are many."""
+
+    def __init__(self) -> None:
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.n += len(a)
+        if self.n > HELD:
+            a, b = self.take()
+            self.a, self.b, self.n = [a], [b], 0  # a forest counts as nothing, or it would be thinned again at once
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        found = forest(np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
+        self.a, self.b, self.n = [], [], 0
+        return found
+
+
+def _compare(own: np.ndarray, rest: np.ndarray, radius: int, links: _Links) -> None:
+    """Links between the own fingerprints of a key and others, in tiles."""
+    for a in range(0, len(own), TILE):
+        mine = own[a : a + TILE]
+        for b in range(0, len(rest), TILE):
+            other = rest[b : b + TILE]
+            x, y = np.nonzero(np.bitwise_count(mine[:, None] ^ other[None, :]) <= radius)
+            one, two = mine[x].view(np.int64), other[y].view(np.int64)
+            new = one != two
+            links.add(one[new], two[new])
+
+
+def _few(fp: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, links: _Links) -> None:
+    """The same for many small keys at once: their own rows times their rows, in steps of a bounded size."""
+    row = np.flatnonzero(own)
+    key = np.searchsorted(starts, row, "right") - 1
+    row, key = row[key >= 0], key[key >= 0]
+    row, key = row[row < ends[key]], key[row < ends[key]]
+    width = ends[key] - starts[key]
+    total = np.concatenate(([0], np.cumsum(width)))
+    cut = 0
+    while cut < len(row):
+        to = max(int(np.searchsorted(total, total[cut] + TILE * TILE, "right")) - 1, cut + 1)
+        w = width[cut:to]
+        one = np.repeat(row[cut:to], w)
+        two = np.arange(len(one)) - np.repeat(total[cut:to] - total[cut], w) + np.repeat(starts[key[cut:to]], w)
+        near = (np.bitwise_count(fp[one] ^ fp[two]) <= radius) & (fp[one] != fp[two])
+        links.add(fp[one[near]].view(np.int64), fp[two[near]].view(np.int64))
+        cut = to
 
 
 def _verify(radius: int):
-    """Rows sorted by key -> links (a, b), a forest for each key."""
-
-    def emit(key, fp, rep, own):
-        edge = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
-        has = np.add.reduceat(own.astype(np.int64), starts)
-        out_a, out_b = [], []
-        for s, e in zip(*(x[(ends - starts > 1) & (has > 0)].tolist() for x in (starts, ends)), strict=True):
-            if e - s <= 8 and not _near_any(fp[s:e], own[s:e], radius):
-                continue
-            a, b = _link(fp[s:e], rep[s:e], own[s:e], radius)
-            out_a.append(a)
-            out_b.append(b)
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            if len(a):
-                pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), 1), axis=0)
-                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        return None
+    """Rows sorted by key and salt, own ones first -> links (a, b), thinned to forests.
+
+    A task holds one Arrow batch, the own rows of one key and salt (a block of them) and a
+    forest of what it has linked, however many rows the key has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        links = _Links()
+        last, block = None, np.zeros(0, np.uint64)
         for batch in batches:
-            now = [batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            # The last key may go on in the next batch.
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            held = [x[cut:] for x in now]
-            if cut and (out := emit(*(x[:cut] for x in now))) is not None:
-                yield out
-        if held is not None and len(held[0]) and (out := emit(*held)) is not None:
-            yield out
+            if not batch.num_rows:
+                continue
+            key, salt, fp, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "fp", "own"))
+            fp = fp.view(np.uint64)
+            edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(salt) != 0)) + 1
+            starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
+            # The first and the last key of a batch may go on in another, so they go through the held block.
+            inner = slice(1, len(starts) - 1)
+            size = ends[inner] - starts[inner]
+            small, large = starts[inner][size > 1][size[size > 1] <= 64], starts[inner][size > 64]
+            if len(small):
+                _few(fp, own, small, ends[inner][(size > 1) & (size <= 64)], radius, links)
+            for s, e in [(0, ends[0]), *zip(large.tolist(), ends[inner][size > 64].tolist(), strict=True), *([(starts[-1], ends[-1])] if len(starts) > 1 else [])]:
+                if (key[s], salt[s]) != last:
+                    last, block = (key[s], salt[s]), np.zeros(0, np.uint64)
+                mine, rest = fp[s:e][own[s:e]], fp[s:e][~own[s:e]]
+                if len(mine):
+                    _compare(mine, np.concatenate((block, mine)), radius, links)
+                    block = np.concatenate((block, mine))
+                if len(block) and len(rest):
+                    _compare(block, rest, radius, links)
+        a, b = links.take()
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _near_any(fp: np.ndarray, own: np.ndarray, radius: int) -> bool:
-    near = np.bitwise_count(fp[own][:, None] ^ fp[None, :]) <= radius
-    return int(near.sum()) > int(own.sum())
-
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = _Links()
+    for batch in batches:
+        links.add(batch.column("a").to_numpy(), batch.column("b").to_numpy())
+    a, b = links.take()
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _midpoints(radius: int):
-    """Each fingerprint under all within half the radius: two are linked if they share one."""
-    masks = ball(64, radius // 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                fp = part.column("fp").to_numpy().view(np.uint64)
-                keys = (fp[:, None] ^ masks[None, :]).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column("rep").to_numpy(), len(masks)))], ["mid", "rep"])
+def links(points: DataFrame, radius: int = RADIUS, segments: tuple[int, ...] = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """Links (a > b) between the distinct fingerprints ``fp``, thinned to forests.
 
-    return run
-
-
-def links(points: DataFrame, radius: int = RADIUS, segments: tuple[int, ...] = SEGMENTS, dense: int = DENSE) -> DataFrame:
-    """Links (a > b) between the ``rep`` of distinct fingerprints ``fp``, thinned to forests.
-
-    Their components are those of all pairs within ``radius`` bits.  Keys that more than
-    ``dense`` fingerprints share would cost the square of that number; fingerprints that meet
-    there are linked through shared midpoints instead, a fixed number of rows for each.
+    Their components are those of all pairs within ``radius`` bits.  A key with more than
+    ``block`` own fingerprints is dealt to several tasks: each takes a share of them and meets
+    all rows of the key, which it reads as a stream.
     """
     spark = points.sparkSession
-    probes = points.mapInArrow(_probes(segments, radius), "key long, fp long, rep long, own boolean")
-    own = points.mapInArrow(_probes(segments, radius, around=False), "key long, fp long, rep long, own boolean")
-    busy = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("key")
-    busy, _ = stored(busy, "simhash-busy")
-    extra = None
-    if radius % 2 == 0 and not busy.isEmpty():
-        # Fewer keys than fingerprints / dense.
-        met = probes.join(busy, "key", "left_semi").select("fp", "rep").distinct()
-        mids = met.mapInArrow(_midpoints(radius), "mid long, rep long")
-        least = mids.groupBy("mid").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").drop("top")
-        extra = mids.join(least, "mid").filter("rep > b").select(F.col("rep").alias("a"), "b").distinct()
-        probes = probes.join(busy, "key", "left_anti")
-    found = probes.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a long, b long")
-    return (found if extra is None else found.unionByName(extra)).distinct()
+    rows = "key long, fp long, own boolean"
+    own = points.mapInArrow(_probes(segments, radius, around=False), rows)
+    # Fewer rows than fingerprints / block.
+    busy = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("shares"))
+    probes = points.mapInArrow(_probes(segments, radius), rows).join(broadcast_measured(busy, "simhash-busy"), "key", "left")
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = probes.select("key", "fp", "own", shares.alias("shares"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"))
+    dealt = dealt.select("key", "salt", "fp", (F.col("own") & (F.pmod(F.xxhash64("fp"), F.col("shares")) == F.col("salt"))).alias("own"))
+    met = dealt.repartition(shuffle_partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", F.desc("own"))
+    return met.mapInArrow(_verify(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (smallest node reachable) of every node that an edge (a > b) names.
+    """node and root (smallest node reachable) of every node that an edge names.
 
-    Alternates large-star and small-star contraction; each round is two joins on node keys,
-    whose skewed side Spark may split, and the edges are written between rounds.
+    Edges are first thinned to forests, a bounded number at a time.  What those leave is
+    contracted by alternating large stars and small stars; each round is two joins on node
+    keys, whose skewed side Spark may split, and is written before the next.
     """
-    now, path = stored(edges.select("a", "b").distinct(), "components")
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (mark.n, mark.h) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        seen = (mark.n, mark.h)
+    now, path = stored(edges.select("a", "b"), "components")
+    n = now.count()
+    now, new = stored(now.repartition(max(1, -(-n // THINNED))).mapInArrow(_thin, "a long, b long"), "components")
+    drop(now.sparkSession, path)
+    path = new
+    # Up to THINNED edges are one forest by now, and then there is nothing to contract.
+    while n > THINNED and not _stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: larger neighbours go to the smallest of the closed neighbourhood.
@@ -293,19 +290,28 @@ def components(edges: DataFrame) -> DataFrame:
         after, new = stored(small.select("e.a", "e.b").filter("a <> b").distinct(), "components")
         drop(now.sparkSession, path)
         now, path = after, new
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a root."""
+    again = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    return again.unionByName(edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")).isEmpty()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:
     """doc_id, fp, component_id of every document.
 
     Null and empty texts have fingerprint 0 and are linked like any other.  Repeated rows each
-    get a row.  A row with a null id gets the component of its fingerprint's other rows; if it
-    has none, null.  Ids are integers.  An empty table gives an empty result.
+    get a row.  A row with a null id gets its component's smallest id; if the component has
+    none, null.  Ids are integers.  An empty table gives an empty result.
     """
     marked, _ = stored(fingerprints(docs, id_col, text, shingle), "simhash-fingerprints")
     points, _ = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-points")
-    roots = components(links(points.filter("rep IS NOT NULL"), radius, segments))
-    named = points.join(roots, points["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots, _ = stored(components(links(points.select("fp"), radius, segments)), "simhash-roots")
+    placed = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named, _ = stored(placed.join(least, "root").select("fp", "component_id"), "simhash-named")
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -316,7 +322,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     """
     rows = keyed(docs, id_col).select(KEY, F.col(text).alias("text"))
     marked, _ = stored(fingerprints(rows, KEY, "text", shingle).withColumnRenamed("doc_id", KEY), "simhash-rows")
-    points, _ = stored(marked.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-points")
+    points, _ = stored(marked.select("fp").distinct(), "simhash-points")
     roots, _ = stored(components(links(points, radius, segments)), "simhash-roots")
     placed = marked.join(roots, marked["fp"] == roots["node"], "left").select(KEY, F.coalesce("root", "fp").alias("component"))
     return all_but_least(docs, placed, id_col, "near-gone")

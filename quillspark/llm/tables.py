@@ -6,7 +6,7 @@ costs a re-read and not a failed job.
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +19,24 @@ BROADCAST_BYTES = 24 << 20
 #: Column of a row's key.
 KEY = "__row"
 
-#: Rows of an Arrow batch that holds texts.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch that holds texts; one longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 _RUN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, the warehouse of a session that runs in one process; a cluster must
+    name a folder that all its machines see.
+    """
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillspark-tables"
     return base.rstrip("/")
 
 
@@ -61,16 +67,19 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def broadcast_measured(small: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` written and read again, marked for broadcast only if it has at most ``limit`` bytes."""
+    kept, path = stored(small, name)
+    return F.broadcast(kept) if size_of(small.sparkSession, path) <= limit else kept
+
+
 def join_measured(large: DataFrame, small: DataFrame, on: str, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Left join with ``small`` written and measured first.
 
     At most ``limit`` bytes are broadcast; a larger table takes Spark's own join, so the
     result is the same at every size.
     """
-    kept, path = stored(small, name)
-    if size_of(large.sparkSession, path) <= limit:
-        kept = F.broadcast(kept)
-    return large.join(kept, on, "left")
+    return large.join(broadcast_measured(small, name, limit), on, "left")
 
 
 def keyed(rows: DataFrame, id_col: str) -> DataFrame:
@@ -85,9 +94,7 @@ def keyed(rows: DataFrame, id_col: str) -> DataFrame:
 
 def join_rows(rows: DataFrame, small: DataFrame, name: str, how: str = "inner") -> DataFrame:
     """Keyed ``rows`` joined with ``small`` on the 128 bits of the key, written and measured first."""
-    kept, path = stored(small.withColumns({"__a": F.col(f"{KEY}.a"), "__b": F.col(f"{KEY}.b")}).drop(KEY), name)
-    if size_of(rows.sparkSession, path) <= BROADCAST_BYTES:
-        kept = F.broadcast(kept)
+    kept = broadcast_measured(small.withColumns({"__a": F.col(f"{KEY}.a"), "__b": F.col(f"{KEY}.b")}).drop(KEY), name)
     return rows.join(kept, (rows[KEY]["a"] == kept["__a"]) & (rows[KEY]["b"] == kept["__b"]), how)
 
 
@@ -114,14 +121,13 @@ def all_but_least(docs: DataFrame, placed: DataFrame, id_col: str, name: str) ->
 
 
 def hold_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_ROWS`` rows where the session has Spark's default.
+    """Hold Arrow batches to ``BATCH_BYTES`` where the session has Spark's default of 64 MB.
 
-    A text may have a megabyte, so batches of ten thousand of them would not have a bound that
-    an executor can live with.
+    The setting stays in the session, as plans are run after they are made.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") == "67108864b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
