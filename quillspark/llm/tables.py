@@ -126,7 +126,7 @@ def hold_batches(spark: SparkSession) -> None:
     The setting stays in the session, as plans are run after they are made.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == "67108864b":
+    if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 

@@ -6,6 +6,7 @@ a few array operations and not a Python call.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,8 @@ import pyarrow as pa
 #: Texts are worked on in runs of about so many bytes; a longer text makes a run of its own.
 SLICE_BYTES = 512 << 10
 
-#: Odd multiplier of the polynomial over bytes and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd bases of polynomials modulo 2**64.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 _U = np.uint64
 
@@ -81,21 +81,22 @@ def spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple[np.n
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
+    """Powers of a base and of its inverse, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.each = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, _U)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            grow = np.full(n, _BASE, _U), np.full(n, _INVERSE, _U)
+            grow = [np.full(n, x, _U) for x in self.each]
             for a in grow:
                 a[0] = 1
             self.up, self.down = (np.multiply.accumulate(a) for a in grow)
         return self.up[:n], self.down[:n]
 
 
-_powers = _Powers()
+_powers = [_Powers(b) for b in _BASES]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,22 +109,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
     """Rabin-Karp hash modulo 2**64 of ``values[start:end]`` for each pair, then mixed.
 
     One running polynomial over all values gives each run by a difference and a shift, so the
     cost does not depend on the length of the runs.
     """
     n = len(values)
-    up, down = _powers.get(n + 1)
+    up, down = _powers[base].get(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(values * up[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word that is the same in every process."""
-    return run_hashes(data.astype(_U) + _U(1), starts, ends)
+#: Places of a word whose bytes have random numbers of their own.
+_PLACES = 64
+
+
+@functools.cache
+def _salt(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, _PLACES * 256, _U)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word, none of them empty, that is the same in every process.
+
+    A word's hash is the sum of the random numbers of its bytes at their places, so no pattern
+    of bytes makes two words meet, as some do under powers of any base.
+    """
+    if not len(starts):
+        return np.zeros(0, _U)
+    n = ends - starts
+    total = np.cumsum(n)
+    place = np.arange(int(total[-1])) - np.repeat(total - n, n)
+    own = data[place + np.repeat(starts, n)]
+    value = _salt(seed)[place % _PLACES * 256 + own]
+    if int(n.max()) > _PLACES:
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] = mix(value[far] + (place[far] // _PLACES).astype(_U) * _U(_BASES[0]))
+    return mix(np.add.reduceat(value, total - n))
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -24,9 +25,9 @@ def texts():
 
 def test_round_trip(spark, tokenizer):
     rows = documents() + [(1000 + k, t, None, None, None) for k, t in enumerate(texts())]
-    for limit in (bpe.TABLE_BYTES, 2000, 0):
+    for limit in (bpe.TABLE_BYTES, 2000, 0):  # the whole table, a share of it, and positions alone
         got = bpe.encode(frame(spark, rows), table_bytes=limit, decoded=True).collect()
-        if limit:
+        if limit == 2000:
             coded = bpe.encode(frame(spark, rows), table_bytes=limit)
             assert sorted(map(tuple, bpe.decode(coded).collect())) == sorted(map(tuple, got))
         assert len(got) == len(rows)
@@ -38,6 +39,36 @@ def test_round_trip(spark, tokenizer):
     assert bpe.decode(bpe.encode(frame(spark, []))).collect() == []
 
 
+def test_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = json.loads(vocab.read(vocab.path_of(vocab.BYTE_BPE_JSON)))
+    plain = whole["added_tokens"][0]
+    whole["added_tokens"] += [plain | {"id": 50257, "content": "<A>"}, plain | {"id": 50258, "content": "<A>>"}, plain | {"id": 50259, "content": "b c"}]
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(whole))
+    t = Tokenizer.from_file(str(path))
+    rng = random.Random(8)
+    own = ["a <A> b <B> c", "<A>>", "<A><|endoftext|>b c", "<<A>>> b  c\n", ""] + ["".join(rng.choice(["<A>", ">", "b c", " ", "x", "<|endoftext|>", "\n"]) for _ in range(30)) for _ in range(30)]
+    rows = [(k, x, None, None, None) for k, x in enumerate(own)]
+    for limit in (bpe.TABLE_BYTES, 0):
+        got = {r.doc_id: (r.ids, r.text) for r in bpe.encode(frame(spark, rows), tokenizer=str(path), table_bytes=limit, decoded=True).collect()}
+        assert got == {k: (x := t.encode(s, add_special_tokens=False).ids, t.decode(x, skip_special_tokens=False)) for k, s in enumerate(own)}
+    whole["added_tokens"][0]["lstrip"] = True
+    path.write_text(json.dumps(whole))
+    with pytest.raises(ValueError, match="endoftext"):
+        bpe.encode(frame(spark, rows), tokenizer=str(path))
+
+
+def test_repeated_and_null_ids(spark, tokenizer):
+    """Equal rows, one id with two texts and null ids keep their own positions, whatever the table's share."""
+    own = [(None, "alpha beta gamma"), (None, "beta beta"), (4, "gamma alpha"), (4, "alpha"), (4, "alpha")]
+    rows = [(i, t, None, None, None) for i, t in own]
+    for limit in (bpe.TABLE_BYTES, 60, 0):
+        got = sorted(((r.doc_id, r.ids) for r in bpe.encode(frame(spark, rows), table_bytes=limit).collect()), key=repr)
+        assert got == sorted(((i, tokenizer.encode(t).ids) for i, t in own), key=repr)
+
+
 def test_decode_of_broken_bytes(spark, tokenizer):
     ids = [[100, 180, 200, 50256, 15496], [], [127, 128, 129, 130]]
     df = spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>")
