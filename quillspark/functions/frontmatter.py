@@ -20,9 +20,13 @@ def block(raw: Column) -> Column:
     return F.regexp_extract(raw, FENCE, 1)
 
 
-def body(raw: Column) -> Column:
-    """What follows the fences, without leading line ends; the whole text if there are none."""
-    return F.when(raw.rlike(FENCE), F.regexp_replace(F.regexp_extract(raw, FENCE, 2), "^\\n+", "")).otherwise(raw)
+def body(raw: Column, fields: Column | None = None) -> Column:
+    """What follows the fences, without leading line ends; the whole text if there are none.
+
+    With ``fields``, the JSON of the block, a block that is no YAML stays where it is.
+    """
+    fenced = raw.rlike(FENCE) if fields is None else raw.rlike(FENCE) & fields.isNotNull()
+    return F.when(fenced, F.regexp_replace(F.regexp_extract(raw, FENCE, 2), "^\\n+", "")).otherwise(raw)
 
 
 def _plain(value: object) -> object:
@@ -36,12 +40,12 @@ def _plain(value: object) -> object:
 
 
 def parse(text: str | None) -> str | None:
-    """A YAML mapping as JSON; null for what is no mapping or no YAML."""
+    """A YAML mapping as JSON; {} for YAML that is none, null for what is no YAML."""
     try:
         found = yaml.safe_load(text or "")
     except (yaml.YAMLError, ValueError):
         return None
-    return json.dumps(_plain(found), ensure_ascii=False) if isinstance(found, dict) else None
+    return json.dumps(_plain(found), ensure_ascii=False, default=str) if isinstance(found, dict) else "{}"
 
 
 @F.pandas_udf(Y.StringType())
@@ -67,3 +71,13 @@ def aliases_of(fields: Column) -> Column:
 def when_field(fields: Column, *names: str) -> Column:
     """First of the named fields that has a value."""
     return F.coalesce(*(F.get_json_object(fields, f"$.{n}") for n in names))
+
+
+def first_time(fields: Column, *names: str) -> Column:
+    """The first of the named fields that is a time; a time without an offset is in the session's zone."""
+    return F.coalesce(*(F.try_to_timestamp(F.trim(F.get_json_object(fields, f"$.{n}"))) for n in names))
+
+
+def keys_of(fields: Column) -> Column:
+    """Names of all fields, those without a value too."""
+    return F.coalesce(F.json_object_keys(fields), F.array().cast("array<string>"))

@@ -27,6 +27,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
 def normalize(text: Column) -> Column:
     """Lower-cased words joined by single spaces."""
     return F.array_join(words(text), " ")
@@ -65,6 +70,11 @@ def _div(a: Column, b: int) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
+def is_ulid(text: Column) -> Column:
+    """Whether a text is a ULID: 26 signs of Crockford's base 32."""
+    return F.coalesce(text.rlike("^[0-9A-HJKMNP-TV-Z]{26}$"), F.lit(False))
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 

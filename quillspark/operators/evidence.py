@@ -39,17 +39,28 @@ def evidence(rows: DataFrame) -> DataFrame:
     )
 
 
-def bars(score: str) -> Column:
-    """0 to 100 within the result set; a set without spread shows 0."""
-    low, high = F.min(score).over(everything()), F.max(score).over(everything())
+def bars(score: str, lead: str | None = None) -> Column:
+    """0 to 100 within the result set, never outside; a set without spread shows 0.
+
+    With ``lead``, rows without that score are left out of the scale and show null.
+    """
+    own = F.col(score) if lead is None else F.when(F.col(lead).isNotNull(), F.col(score))
+    low, high = F.min(own).over(everything()), F.max(own).over(everything())
     span = F.when(high - low == 0, 1.0).otherwise(high - low)
-    return F.round((F.col(score) - low) / span * 100, 0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round((own - low) / span * 100, 0)))
+
 
+def context(rows: DataFrame, order: list[Column], most: int = 8, text: str = "body", score: str = "final") -> DataFrame:
+    """key (S0, S1, ...), note_id and block of the first rows, ready for a prompt.
 
-def context(rows: DataFrame, order: list[Column], most: int = 8, text: str = "body") -> DataFrame:
-    """key (S0, S1, ...), note_id and block of the first rows, ready for a prompt."""
+    A block names its key and score, and where a note is not its owner's writing its
+    provenance; a distilled note is known by its type where it has none.
+    """
     place = F.row_number().over(everything().orderBy(*order)) - 1
-    mark = F.when(F.col("provenance").isin("distilled", "reference", "llm"), F.concat(F.lit(' provenance="'), F.col("provenance"), F.lit('"'))).otherwise("")
+    kind = F.coalesce(F.nullif(F.lower("provenance"), F.lit("")), F.when(F.col("note_type") == "distilled", "distilled"), F.lit(""))
+    mark = F.when(kind.isin("distilled", "reference", "llm"), F.concat(F.lit(" provenance="), kind)).otherwise("")
     key = F.concat(F.lit("S"), F.col("__place").cast("string"))
-    block = F.concat(F.lit("<source key=\""), key, F.lit("\" path=\""), F.col("path"), F.lit("\""), mark, F.lit(">\n"), T.excerpt(F.col(text)), F.lit("\n</source>"))
-    return rows.withColumn("__place", place).filter(F.col("__place") < most).select(key.alias("key"), "note_id", block.alias("block"))
+    head = F.concat(F.lit("<"), key, mark, F.lit(" score="), F.format_string("%.4f", F.col(score)), F.lit(">"))
+    block = F.concat_ws("\n", head, F.concat(F.lit("Title: "), F.coalesce("title", F.lit("(untitled)"))), F.concat(F.lit("Path: "), "path"), T.excerpt(F.col(text)), F.concat(F.lit("</"), key, F.lit(">")))
+    rows = rows.withColumn("__place", place).filter(F.col("__place") < most)
+    return rows.select(key.alias("key"), "note_id", block.alias("block"))

@@ -30,10 +30,11 @@ def average_rank(score: str, by: tuple[str, ...] = ()) -> Column:
 
 
 def rrf(rows: DataFrame, weight: float = 0.5, k: float = 60, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``fused``: reciprocal ranks, each scaled, weighted, summed and scaled again."""
-    rows = rows.withColumns({"__s": average_rank("semantic", by), "__k": average_rank("keyword", by)})
-    rows = rows.withColumn("__sum", F.lit(weight) / (k + F.col("__s")) + F.lit(1 - weight) / (k + F.col("__k")))
-    return rows.withColumn("fused", min_max(F.col("__sum"), by)).drop("__s", "__k", "__sum")
+    """Adds ``fused``, the weighted sum of both reciprocal ranks scaled to 0..1, and each of them scaled alike."""
+    rows = rows.withColumns({"__s": 1 / (k + average_rank("semantic", by)), "__k": 1 / (k + average_rank("keyword", by))})
+    rows = rows.withColumn("__sum", weight * F.col("__s") + (1 - weight) * F.col("__k"))
+    scaled = {"fused": min_max(F.col("__sum"), by), "semantic_part": min_max(F.col("__s"), by), "keyword_part": min_max(F.col("__k"), by)}
+    return rows.withColumns(scaled).drop("__s", "__k", "__sum")
 
 
 def z_sigmoid(rows: DataFrame, weight: float = 0.5, temperature: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,16 +51,3 @@ def z_sigmoid(rows: DataFrame, weight: float = 0.5, temperature: float = 1.0, by
 
 def min_max_fusion(rows: DataFrame, weight: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumn("fused", weight * min_max(F.col("semantic"), by) + (1 - weight) * min_max(F.col("keyword"), by))
-
-
-STRATEGIES = {"rrf": rrf, "zsigmoid": z_sigmoid, "minmax": min_max_fusion}
-
-
-def candidates(semantic: DataFrame, keyword: DataFrame, allowed: DataFrame, key: str = "note_id") -> DataFrame:
-    """Union of two top-k sets within the allowed ids; a missing semantic score is 0.
-
-    ``keyword`` holds the keyword score of every row, with ``in_top`` for those of its top-k.
-    """
-    both = semantic.select(key, "semantic").join(keyword.select(key, "keyword", "in_top"), key, "full_outer")
-    kept = both.filter(F.col("semantic").isNotNull() | F.coalesce("in_top", F.lit(False)))
-    return kept.join(allowed.select(key), key, "left_semi").select(key, F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"))

@@ -7,8 +7,12 @@ counted inside each row and weighted from a map that is a scalar subquery of the
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,8 +34,18 @@ def query_terms(query: str, stemmed: bool = False) -> list[str]:
     return [stem(w) for w in own] if stemmed else own
 
 
+def _grouped(tokens: DataFrame) -> DataFrame:
+    """term, df and len; the row without a term counts the documents and all their tokens.
+
+    Frequencies and totals come from one pass over the tokens and one shuffle, on the term.
+    """
+    marked = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("len")))
+    total = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").cast("long").alias("len")))
+    return tokens.select(F.explode(F.concat(marked, total)).alias("t")).groupBy("t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.len").alias("len"))
+
+
 def document_frequencies(tokens: DataFrame) -> DataFrame:
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _grouped(tokens).filter("term IS NOT NULL").select("term", "df")
 
 
 def corpus_totals(tokens: DataFrame) -> DataFrame:
@@ -40,26 +54,30 @@ def corpus_totals(tokens: DataFrame) -> DataFrame:
 
 
 def _raw_weights(tokens: DataFrame) -> DataFrame:
-    n = corpus_totals(tokens).select(F.struct("n_docs", "avg_len")).scalar()["n_docs"]
-    return document_frequencies(tokens).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """``_grouped`` with the raw weight of each term; counting the documents reads no text."""
+    n = tokens.agg(F.count(F.lit(1))).scalar()
+    return _grouped(tokens).withColumn("raw", F.when(F.col("term").isNotNull(), F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
 
 
 def weights(tokens: DataFrame) -> DataFrame:
     """term, df and idf; a negative idf becomes a share of the mean over all terms."""
     raw = _raw_weights(tokens)
     mean = raw.agg(F.avg("raw")).scalar()
-    return raw.select("term", "df", F.when(F.col("raw") < 0, mean * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    return raw.filter("term IS NOT NULL").select("term", "df", F.when(F.col("raw") < 0, mean * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
 def scored(tokens: DataFrame, terms: list[str]) -> DataFrame:
-    """``tokens`` with ``keyword``: the BM25 score of each row, 0 where nothing is met."""
+    """``tokens`` with ``keyword``: the BM25 score of each row, 0 where nothing is met.
+
+    Two passes over the tokens: one for the statistics, one for the scores.
+    """
     if not terms:
         return tokens.withColumn("keyword", F.lit(0.0))
-    # One pass over the terms gives both the mean weight and the few weights that are asked for.
+    # The mean weight, the few weights that are asked for and the mean length, as one row.
     own = F.collect_list(F.when(F.col("term").isin(*terms), F.struct("term", "raw")))
-    told = _raw_weights(tokens).agg(F.avg("raw").alias("mean"), F.map_from_entries(own).alias("own")).select(F.struct("mean", "own")).scalar()
-    mean = corpus_totals(tokens).select(F.struct("n_docs", "avg_len")).scalar()["avg_len"]
-    rows = tokens.withColumns({"__told": told, "__len": F.size("tokens") / mean})
+    length = F.max(F.when(F.col("term").isNull(), F.col("len") / F.col("df")))
+    told = _raw_weights(tokens).agg(F.avg("raw").alias("mean"), F.map_from_entries(own).alias("own"), length.alias("length")).select(F.struct("mean", "own", "length")).scalar()
+    rows = tokens.withColumn("__told", told).withColumn("__len", F.size("tokens") / F.col("__told.length"))
 
     def part(total: Column, term: Column) -> Column:
         tf = F.size(F.filter("tokens", lambda t: t == term)).cast("double")
@@ -87,12 +105,27 @@ def search(docs: DataFrame, query: str, top_k: int, text: str = "body", key: str
     return found.withColumn("keyword", F.col("keyword") * phrase_boost(query, text)).orderBy(F.desc("keyword"), key).limit(top_k)
 
 
-def top_terms(tokens: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """The k most frequent tokens of each row, then by first place.
+def _top_terms(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n)
+            found, first, count = np.unique(row * (len(coded.dictionary) + 1) + code, return_index=True, return_counts=True)
+            order = np.lexsort((first, -count, row[first]))
+            owner = row[first][order]
+            place = np.arange(len(order)) - np.searchsorted(owner, owner, "left") + 1
+            keep = np.flatnonzero(place <= k)
+            at = first[order][keep]
+            term = coded.dictionary.take(pa.array(code[at]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner[keep])), pa.array(place[keep].astype(np.int32)), term.cast(pa.string()), pa.array(count[order][keep].astype(np.int32))], [batch.schema.names[0], "place", "term", "n"]
+            )
 
-    Linear in the tokens; ranks are limited inside each task before the window's sort.
-    """
-    rows = tokens.select(key, F.posexplode("tokens").alias("pos", "term"))
-    told = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "pos"))
-    return told.withColumn("place", place).filter(F.col("place") <= k).select(key, "place", "term", "n")
+    return run
+
+
+def top_terms(tokens: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The k most frequent tokens of each row, then by first place; counted batch by batch, without a shuffle."""
+    return tokens.select(key, "tokens").mapInArrow(_top_terms(k), f"{key} {dict(tokens.dtypes)[key]}, place int, term string, n int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A plain link's target, inline code, and the four parts of a link.
@@ -13,19 +13,18 @@ TOKEN = "!?\\[\\[[^\\]|#]*(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]"
 
 
 def visible_lines(body: Column) -> Column:
-    """Lines of a body as structs (line, text) with fenced blocks and inline code emptied.
+    """Lines of a body outside fences as structs (line, text), inline code taken out.
 
-    The fence state is folded along the lines inside the row, so no window is needed.
+    Cut at the fence lines, pieces of a body are in turn outside and inside a fence, so the
+    state of a line follows from its piece, at a cost that is linear in the lines.
     """
-    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<line:int,text:string>>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        fence = F.trim(line["text"]).startswith("```")
-        shown = F.when(fence | acc["open"], "").otherwise(F.regexp_replace(line["text"], CODE, ""))
-        return F.struct((acc["open"] != fence).alias("open"), F.concat(acc["out"], F.array(F.struct(line["line"].cast("int").alias("line"), shown.alias("text")))).alias("out"))
-
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+    lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("text"), F.trim(x).startswith("```").alias("fence")))
+    last = F.size(lines) + 1
+    fences = F.concat(F.array(F.lit(0)), F.transform(F.filter(lines, lambda x: x["fence"]), lambda x: x["line"]))
+    # From each second fence (the first is before the text) to the next one, lines are outside.
+    pieces = F.filter(F.transform(fences, lambda at, i: F.struct(i.alias("i"), (at + 1).alias("first"), F.coalesce(F.get(fences, i + 1), last).alias("end"))), lambda p: p["i"] % 2 == 0)
+    shown = F.flatten(F.transform(pieces, lambda p: F.slice(lines, p["first"], p["end"] - p["first"])))
+    return F.transform(shown, lambda x: F.struct(x["line"].alias("line"), F.regexp_replace(x["text"], CODE, "").alias("text")))
 
 
 def body_links(notes: DataFrame, key: str = "path") -> DataFrame:
@@ -111,9 +110,3 @@ def dangling(broken: DataFrame) -> DataFrame:
     """target, links and sources of the unresolved targets, most linked first."""
     told = broken.groupBy("target").agg(F.count(F.lit(1)).alias("links"), F.sort_array(F.collect_set("path")).alias("sources"))
     return told.orderBy(F.desc("links"), F.lower("target"), "target")
-
-
-def numbered_lines(lines: DataFrame, key: str) -> DataFrame:
-    """Adds a running number of fence lines per key, for line tables that are already exploded."""
-    fence = F.trim(F.col("text")).startswith("```").cast("int")
-    return lines.withColumn("fences", F.sum(fence).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))

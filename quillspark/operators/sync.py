@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,20 +41,59 @@ def plan(notes: DataFrame, indexed: DataFrame, refresh: bool = False) -> DataFra
 
 
 def dry_run(planned: DataFrame) -> DataFrame:
-    """action, number and sorted paths."""
-    return planned.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+    """action, reason and number of notes; ``planned`` itself has their paths."""
+    return planned.groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def entries(notes: DataFrame) -> DataFrame:
-    """One row per note and one per section: id, granularity, text, hashes, metadata."""
-    meta = [c for c in ("note_id", "path", "title", "note_type", "tags", "created", "updated", "date", "provenance") if c in notes.columns]
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    head = F.concat_ws("\n\n", "title", "body")
-    whole = notes.select(*meta, folder.alias("folder"), F.concat("note_id", F.lit("::doc")).alias("entry_id"), F.lit("document").alias("granularity"), head.alias("text"), F.lit(None).cast("string").alias("heading"))
-    parts = chunking.sections(notes)
-    text = F.concat_ws("\n\n", "title", F.when(F.col("s.heading") != "", F.concat(F.lit("Section: "), F.col("s.heading"))), "s.text")
-    cut = parts.select(*meta, folder.alias("folder"), F.col("s.chunk_id").alias("entry_id"), F.lit("section").alias("granularity"), text.alias("text"), F.col("s.heading").alias("heading"))
-    return whole.unionByName(cut).withColumn("entry_hash", T.sha256(F.col("text"))).withColumn("schema_version", F.lit(SCHEMA_VERSION))
+def _listed(rows: DataFrame, column: str, label: str) -> Column:
+    """A line of the header, or null where there is nothing to say."""
+    if column not in rows.columns:
+        return F.lit(None).cast("string")
+    value = F.array_join(column, ", ") if dict(rows.dtypes)[column].startswith("array") else F.col(column).cast("string")
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value))
+
+
+def lexical_text(rows: DataFrame, text: str = "body", contextual: bool = False) -> Column:
+    """What keyword search reads of an entry: a header and its own text.
+
+    ``rows`` have granularity and title; a whole note's header also names its path, tags and
+    date, a section's its heading.  A summary counts only if ``contextual``, as it is the same
+    in all sections of a note.
+    """
+    title = F.concat(F.lit("# "), F.coalesce("title", F.lit("")))
+    summary = [_listed(rows, "context", "Note summary")] if contextual else []
+    own = F.coalesce(F.col(text), F.lit(""))
+    whole = F.concat_ws("\n\n", title, _listed(rows, "path", "Path"), _listed(rows, "tags", "Tags"), _listed(rows, "date", "Date"), *summary, F.nullif(T.strip(own), F.lit("")))
+    part = F.concat_ws("\n\n", title, F.concat(F.lit("Section: "), F.coalesce(F.nullif("heading", F.lit("")), F.lit("(intro)"))), *summary, own)
+    return F.when(F.col("granularity") == "document", T.strip(whole)).otherwise(part)
+
+
+def entries(notes: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """One row per note and one per section: entry_id, granularity, place, text for vectors, text for keywords, offset of the source, hashes, metadata.
+
+    ``context``: note_id and context, a summary that is put before the text that is embedded.
+    """
+    meta = [c for c in ("note_id", "path", "title", "note_type", "tags", "created", "updated", "date", "provenance", "content_hash") if c in notes.columns]
+    rows = notes if context is None else notes.join(context.select("note_id", "context"), "note_id", "left")
+    rows = rows if context is not None else rows.withColumn("context", F.lit(None).cast("string"))
+    folder = F.regexp_replace("path", "/?[^/]*$", "").alias("folder")
+    none = F.lit(None)
+    whole = rows.select(
+        *meta, "context", folder, F.concat("note_id", F.lit("::doc")).alias("entry_id"), F.lit("document").alias("granularity"), F.lit("").alias("heading"), F.array().cast("array<string>").alias("heading_path"),
+        none.cast("string").alias("parent_section_id"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), none.cast("int").alias("token_count"), F.col("body").alias("source"),
+    )
+    cut = chunking.sections(rows).select(
+        *meta, "context", folder, F.col("s.chunk_id").alias("entry_id"), F.lit("section").alias("granularity"), F.col("s.heading").alias("heading"), F.col("s.heading_path").alias("heading_path"),
+        F.concat("note_id", F.lit("::p"), F.lpad(F.col("s.parent").cast("string"), 3, "0")).alias("parent_section_id"), F.col("s.line_start").alias("line_start"), F.col("s.line_end").alias("line_end"),
+        F.col("s.token_count").alias("token_count"), F.col("s.text").alias("source"),
+    )
+    out = whole.unionByName(cut)
+    text = lexical_text(out, "source", contextual=True)
+    out = out.withColumns({"text": text, "lexical": lexical_text(out, "source")})
+    # Where the source begins in the text: its header and what separates the two come first.
+    own = F.coalesce("source", F.lit(""))
+    offset = F.length("text") - F.length(F.when(F.col("granularity") == "document", T.strip(own)).otherwise(own))
+    return out.withColumns({"source_offset": offset, "entry_hash": T.sha256(F.col("text")), "section_hash": T.sha256(F.col("source")), "schema_version": F.lit(SCHEMA_VERSION)})
 
 
 def with_vectors(fresh: DataFrame, stored: DataFrame) -> DataFrame:
@@ -73,7 +112,9 @@ class Snapshots:
     """Versions of the entries under one folder; a reader sees a whole version or the one before.
 
     A version is written to a folder of its own, partitioned by granularity so that a search
-    reads one of them, and a one-line pointer is replaced after everything else has succeeded.
+    reads one of them.  After everything else has succeeded a pointer file is renamed into
+    place under the next free number.  Pointers are never changed or taken away, so a reader
+    always finds one, and of two writers one gets the number.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -83,24 +124,41 @@ class Snapshots:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def current(self) -> str | None:
-        fs, where = self._fs(f"{self.root}/CURRENT")
+    def _last(self) -> int:
+        """Number of the newest pointer; 0 without one."""
+        fs, where = self._fs(f"{self.root}/pointers")
         if not fs.exists(where):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0])["version"]
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(where)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _put(self, path: str, value: str) -> None:
+        fs, where = self._fs(path)
+        out = fs.create(where, True)
+        out.write(bytearray(value, "utf-8"))
+        out.close()
+
+    def _pointer(self) -> dict | None:
+        last = self._last()
+        return json.loads(self.spark.read.text(f"{self.root}/pointers/{last:08d}", wholetext=True).first()[0]) if last else None
+
+    def current(self) -> str | None:
+        found = self._pointer()
+        return found["version"] if found else None
 
     def publish(self, rows: DataFrame, settings: dict | None = None) -> str:
         version = uuid.uuid4().hex
         rows.write.partitionBy("granularity").parquet(f"{self.root}/{version}")
-        note = json.dumps({"version": version} | (settings or {}))
-        self.spark.createDataFrame([(note,)], "value string").coalesce(1).write.text(f"{self.root}/next-{version}")
-        fs, target = self._fs(f"{self.root}/CURRENT")
-        fs.delete(target, True)
-        fs.rename(self._fs(f"{self.root}/next-{version}")[1], target)
-        return version
+        self._put(f"{self.root}/next-{version}", json.dumps({"version": version} | (settings or {})))
+        fs, source = self._fs(f"{self.root}/next-{version}")
+        fs.mkdirs(self._fs(f"{self.root}/pointers")[1])
+        while True:
+            target = self._fs(f"{self.root}/pointers/{self._last() + 1:08d}")[1]
+            if not fs.exists(target) and fs.rename(source, target):
+                return version
 
     def settings(self) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        return self._pointer() or {}
 
     def check(self, **wanted: object) -> None:
         """Raise if the index was made with other settings (model, contextual text)."""

@@ -51,10 +51,10 @@ _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 _NORM = "array_to_string(" + _WORDS + ", ' ')"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TOKENS = f"""
-toks AS (SELECT note_id, list_filter({_WORDS.format("body")}, lambda w: w NOT IN ({_STOP})) AS tokens FROM notes_v),
+toks AS MATERIALIZED (SELECT note_id, list_filter({_WORDS.format("body")}, lambda w: w NOT IN ({_STOP})) AS tokens FROM notes_v),
 tot AS (SELECT count(*) AS n_docs, sum(len(tokens)) / count(*) AS avg_len FROM toks),
-dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM toks) GROUP BY term),
-raws AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, tot),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM toks) GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, tot),
 wts AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
 
 
@@ -96,16 +96,6 @@ def _rrf_sql(src: str, out: str, keep: str = "*") -> str:
 {out} AS (SELECT {keep}, {_MINMAX.format("total")} AS fused FROM {out}_s)"""
 
 
-_PLANTED = {"v_notes": planted.NOTES, "v_attach": planted.ATTACHMENTS, "v_scores": planted.SCORES, "v_labels": planted.LABELS, "v_groups": planted.GROUPS, "v_hits": planted.HITS, "v_front": planted.FRONT}
-
-
-def _planted(spark: SparkSession, name: str) -> DataFrame:
-    df = spark.sql(_PLANTED[name])
-    if name == "v_notes":
-        df = df.withColumn("body", F.replace("body", F.lit("\\n"), F.lit("\n"))).withColumn("aliases", F.filter(F.split("alias_list", "\\|"), lambda a: a != ""))
-    return df
-
-
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and bodies alone, without the joins that give notes their metadata."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.col("text").alias("body"))
@@ -218,9 +208,9 @@ def provenance_filter(spark, sf_dir):
     return _filtered(spark, sf_dir, filters.of_provenance("human"))
 
 
-@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE updated BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
+@query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE updated BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-02 18:00:00'")
 def date_filter(spark, sf_dir):
-    return _filtered(spark, sf_dir, filters.between("2024-01-10", "2024-01-20"))
+    return _filtered(spark, sf_dir, filters.between("2024-01-02", "2024-01-02 18:00:00"))
 
 
 @query(f"WITH {_NOTES} SELECT note_id, path FROM notes_v WHERE contains(' ' || {_NORM.format('body')} || ' ', ' and the ') AND contains(' ' || {_NORM.format('body')} || ' ', ' is ')")
@@ -276,22 +266,11 @@ def semantic_score(spark, sf_dir):
     return _vectors(spark, sf_dir).select("note_id", F.round(dense.similarity(d), 6).alias("semantic"))
 
 
-@query(f"""
-WITH d AS (SELECT b.vec_id AS query_id, a.vec_id, {_DIST.format(a="a.embedding", b="b.embedding")} AS distance FROM embeddings a, embeddings b WHERE b.vec_id < 8)
-SELECT query_id, vec_id, place, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d) WHERE place <= 5
-""")
-def knn_batch(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    asked = [(r.vec_id, list(r.embedding)) for r in rows.filter("vec_id < 8").orderBy("vec_id").collect()]
-    out = dense.nearest_batch(rows, asked, 5)
-    return out.select("query_id", "vec_id", F.col("place").cast("long").alias("place"), F.round("distance", 6).alias("distance"))
-
-
 @query(f"""
 WITH d AS (SELECT b.vec_id AS query_id, a.vec_id, {_DIST.format(a="a.embedding", b="b.embedding")} AS distance FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)
 SELECT query_id, vec_id, place, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d) WHERE place <= 5
 """)
-def knn_blocks(spark, sf_dir):
+def knn_batch(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     out = dense.nearest_blocks(rows, rows.filter("vec_id % 20 = 0"), 5)
     return out.select("query_id", "vec_id", F.col("place").cast("long").alias("place"), F.round("distance", 6).alias("distance"))
@@ -311,29 +290,36 @@ def focus_section(spark, sf_dir):
 # --- fusion and ranking ------------------------------------------------------------------------------
 
 
-def _scores(spark: SparkSession) -> DataFrame:
-    return _planted(spark, "v_scores").select("note_id", F.col("semantic").cast("double").alias("semantic"), F.col("keyword").cast("double").alias("keyword"))
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the flagship query: the best of each channel, with both scores."""
+    asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).select("embedding").scalar()
+    return hybrid.candidates(_texts(spark, sf_dir), _vectors(spark, sf_dir), QUERY, asked, TOP_K).join(notes_view(spark, sf_dir).drop("body"), "note_id")
 
 
-_VS = "v_scores AS (SELECT note_id, cast(semantic AS DOUBLE) AS semantic, cast(keyword AS DOUBLE) AS keyword FROM (" + planted.SCORES + "))"
+_FOUND = f"WITH {_NOTES}, {_TOKENS}, {_KW}, {_SEM}, {_CAND}"
 
 
-@query(f"WITH {_VS}, {_rrf_sql('v_scores', 'f')} SELECT note_id, round(fused, 6) AS fused FROM f")
+@query(f"{_FOUND} SELECT note_id, round(semantic, 6) AS semantic, round(keyword, 6) AS keyword FROM cand")
+def candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("note_id", F.round("semantic", 6).alias("semantic"), F.round("keyword", 6).alias("keyword"))
+
+
+@query(f"{_FOUND}, {_rrf_sql('cand', 'f')} SELECT note_id, round(fused, 6) AS fused FROM f")
 def rrf(spark, sf_dir):
-    return fusion.rrf(_scores(spark)).select("note_id", F.round("fused", 6).alias("fused"))
+    return fusion.rrf(_candidates(spark, sf_dir)).select("note_id", F.round("fused", 6).alias("fused"))
 
 
 _Z = "1 / (1 + exp(-({0} - avg({0}) OVER ()) / stddev_pop({0}) OVER ()))"
 
 
-@query(f"WITH {_VS} SELECT note_id, round(0.5 * ({_Z.format('semantic')}) + 0.5 * ({_Z.format('keyword')}), 6) AS fused FROM v_scores")
+@query(f"{_FOUND} SELECT note_id, round(0.5 * ({_Z.format('semantic')}) + 0.5 * ({_Z.format('keyword')}), 6) AS fused FROM cand")
 def zsigmoid(spark, sf_dir):
-    return fusion.z_sigmoid(_scores(spark)).select("note_id", F.round("fused", 6).alias("fused"))
+    return fusion.z_sigmoid(_candidates(spark, sf_dir)).select("note_id", F.round("fused", 6).alias("fused"))
 
 
-@query(f"WITH {_VS} SELECT note_id, round(0.5 * ({_MINMAX.format('semantic')}) + 0.5 * ({_MINMAX.format('keyword')}), 6) AS fused FROM v_scores")
+@query(f"{_FOUND} SELECT note_id, round(0.5 * ({_MINMAX.format('semantic')}) + 0.5 * ({_MINMAX.format('keyword')}), 6) AS fused FROM cand")
 def minmax_fusion(spark, sf_dir):
-    return fusion.min_max_fusion(_scores(spark)).select("note_id", F.round("fused", 6).alias("fused"))
+    return fusion.min_max_fusion(_candidates(spark, sf_dir)).select("note_id", F.round("fused", 6).alias("fused"))
 
 
 def _search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
@@ -367,6 +353,46 @@ def mixed_cap(spark, sf_dir):
     return _search(spark, sf_dir, mixed=True).select("note_id", "folder", F.round("final", 4).alias("final"))
 
 
+_TURNS = """notes_v AS (SELECT 'c' || conv_id || '::s' || turn AS note_id, 'c' || conv_id AS group_id, conv_id * 7 + turn AS n,
+  '# Conversation ' || conv_id || chr(10) || chr(10) || 'Section: ' || role || chr(10) || chr(10) || text AS body FROM conversations)"""
+_TURNS_NEAR = f"""
+qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {QUERY_NOTE}),
+near AS (SELECT note_id, {_DIST.format(a="embedding", b="q")} AS distance FROM notes_v JOIN embeddings ON vec_id = n % 500, qv)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as notes and their turns as sections, each with a vector."""
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    rows = table(spark, sf_dir, "conversations").select(
+        F.concat(name, F.lit("::s"), F.col("turn").cast("string")).alias("entry_id"), name.alias("note_id"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title"),
+        F.lit("section").alias("granularity"), F.col("role").alias("heading"), F.col("text").alias("body"), (F.col("conv_id") * 7 + F.col("turn")).alias("n"),
+    )
+    rows = rows.withColumn("lexical", sync.lexical_text(rows))
+    vectors = rows.select("entry_id", (F.col("n") % 500).alias("vec_id")).join(table(spark, sf_dir, "embeddings"), "vec_id").select("entry_id", "embedding")
+    return rows, vectors
+
+
+def _section_search(spark: SparkSession, sf_dir: str, mixed: bool) -> DataFrame:
+    rows, vectors = _turns(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).select("embedding").scalar()
+    params = ranking.SearchParams(top_k=TOP_K, n_results=RESULTS)
+    out = hybrid.retrieve(rows, vectors, QUERY, asked, params, mixed=mixed, key="entry_id", group="note_id", lexical_text="lexical")
+    return out.select("entry_id", "note_id", F.round("final", 4).alias("final"))
+
+
+@query(f"""WITH {_TURNS}, {_TOKENS}, {_KW}, {_TURNS_NEAR}, {_CAND}, {_rrf_sql('cand', 'f')}
+SELECT note_id AS entry_id, group_id AS note_id, round(fused, 4) AS final FROM f ORDER BY fused DESC, entry_id LIMIT {RESULTS}""")
+def section_search(spark, sf_dir):
+    return _section_search(spark, sf_dir, False)
+
+
+@query(f"""WITH {_TURNS}, {_TOKENS}, {_KW}, {_TURNS_NEAR}, {_CAND}, {_rrf_sql('cand', 'f')},
+c AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY fused DESC, note_id) AS k FROM f)
+SELECT note_id AS entry_id, group_id AS note_id, round(fused, 4) AS final FROM c WHERE k <= 3 ORDER BY fused DESC, entry_id LIMIT {RESULTS}""")
+def mixed_search(spark, sf_dir):
+    return _section_search(spark, sf_dir, True)
+
+
 def _by_length(texts: list[str]) -> list[float]:
     return [1 / (1 + len(t)) for t in texts]
 
@@ -378,9 +404,17 @@ def rerank_pool(spark, sf_dir):
     return _search(spark, sf_dir, provider=_by_length).select("note_id", F.round("final", 6).alias("final"), F.col("rerank_rank").cast("long").alias("rerank_rank"))
 
 
-@query(f"WITH {_VS} SELECT note_id, round(1 - (row_number() OVER (ORDER BY keyword DESC, note_id) - 1) / greatest(count(*) OVER () - 1, 1) * 0.5, 6) AS rank_score FROM v_scores")
+@query(f"""{_HYBRID}, p AS (SELECT *, row_number() OVER (ORDER BY fused DESC, note_id) AS k FROM f), r AS (SELECT *, CASE WHEN k <= 30 THEN 1 / (1 + length(body)) END AS reranker FROM p),
+o AS (SELECT *, row_number() OVER (ORDER BY reranker DESC NULLS LAST, note_id) AS rr, count(reranker) OVER () AS n FROM r),
+v AS (SELECT *, CASE WHEN reranker IS NULL THEN fused ELSE 1 - (rr - 1) / greatest(n - 1, 1) * 0.5 END AS rel FROM o)
+SELECT note_id, round(rel, 6) AS final FROM v ORDER BY rel DESC, fused DESC, note_id LIMIT {RESULTS}""")
+def rerank_by_place(spark, sf_dir):
+    return _search(spark, sf_dir, provider=_by_length, recency_strategy="multiplicative").select("note_id", F.round("final", 6).alias("final"))
+
+
+@query(f"{_FOUND} SELECT note_id, round(1 - (row_number() OVER (ORDER BY keyword DESC, note_id) - 1) / greatest(count(*) OVER () - 1, 1) * 0.5, 6) AS rank_score FROM cand")
 def rank_scores(spark, sf_dir):
-    return ranking.rank_scores(_scores(spark), "keyword", "note_id").select("note_id", F.round("rank_score", 6).alias("rank_score"))
+    return ranking.rank_scores(_candidates(spark, sf_dir), "keyword", "note_id").select("note_id", F.round("rank_score", 6).alias("rank_score"))
 
 
 _FRESH = f"coalesce(exp(-greatest(floor(date_diff('microsecond', updated, TIMESTAMP '{NOW}') / 86400000000), 0) / 180), 0)"
@@ -410,24 +444,24 @@ def recency_multiplicative(spark, sf_dir):
 _ZED = "CASE WHEN stddev_pop({0}) OVER () < 1e-9 THEN 0 ELSE ({0} - avg({0}) OVER ()) / stddev_pop({0}) OVER () END"
 
 
-@query(f"""WITH {_VS}, z AS (SELECT note_id, CASE note_id WHEN 'a' THEN 2 WHEN 'b' THEN 7 END AS rr, {_ZED.format('keyword')} AS k, {_ZED.format('semantic')} AS s FROM v_scores)
+@query(f"""{_HYBRID}, p AS (SELECT * FROM f ORDER BY fused DESC, note_id LIMIT {RESULTS}),
+z AS (SELECT note_id, CASE WHEN cast(note_id AS BIGINT) % 4 = 0 THEN cast(note_id AS BIGINT) % 5 + 1 END AS rr, {_ZED.format('keyword')} AS k, {_ZED.format('semantic')} AS s FROM p)
 SELECT note_id, CASE WHEN rr <= 3 THEN 'reranked into top ' || rr || ' for this query' WHEN k > s THEN 'strong keyword match' WHEN s > k THEN 'strong semantic match' ELSE 'combined keyword+semantic signal' END AS why FROM z""")
 def evidence_why(spark, sf_dir):
-    rows = _scores(spark).withColumn("rerank_rank", F.when(F.col("note_id") == "a", 2).when(F.col("note_id") == "b", 7))
-    return evidence.why(rows).select("note_id", "why")
+    n = F.col("note_id").cast("long")
+    return evidence.why(_search(spark, sf_dir).withColumn("rerank_rank", F.when(n % 4 == 0, n % 5 + 1))).select("note_id", "why")
 
 
-@query(f"WITH {_VS} SELECT note_id, round((keyword - min(keyword) OVER ()) / CASE WHEN max(keyword) OVER () = min(keyword) OVER () THEN 1 ELSE max(keyword) OVER () - min(keyword) OVER () END * 100, 0) AS bar FROM v_scores")
+@query(f"""{_FOUND}, x AS (SELECT min(keyword) AS low, max(keyword) AS high FROM cand) SELECT note_id, round((keyword - low) / CASE WHEN high = low THEN 1 ELSE high - low END * 100, 0) AS bar FROM cand, x""")
 def display_bars(spark, sf_dir):
-    return _scores(spark).select("note_id", evidence.bars("keyword").alias("bar"))
+    return _candidates(spark, sf_dir).select("note_id", evidence.bars("keyword").alias("bar"))
 
 
-@query(f"""WITH {_NOTES}, p AS (SELECT *, row_number() OVER (ORDER BY updated DESC, note_id) - 1 AS k FROM notes_v WHERE updated IS NOT NULL)
-SELECT 'S' || k AS key, note_id, '<source key="S' || k || '" path="' || path || '"' || CASE WHEN provenance IN ('distilled', 'reference', 'llm') THEN ' provenance="' || provenance || '"' ELSE '' END
-  || '>' || chr(10) || left(body, 700) || chr(10) || '</source>' AS block FROM p WHERE k < 8""")
+@query(f"""{_HYBRID}, p AS (SELECT *, row_number() OVER (ORDER BY fused DESC, note_id) - 1 AS k FROM f)
+SELECT 'S' || k AS key, note_id, '<S' || k || CASE WHEN provenance IN ('distilled', 'reference', 'llm') THEN ' provenance=' || provenance ELSE '' END || printf(' score=%.4f>', fused) || chr(10) || 'Title: ' || title || chr(10)
+  || 'Path: ' || path || chr(10) || left(body, 700) || chr(10) || '</S' || k || '>' AS block FROM p WHERE k < 8""")
 def context_block(spark, sf_dir):
-    top = notes_view(spark, sf_dir).filter("updated IS NOT NULL").orderBy(F.desc("updated"), "note_id").limit(8)
-    return evidence.context(top, [F.desc("updated"), F.col("note_id")])
+    return evidence.context(_search(spark, sf_dir), [F.col("place")])
 
 
 @query(f"""{_HYBRID}, k AS (SELECT note_id, row_number() OVER (ORDER BY keyword DESC, note_id) AS rank, keyword AS score FROM kw), s AS (SELECT note_id, row_number() OVER (ORDER BY distance, note_id) AS rank, exp(-distance) + 1 AS score FROM near),
@@ -471,51 +505,75 @@ def dangling_targets(spark, sf_dir):
     return links.dangling(broken).select("target", "links", F.size("sources").cast("long").alias("sources"))
 
 
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    notes = _planted(spark, "v_notes")
-    return notes, links.resolve(links.body_links(notes), notes, _planted(spark, "v_attach"))
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    notes = planted.vault(spark, sf_dir)
+    found = links.body_links(notes).unionByName(links.frontmatter_links(notes.filter("frontmatter_text <> ''")))
+    return notes, links.resolve(found, notes, planted.files(spark, sf_dir))
 
 
 _LINKS = f"""
-WITH RECURSIVE v_notes0 AS ({planted.NOTES}), v_notes AS (SELECT * REPLACE (replace(body, '\\n', chr(10)) AS body) FROM v_notes0), v_attach AS ({planted.ATTACHMENTS}),
-ln AS (SELECT path, unnest(string_split(body, chr(10))) AS text, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line FROM v_notes),
+WITH v_notes AS MATERIALIZED ({planted.VAULT_SQL}), v_files AS ({planted.FILES_SQL}),
+ln AS (SELECT path, unnest(string_split(body, chr(10))) AS text, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line FROM v_notes WHERE contains(body, '[[')),
 st AS (SELECT *, sum(cast(starts_with(trim(text), '```') AS INT)) OVER (PARTITION BY path ORDER BY line) AS fences FROM ln),
-lk AS (SELECT path, line, trim(unnest(regexp_extract_all(regexp_replace(text, '`[^`]*`', '', 'g'), '\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1))) AS target FROM st WHERE fences % 2 = 0 AND NOT starts_with(trim(text), '```')),
+vl AS (SELECT path, line, regexp_replace(text, '`[^`]*`', '', 'g') AS text FROM st WHERE fences % 2 = 0 AND NOT starts_with(trim(text), '```')),
+fl AS (SELECT path, unnest(string_split(frontmatter_text, chr(10))) AS text, unnest(range(2, len(string_split(frontmatter_text, chr(10))) + 2)) AS line FROM v_notes WHERE frontmatter_text <> ''),
+lk AS (SELECT path, 'body' AS location, line, trim(unnest(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1))) AS target FROM vl
+  UNION ALL SELECT path, 'frontmatter', line, trim(unnest(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1))) FROM fl),
 nm AS (
   SELECT path, 1 AS rank, lower(title) AS key FROM v_notes UNION ALL SELECT path, 2, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '')) FROM v_notes
   UNION ALL SELECT path, 3, lower(path) FROM v_notes UNION ALL SELECT path, 3, lower(regexp_replace(path, '\\.md$', '')) FROM v_notes
-  UNION ALL SELECT path, 4, lower(unnest(string_split(alias_list, '|'))) FROM v_notes WHERE alias_list <> ''
+  UNION ALL SELECT path, 4, lower(alias) FROM v_notes WHERE alias IS NOT NULL
 ), ky AS (SELECT key, path AS resolved FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, string_split(path, '/')) AS k FROM nm) WHERE k = 1),
-ak AS (SELECT DISTINCT unnest([lower(path), lower(regexp_extract(path, '[^/]*$')), lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', ''))]) AS key FROM v_attach),
-rs AS (SELECT lk.*, resolved, resolved IS NULL AND lower(target) IN (SELECT key FROM ak) AS attachment FROM lk LEFT JOIN ky ON lower(target) = key),
-ed AS (SELECT DISTINCT path AS src, resolved AS dst FROM rs WHERE resolved IS NOT NULL AND resolved <> path)
+ak AS (SELECT DISTINCT unnest([lower(path), lower(regexp_extract(path, '[^/]*$')), lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', ''))]) AS key FROM v_files),
+rs AS MATERIALIZED (SELECT lk.*, resolved, resolved IS NULL AND ak.key IS NOT NULL AS attachment FROM lk LEFT JOIN ky ON lower(target) = ky.key LEFT JOIN ak ON lower(target) = ak.key),
+ed AS MATERIALIZED (SELECT DISTINCT path AS src, resolved AS dst FROM rs WHERE resolved IS NOT NULL AND resolved <> path)
 """
 
 
-@query(f"{_LINKS} SELECT path, line, target, resolved, attachment FROM rs")
+@query(f"{_LINKS} SELECT path, location, line, target, resolved, attachment FROM rs")
 def resolve_links(spark, sf_dir):
-    return _graph(spark)[1].select("path", F.col("line").cast("long").alias("line"), "target", "resolved", "attachment")
+    return _graph(spark, sf_dir)[1].select("path", "location", F.col("line").cast("long").alias("line"), "target", "resolved", "attachment")
 
 
 @query(f"{_LINKS} SELECT dst AS path, string_agg(src, ';' ORDER BY src) AS linked_from, count(*) AS n FROM ed GROUP BY dst")
 def backlinks(spark, sf_dir):
-    return links.backlinks(links.edges(_graph(spark)[1])).select("path", F.array_join("linked_from", ";").alias("linked_from"), "n")
+    return links.backlinks(links.edges(_graph(spark, sf_dir)[1])).select("path", F.array_join("linked_from", ";").alias("linked_from"), "n")
 
 
-@query(f"{_LINKS} SELECT path FROM v_notes WHERE note_type <> 'distilled' AND path NOT IN (SELECT src FROM ed) AND path NOT IN (SELECT dst FROM ed)")
+_ORPHANS = "SELECT path FROM v_notes WHERE note_type <> 'distilled' AND provenance <> 'distilled' AND path NOT IN (SELECT src FROM ed) AND path NOT IN (SELECT dst FROM ed)"
+
+
+@query(f"{_LINKS} {_ORPHANS}")
 def orphans(spark, sf_dir):
-    notes, resolved = _graph(spark)
+    notes, resolved = _graph(spark, sf_dir)
     return health.orphans(notes, links.edges(resolved))
 
 
-@query(f"{_LINKS} SELECT path, line, target FROM rs WHERE resolved IS NULL AND NOT attachment")
+_BROKEN = "SELECT path, location, line, target FROM rs WHERE resolved IS NULL AND NOT attachment"
+
+
+@query(f"{_LINKS} {_BROKEN}")
 def broken_links(spark, sf_dir):
-    return links.unresolved(_graph(spark)[1]).select("path", F.col("line").cast("long").alias("line"), "target")
+    return links.unresolved(_graph(spark, sf_dir)[1]).select("path", "location", F.col("line").cast("long").alias("line"), "target")
 
 
-@query("SELECT * FROM (VALUES ('Distilled/Old.md', 'Areas/Gamma.md')) AS t(path, sources)")
+@query(f"{_LINKS}, b AS ({_BROKEN}) SELECT target, count(*) AS links, string_agg(DISTINCT path, ';' ORDER BY path) AS sources FROM b GROUP BY target")
+def dangling_notes(spark, sf_dir):
+    return links.dangling(links.unresolved(_graph(spark, sf_dir)[1])).select("target", "links", F.array_join("sources", ";").alias("sources"))
+
+
+_STALE = """, sv AS (SELECT v.*, line FROM vl v JOIN v_notes n USING (path) WHERE note_type = 'distilled' OR provenance = 'distilled'),
+sh AS (SELECT path, min(line) AS top FROM sv WHERE regexp_matches(text, '(?i)^#{1,6}\\s+sources\\s*$') GROUP BY path),
+se AS (SELECT sh.path, top, coalesce(min(v.line), 1000000000) AS foot FROM sh LEFT JOIN sv v ON v.path = sh.path AND v.line > top AND regexp_matches(v.text, '^#{1,6}\\s') GROUP BY ALL),
+sl AS (SELECT se.path, trim(unnest(regexp_extract_all(text, '\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1))) AS target FROM se JOIN sv v ON v.path = se.path AND v.line > top AND v.line < foot),
+sr AS (SELECT sl.*, resolved FROM sl LEFT JOIN ky ON lower(target) = key),
+stale AS (SELECT sr.path, 'stale' AS kind, string_agg(DISTINCT resolved, ';' ORDER BY resolved) AS sources FROM sr JOIN v_notes d ON d.path = sr.path JOIN v_notes x ON x.path = sr.resolved WHERE x.recency > d.recency GROUP BY sr.path
+  UNION ALL SELECT path, 'unresolvable', target FROM sr WHERE resolved IS NULL)"""
+
+
+@query(f"{_LINKS}{_STALE} SELECT path, kind, sources FROM stale")
 def stale_distilled(spark, sf_dir):
-    return health.stale_distilled(_planted(spark, "v_notes")).select("path", F.array_join("sources", ";").alias("sources"))
+    return health.stale_distilled(planted.vault(spark, sf_dir)).select("path", "kind", F.array_join("sources", ";").alias("sources"))
 
 
 @query("""SELECT sha256(text) AS content_hash, count(*) AS n, string_agg(source || '/' || doc_id || '.md', ';' ORDER BY source || '/' || doc_id || '.md') AS paths FROM documents GROUP BY text HAVING count(*) > 1""")
@@ -524,42 +582,79 @@ def duplicate_content(spark, sf_dir):
     return health.duplicate_ids(rows, "content_hash").select("content_hash", F.size("paths").cast("long").alias("n"), F.array_join("paths", ";").alias("paths"))
 
 
-@query(f"""{_LINKS.replace("WITH RECURSIVE", "WITH")}, g AS (SELECT lower(title) AS k, string_agg(path, ';' ORDER BY path) AS paths, arg_min(title, string_split(path, '/')) AS title, count(*) AS n FROM v_notes GROUP BY 1)
-SELECT title, paths FROM g WHERE n > 1""")
+_VAULT = f"WITH v_notes AS ({planted.VAULT_SQL})"
+_TITLES = ", g AS (SELECT lower(title) AS k, string_agg(path, ';' ORDER BY path) AS paths, arg_min(title, string_split(path, '/')) AS title, count(*) AS n FROM v_notes GROUP BY 1)"
+
+
+@query(f"{_VAULT}{_TITLES} SELECT title, paths FROM g WHERE n > 1")
 def duplicate_titles(spark, sf_dir):
-    return health.duplicate_titles(_planted(spark, "v_notes")).select("title", F.array_join("paths", ";").alias("paths"))
+    return health.duplicate_titles(planted.vault(spark, sf_dir)).select("title", F.array_join("paths", ";").alias("paths"))
+
+
+_IDS = "SELECT id, string_agg(path, ';' ORDER BY path) AS paths FROM v_notes WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1"
+
 
+@query(f"{_VAULT} {_IDS}")
+def duplicate_ids(spark, sf_dir):
+    return health.duplicate_ids(planted.vault(spark, sf_dir)).select("id", F.array_join("paths", ";").alias("paths"))
 
-@query(f"{_LINKS} SELECT n.path, count(e.src) AS inbound FROM v_notes n LEFT JOIN ed e ON e.dst = n.path WHERE length(trim(n.body)) <= 20 GROUP BY n.path")
+
+_EMPTY = "SELECT n.path, length(trim(n.body)) AS chars, count(e.src) AS inbound FROM v_notes n LEFT JOIN ed e ON e.dst = n.path WHERE length(trim(n.body)) <= 20 GROUP BY ALL"
+
+
+@query(f"{_LINKS} {_EMPTY}")
 def empty_notes(spark, sf_dir):
-    notes, resolved = _graph(spark)
-    return health.empty_notes(notes, links.edges(resolved))
+    notes, resolved = _graph(spark, sf_dir)
+    return health.empty_notes(notes, links.edges(resolved)).withColumn("chars", F.col("chars").cast("long"))
+
+
+_MISSING = """SELECT path, concat_ws(',', CASE WHEN id IS NULL THEN 'id' END, CASE WHEN created IS NULL THEN 'created' END, CASE WHEN updated IS NULL THEN 'updated' END) AS missing
+FROM v_notes WHERE id IS NULL OR created IS NULL OR updated IS NULL"""
 
 
-@query(f"""WITH v AS ({planted.NOTES}) SELECT path, concat_ws(',', CASE WHEN coalesce(trim(created), '') = '' THEN 'created' END, CASE WHEN coalesce(trim(updated), '') = '' THEN 'updated' END) AS missing
-FROM v WHERE coalesce(trim(created), '') = '' OR coalesce(trim(updated), '') = ''""")
+@query(f"{_VAULT} {_MISSING}")
 def missing_fields(spark, sf_dir):
-    return health.missing_fields(_planted(spark, "v_notes"), ("created", "updated")).select("path", F.array_join("missing", ",").alias("missing"))
+    return health.missing_fields(planted.vault(spark, sf_dir)).select("path", F.array_join("missing", ",").alias("missing"))
 
 
-@query("SELECT * FROM (VALUES ('Projects/Beta.md', 'created', 'naive'), ('Projects/Beta.md', 'updated', 'unparseable'), ('Projects/Empty.md', 'created', 'unparseable'), ('Projects/Empty.md', 'updated', 'unparseable')) AS t(path, field, problem)")
+_TIMES = """, f AS (SELECT path, 'created' AS field, created AS value FROM v_notes UNION ALL SELECT path, 'updated', updated FROM v_notes),
+p AS (SELECT path, field, CASE WHEN NOT regexp_matches(value, '^\\d{4}-') THEN 'unparseable' WHEN regexp_matches(value, '(Z|[+-]\\d\\d:\\d\\d)$') THEN 'offset_aware' ELSE 'naive' END AS kind FROM f WHERE value IS NOT NULL)"""
+
+
+@query(f"{_VAULT}{_TIMES} SELECT path, field, kind AS problem FROM p WHERE kind <> 'offset_aware'")
 def invalid_timestamps(spark, sf_dir):
-    return health.invalid_timestamps(_planted(spark, "v_notes")).select("path", "field", "problem")
+    return health.invalid_timestamps(planted.vault(spark, sf_dir)).select("path", "field", "problem")
+
+
+@query(f"{_VAULT}{_TIMES} SELECT path, field, kind AS problem FROM p WHERE kind <> 'naive'")
+def invalid_local_timestamps(spark, sf_dir):
+    return health.invalid_timestamps(planted.vault(spark, sf_dir), "local").select("path", "field", "problem")
 
 
-@query(f"WITH v AS ({planted.NOTES}) SELECT path, provenance FROM v WHERE provenance IN ('reference', 'llm') AND coalesce(trim(source_url), '') = ''")
+_SOURCELESS = "SELECT path, provenance FROM v_notes WHERE provenance IN ('reference', 'llm') AND coalesce(trim(source_url), '') = ''"
+
+
+@query(f"{_VAULT} {_SOURCELESS}")
 def missing_source(spark, sf_dir):
-    return health.imported_missing_source(_planted(spark, "v_notes"))
+    return health.imported_missing_source(planted.vault(spark, sf_dir))
 
 
-@query()
+_COPIES = "SELECT c.path, b.path AS base_path FROM v_notes c JOIN v_notes b ON regexp_matches(c.path, ' \\d+\\.md$') AND b.path = regexp_replace(c.path, ' \\d+\\.md$', '.md')"
+
+
+@query(f"{_VAULT} {_COPIES}")
 def conflict_copies(spark, sf_dir):
-    return health.conflict_copies(_planted(spark, "v_notes"))
+    """The pairs; how alike they are is compared with the plain ratio in the tests."""
+    return health.conflict_copies(planted.vault(spark, sf_dir)).filter("similarity BETWEEN 0 AND 1").select("path", "base_path")
 
 
-@query()
+@query(f"""{_LINKS}{_STALE}{_TITLES}{_TIMES}
+SELECT 'missing_frontmatter_fields' AS name, count(*) AS n FROM ({_MISSING}) UNION ALL SELECT 'invalid_timestamps', count(*) FROM p WHERE kind <> 'offset_aware' UNION ALL SELECT 'duplicate_ids', count(*) FROM ({_IDS})
+UNION ALL SELECT 'duplicate_titles', count(*) FROM g WHERE g.n > 1 UNION ALL SELECT 'broken_wikilinks', count(*) FROM ({_BROKEN}) UNION ALL SELECT 'dangling_targets', count(DISTINCT target) FROM ({_BROKEN})
+UNION ALL SELECT 'empty_notes', count(*) FROM ({_EMPTY}) UNION ALL SELECT 'conflict_copies', count(*) FROM ({_COPIES}) UNION ALL SELECT 'imported_missing_source', count(*) FROM ({_SOURCELESS})
+UNION ALL SELECT 'orphans', count(*) FROM ({_ORPHANS}) UNION ALL SELECT 'stale_distilled', count(*) FROM stale""")
 def health_summary(spark, sf_dir):
-    return health.summary(health.all_checks(_planted(spark, "v_notes"), _planted(spark, "v_attach")))
+    return health.summary(health.all_checks(planted.vault(spark, sf_dir), planted.files(spark, sf_dir)))
 
 
 # --- chunking ---------------------------------------------------------------------------------------------
@@ -633,43 +728,106 @@ def summary_status(spark, sf_dir):
 
 # --- evaluation ---------------------------------------------------------------------------------------------
 
-_EVAL = f"""
-WITH v_labels AS ({planted.LABELS}), v_groups AS ({planted.GROUPS}), v_hits AS ({planted.HITS}),
-m AS (SELECT h.query_id, h.rank, h.path, l.heading, row_number() OVER (PARTITION BY h.query_id, h.rank ORDER BY length(l.heading) DESC) AS k
-      FROM v_hits h JOIN v_labels l ON h.query_id = l.query_id AND h.path = l.path AND (l.heading = '' OR l.heading = h.heading)),
-c AS (SELECT l.query_id, l.path, l.heading, l.grade, min(m.rank) AS rank FROM v_labels l LEFT JOIN m ON m.k = 1 AND m.query_id = l.query_id AND m.path = l.path AND m.heading = l.heading GROUP BY ALL)
+
+def _golden(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, groups and hits of a query for each 25 documents: two documents may be sections of one note, every third hit is a whole note."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("n_chars") % 97), "doc_id"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("q"), F.floor(F.col("doc_id") / 25).cast("string")).alias("query_id"), F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".md")).alias("path"),
+        F.col("lang").alias("heading"), "doc_id", "n_chars",
+    )
+    grade = F.when(F.col("quality") == 1, 2 + F.col("doc_id") % 2).otherwise(F.col("toxic")).cast("int")
+    labels = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("query_id", "path", "heading", grade.alias("grade"), F.col("doc_id").alias("ord"))
+    groups = labels.filter("grade >= 2").select("query_id", (F.col("ord") % 3).alias("group_no"), "path", "heading")
+    hits = docs.select("query_id", place.alias("rank"), "path", "heading", F.concat("path", F.when(F.col("doc_id") % 3 == 0, "::doc").otherwise("::s001")).alias("chunk_id"))
+    return labels, groups, hits
+
+
+_GOLD = """
+WITH RECURSIVE d AS (SELECT 'q' || cast(floor(doc_id / 25) AS BIGINT) AS query_id, source || '/' || cast(floor(doc_id / 2) AS BIGINT) || '.md' AS path, lang AS heading, doc_id, n_chars FROM documents),
+g_labels AS (SELECT query_id, path, {heading} AS heading, CASE WHEN quality = 1 THEN 2 + doc_id % 2 ELSE toxic END AS grade, doc_id AS ord FROM d JOIN labels USING (doc_id)),
+g_groups AS (SELECT query_id, ord % 3 AS group_no, path, heading FROM g_labels WHERE grade >= 2),
+g_hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars % 97 DESC, doc_id) AS rank, path, heading, {whole} AS whole FROM d),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, ord, path, heading) AS n
+      FROM (SELECT query_id, path, heading, max(grade) AS grade, min(ord) AS ord FROM g_labels GROUP BY ALL HAVING max(grade) > 0)),
+m AS (SELECT h.query_id, h.rank, list(u.n ORDER BY u.n) AS fits FROM g_hits h JOIN u ON h.query_id = u.query_id AND h.path = u.path AND (h.whole OR h.heading = u.heading) WHERE h.rank <= 5 GROUP BY ALL),
+f AS (
+  SELECT query_id, 0 AS r, [0]::BIGINT[] AS taken, NULL::BIGINT AS best FROM (SELECT DISTINCT query_id FROM u)
+  UNION ALL
+  SELECT query_id, r, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END, best
+  FROM (SELECT f.query_id, f.r + 1 AS r, f.taken, list_filter(m.fits, lambda x: NOT list_contains(f.taken, x))[1] AS best FROM f LEFT JOIN m ON m.query_id = f.query_id AND m.rank = f.r + 1 WHERE f.r < 5)
+),
+c AS (SELECT u.*, f.r AS rank FROM u LEFT JOIN f ON f.query_id = u.query_id AND f.best = u.n)
 """
+_EVAL = _GOLD.format(heading="heading", whole="doc_id % 3 = 0")
+_EVAL_NOTES = _GOLD.format(heading="''", whole="true")
+_NDCG = """SELECT query_id, round(sum(CASE WHEN rank <= 5 THEN grade / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN n <= 5 THEN grade / log2(n + 1) ELSE 0 END), 4) AS ndcg FROM c GROUP BY query_id"""
 
 
-def _claims(spark: SparkSession) -> DataFrame:
-    return evaluation.claims(_planted(spark, "v_labels"), _planted(spark, "v_hits"))
+@query(f"{_EVAL} {_NDCG}")
+def ndcg(spark, sf_dir):
+    labels, _, hits = _golden(spark, sf_dir)
+    return evaluation.ndcg(evaluation.claims(labels, hits)).select("query_id", F.round("ndcg", 4).alias("ndcg"))
 
 
-_NDCG = """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, path, heading) AS place FROM c),
-s AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN grade / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN place <= 5 THEN grade / log2(place + 1) ELSE 0 END) AS ideal FROM o GROUP BY query_id)
-"""
+@query(f"{_EVAL_NOTES} {_NDCG}")
+def ndcg_of_notes(spark, sf_dir):
+    labels, _, hits = _golden(spark, sf_dir)
+    return evaluation.ndcg(evaluation.claims(labels, hits, note_level=True)).select("query_id", F.round("ndcg", 4).alias("ndcg"))
 
 
-@query(f"{_EVAL}{_NDCG} SELECT query_id, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 4) AS ndcg FROM s")
-def ndcg(spark, sf_dir):
-    return evaluation.ndcg(_claims(spark)).select("query_id", F.round("ndcg", 4).alias("ndcg"))
+@query(f"{_EVAL} SELECT query_id, path, heading, cast(grade AS INT) AS grade, cast(rank AS INT) AS rank FROM c WHERE rank IS NOT NULL")
+def claimed_labels(spark, sf_dir):
+    labels, _, hits = _golden(spark, sf_dir)
+    return evaluation.claims(labels, hits).filter("rank IS NOT NULL").select("query_id", "path", "heading", "grade", "rank")
 
 
-@query(f"""{_EVAL}, g AS (SELECT g.query_id, g.group_no, coalesce(bool_or(h.rank <= 5 AND (g.heading = '' OR g.heading = h.heading)), false) AS ok
-FROM v_groups g LEFT JOIN v_hits h ON h.query_id = g.query_id AND h.path = g.path GROUP BY ALL) SELECT query_id, round(avg(cast(ok AS INT)), 4) AS recall, bool_and(ok) AS complete FROM g GROUP BY query_id""")
+@query(f"""{_EVAL}, o AS (SELECT g.query_id, g.group_no, coalesce(bool_or(h.rank IS NOT NULL), false) AS ok
+FROM g_groups g LEFT JOIN g_hits h ON h.rank <= 5 AND h.query_id = g.query_id AND h.path = g.path AND (h.whole OR h.heading = g.heading) GROUP BY ALL)
+SELECT query_id, round(avg(cast(ok AS INT)), 4) AS recall, bool_and(ok) AS complete, coalesce(string_agg(CASE WHEN NOT ok THEN group_no END, ',' ORDER BY group_no), '') AS unmet FROM o GROUP BY query_id""")
 def group_recall(spark, sf_dir):
-    out = evaluation.group_recall(_planted(spark, "v_groups"), _planted(spark, "v_hits"))
-    return out.select("query_id", F.round("recall", 4).alias("recall"), "complete")
+    _, groups, hits = _golden(spark, sf_dir)
+    return evaluation.group_recall(groups, hits).select("query_id", F.round("recall", 4).alias("recall"), "complete", F.array_join(F.col("unmet").cast("array<string>"), ",").alias("unmet"))
+
 
+_RR = """SELECT q.query_id, cast(min(h.rank) AS INT) AS first_rank, round(coalesce(1 / min(h.rank), 0), 4) AS rr FROM (SELECT DISTINCT query_id FROM g_labels) q
+LEFT JOIN u ON u.query_id = q.query_id AND u.grade = 3 LEFT JOIN g_hits h ON h.query_id = u.query_id AND h.path = u.path AND (h.whole OR h.heading = u.heading) GROUP BY q.query_id"""
 
-@query(f"{_EVAL} SELECT query_id, round(coalesce(1 / min(CASE WHEN grade >= 3 THEN rank END), 0), 4) AS rr FROM c GROUP BY query_id")
+
+@query(f"{_EVAL} {_RR}")
 def mrr(spark, sf_dir):
-    return evaluation.reciprocal_rank(_claims(spark)).select("query_id", F.round("rr", 4).alias("rr"))
+    labels, _, hits = _golden(spark, sf_dir)
+    return evaluation.reciprocal_rank(labels, hits).select("query_id", "first_rank", F.round("rr", 4).alias("rr"))
 
 
-@query(f"{_EVAL} SELECT query_id, path, heading, grade FROM c WHERE grade >= 2 AND rank IS NULL")
+@query(f"{_EVAL} SELECT query_id, path, heading, cast(grade AS INT) AS grade FROM c WHERE grade >= 2 AND rank IS NULL")
 def missed_evidence(spark, sf_dir):
-    return evaluation.missed(_claims(spark))
+    labels, _, hits = _golden(spark, sf_dir)
+    return evaluation.missed(evaluation.claims(labels, hits))
+
+
+@query(f"""{_EVAL}, n AS ({_NDCG}), r AS ({_RR}), o AS (SELECT g.query_id, g.group_no, coalesce(bool_or(h.rank IS NOT NULL), false) AS ok
+FROM g_groups g LEFT JOIN g_hits h ON h.rank <= 5 AND h.query_id = g.query_id AND h.path = g.path AND (h.whole OR h.heading = g.heading) GROUP BY ALL),
+p AS (SELECT query_id, round(avg(cast(ok AS INT)), 4) AS recall, bool_and(ok) AS complete FROM o GROUP BY query_id),
+s AS (SELECT r.query_id, coalesce(ndcg, 0) AS ndcg, coalesce(recall, 0) AS recall, coalesce(complete, false) AS complete, rr FROM r LEFT JOIN n USING (query_id) LEFT JOIN p USING (query_id))
+SELECT count(*) AS queries_scored, round(avg(ndcg), 4) AS mean_ndcg, round(avg(recall), 4) AS mean_recall, round(avg(cast(complete AS INT)), 4) AS complete_rate, round(avg(rr), 4) AS mrr FROM s""")
+def eval_means(spark, sf_dir):
+    return evaluation.retrieval_means(evaluation.scores(*_golden(spark, sf_dir)))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, turn % 3 > 0 AS answerable, length(text) % 4 = 0 AS abstained, length(text) % 5 <> 0 AS complete, CASE WHEN turn % 2 = 0 THEN round(length(text) % 11 / 10, 4) END AS coverage,
+CASE WHEN length(text) % 7 < 4 THEN length(text) % 7 END AS forbidden, length(text) % 13 = 0 AS failed FROM conversations)
+SELECT count(*) AS queries_scored, round(avg(cast(abstained <> answerable AS INT)), 4) AS abstention_accuracy, round(avg(cast(abstained AS INT)) FILTER (answerable), 4) AS false_abstain_rate,
+round(avg(cast(NOT abstained AS INT)) FILTER (NOT answerable), 4) AS false_answer_rate, round(avg(cast(complete AS INT)) FILTER (answerable AND NOT abstained), 4) AS citation_complete_rate,
+round(avg(coverage) FILTER (answerable), 4) AS gold_fact_coverage, round(avg(cast(forbidden > 0 AS INT)) FILTER (forbidden IS NOT NULL AND NOT failed), 4) AS forbidden_fact_violation_rate,
+count(*) FILTER (failed) AS judge_failures FROM r""")
+def answer_means(spark, sf_dir):
+    n = F.length("text")
+    rows = table(spark, sf_dir, "conversations").select(
+        (F.col("turn") % 3 > 0).alias("answerable"), (n % 4 == 0).alias("abstained"), (n % 5 != 0).alias("citation_complete"), F.when(F.col("turn") % 2 == 0, F.round(n % 11 / 10, 4)).alias("gold_fact_coverage"),
+        F.when(n % 7 < 4, F.array_repeat(F.lit("f"), (n % 7).cast("int"))).alias("forbidden_facts_present"), (n % 13 == 0).alias("judge_failed"),
+    )
+    return evaluation.synthesis_means(rows.withColumn("abstention_correct", F.col("abstained") != F.col("answerable")))
 
 
 @query("""WITH r AS (SELECT doc_id, lang AS category, [source, CASE WHEN n_chars > 1500 THEN 'long' ELSE 'short' END] AS slices, round(n_chars % 100 / 99, 4) AS m FROM documents),
@@ -694,23 +852,60 @@ def label_validation(spark, sf_dir):
 # --- backfill, edits, answers -----------------------------------------------------------------------------------
 
 
-@query(f"""WITH v AS ({planted.NOTES}) SELECT path, coalesce(nullif(provenance, ''), CASE WHEN note_type = 'distilled' THEN 'distilled' WHEN coalesce(trim(source_url), '') <> '' THEN 'reference' ELSE 'human' END) AS provenance,
-coalesce(provenance, '') = '' AS filled FROM v""")
+@query(f"""{_VAULT} SELECT path, CASE WHEN provenance <> '' THEN provenance WHEN note_type = 'distilled' THEN 'distilled' WHEN trim(lower(source_type)) = 'llm' THEN 'llm'
+WHEN trim(coalesce(source_url, '')) <> '' OR source_type = 'web' THEN 'reference' ELSE 'human' END AS provenance, provenance = '' AS filled FROM v_notes""")
 def provenance_backfill(spark, sf_dir):
-    return backfill.provenance(_planted(spark, "v_notes").withColumn("generated_by", F.lit(None).cast("string")))
+    return backfill.provenance(planted.vault(spark, sf_dir))
+
+
+#: Frontmatter of each kind that the rules tell apart, and the times of commits and files.
+_FRONT = {
+    "path": "cast(doc_id AS STRING) || '.md'",
+    "id": "CASE WHEN doc_id % 3 = 0 THEN 'id' || cast(CASE WHEN doc_id % 30 = 27 THEN doc_id - 3 ELSE doc_id END AS STRING) END",
+    "uid": "CASE WHEN doc_id % 12 = 3 THEN 'id' || cast(doc_id AS STRING) WHEN doc_id % 12 = 6 THEN 'other' WHEN doc_id % 12 = 7 THEN '01ARZ3NDEKTSV4RRFFQ69G5FAV' WHEN doc_id % 12 = 8 THEN 'old' END",
+    "luid": "CASE WHEN doc_id % 24 = 8 THEN 'older' END",
+    "created": "CASE WHEN doc_id % 7 = 1 THEN '2024-01-01T00:00:00Z' WHEN doc_id % 35 = 9 THEN 'once' WHEN doc_id % 7 = 5 THEN '2024-09-01T00:00:00Z' END",
+    "updated": "CASE WHEN doc_id % 5 = 0 THEN '2024-02-01T00:00:00Z' END",
+    "date": "CASE WHEN doc_id % 8 = 4 THEN '2023-05-05T06:07:08Z' WHEN doc_id % 40 = 11 THEN 'never' END",
+    "first_commit": "CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2023-06-01 01:02:03' END",
+    "last_commit": "CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-07-01 01:02:03' END",
+    "birth": "CASE WHEN doc_id % 9 = 1 THEN TIMESTAMP '2022-02-02 01:02:03' END",
+    "mtime": "TIMESTAMP '2024-03-01 01:02:03'",
+}
+_NAMED = ("id", "uid", "luid", "created", "updated", "date")
+_FRONT_SQL = f"""WITH v AS (SELECT doc_id, {', '.join(f'{e} AS {c}' for c, e in _FRONT.items())} FROM documents), w AS (SELECT *, doc_id % 50 = 49 AS broken, count(id) OVER (PARTITION BY id) AS n FROM v),
+m AS (SELECT *, CASE WHEN broken THEN 'frontmatter present but failed to parse' WHEN id IS NOT NULL AND (uid <> id OR luid <> id) THEN 'id and legacy identifier disagree' WHEN uid <> luid THEN 'multiple legacy identifiers disagree'
+  WHEN created = 'once' THEN 'created value does not parse' WHEN date = 'never' THEN 'date value does not parse' WHEN id IS NOT NULL AND n > 1 THEN 'duplicate id shared across notes' END AS reason FROM w)"""
+
+
+def _front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", *(f"{e} AS `{c}`" for c, e in _FRONT.items()))
+    broken = F.col("doc_id") % 50 == 49
+    names = F.when(broken, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.lit("a"), *(F.when(F.col(c).isNotNull(), F.lit(c)) for c in _NAMED))))
+    fields = F.when(broken, "{}").otherwise(F.to_json(F.struct(*_NAMED)))
+    raw = F.when(broken, "---\n: [\n---\nbody").otherwise("---\na: 1\n---\nbody")
+    return rows.select("path", raw.alias("raw"), fields.alias("fields"), names.alias("field_names"), *(F.col(c).cast("timestamp").alias(c) for c in ("first_commit", "last_commit", "birth", "mtime")))
+
+
+@query(f"{_FRONT_SQL} SELECT path, reason FROM m WHERE reason IS NOT NULL")
+def frontmatter_manual(spark, sf_dir):
+    return backfill.manual(_front(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('p2', 'id', 'u2', 'uid', 'high'), ('p2', 'created', '2023-05-05', 'date', 'high'), ('p2', 'updated', '2023-07-01', 'last commit', 'high'),
-('p3', 'id', md5('p3'), 'minted', 'high'), ('p3', 'created', '2023-06-01', 'first commit', 'high'), ('p3', 'updated', '2024-03-01', 'modification time', 'low'),
-('p7', 'updated', '2024-05-01', 'created', 'low'), ('p8', 'id', md5('p8'), 'minted', 'high'), ('p8', 'created', '2022-02-02', 'birth time', 'medium'), ('p8', 'updated', '2024-03-01', 'modification time', 'low'))
-AS t(path, field, value, source, confidence)""")
-def frontmatter_resolution(spark, sf_dir):
-    return backfill.resolution(_planted(spark, "v_front"))
+_STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 
 
-@query("SELECT * FROM (VALUES ('p4', 'id and uid differ'), ('p5', 'created is no time'), ('p6', 'updated before created')) AS t(path, reason)")
-def frontmatter_manual(spark, sf_dir):
-    return backfill.manual(_planted(spark, "v_front"))
+@query(f"""{_FRONT_SQL}, c AS (SELECT *, coalesce(date, {_STAMP.format('first_commit')}, {_STAMP.format('birth')}, {_STAMP.format('mtime')}) AS c_value,
+CASE WHEN date IS NOT NULL THEN 'legacy_field/high' WHEN first_commit IS NOT NULL THEN 'git_first_commit/high' WHEN birth IS NOT NULL THEN 'birthtime/medium' ELSE 'mtime/low' END AS c_how,
+coalesce({_STAMP.format('last_commit')}, {_STAMP.format('mtime')}) AS u_value, CASE WHEN last_commit IS NOT NULL THEN 'git_last_commit/high' ELSE 'mtime/medium' END AS u_how FROM m WHERE reason IS NULL)
+SELECT path, 'id' AS field, coalesce(uid, luid, '(ulid)') AS value, CASE WHEN coalesce(uid, luid) IS NULL THEN 'generated/high' ELSE 'legacy_field/high' END AS how, CASE WHEN length(coalesce(uid, luid)) < 26 THEN 1 ELSE 0 END AS warned
+FROM c WHERE id IS NULL
+UNION ALL SELECT path, 'created', c_value, c_how, 0 FROM c WHERE created IS NULL
+UNION ALL SELECT path, 'updated', greatest(u_value, coalesce(created, c_value)), u_how, CASE WHEN u_value < coalesce(created, c_value) THEN 1 ELSE 0 END FROM c WHERE updated IS NULL""")
+def frontmatter_resolution(spark, sf_dir):
+    rows = backfill.resolution(_front(spark, sf_dir), commits="high", policy="utc_z")
+    value = F.when((F.col("source") == "generated") & T.is_ulid(F.col("value")), "(ulid)").otherwise(F.col("value"))
+    return rows.select("path", "field", value.alias("value"), F.concat("source", F.lit("/"), "confidence").alias("how"), F.size("warnings").alias("warned"))
 
 
 @query()

@@ -1,53 +1,59 @@
-"""Small planted relations that cover every branch of link resolution and the checks.
+"""What the star-schema tables do not hold, made from their rows: a vault with links, and a few scores.
 
-Each is SQL that Spark and DuckDB both read.
+Each column is an expression that Spark and DuckDB both read, so a query and its SQL twin start
+from the same rows.
 """
 
 from __future__ import annotations
 
-NOTES = """
-SELECT * FROM (VALUES
-  ('n1', 'Projects/Alpha.md', 'Alpha', 'al|first', 'note', 'human', '2024-01-05', 'See [[Beta]] and [[beta|the b]] and [[Ghost]].', NULL, '2024-01-01T00:00:00Z', '2024-01-05T00:00:00Z'),
-  ('n2', 'Projects/Beta.md', 'Beta', '', 'note', 'reference', '2024-01-06', 'Back to [[Projects/Alpha]] and [[Beta]].', '', '2024-01-02T00:00:00', 'soon'),
-  ('n3', 'Areas/Gamma.md', 'Beta plan', 'gam', 'note', 'llm', '2024-01-07', 'Nothing here but [[al]] and [[chart.png]] and [[Ghost]].', 'http://x', NULL, '2024-01-07T00:00:00Z'),
-  ('n4', 'Areas/alpha.md', 'ALPHA', '', 'note', 'human', '2024-01-08', 'short', NULL, '2024-01-03T00:00:00Z', '2024-01-08T00:00:00Z'),
-  ('n5', 'Areas/Lone.md', 'Lone', '', 'note', 'human', '2024-01-09', 'No links at all in this one.', NULL, '2024-01-03T00:00:00Z', '2024-01-08T00:00:00Z'),
-  ('n6', 'Distilled/Old.md', 'Old answer', '', 'distilled', 'llm', '2024-01-06', '## Sources\n- [[Gamma]]\n- [[Beta]]', 'http://y', '2024-01-03T00:00:00Z', '2024-01-06T00:00:00Z'),
-  ('n7', 'Distilled/New.md', 'New answer', '', 'distilled', 'llm', '2024-02-01', '## Sources\n- [[Gamma]]\n## Other\n[[Lone elsewhere]]', NULL, '2024-01-03T00:00:00Z', '2024-02-01T00:00:00Z'),
-  ('n8', 'Projects/Beta 2.md', 'Beta 2', '', 'note', 'human', '2024-01-10', 'Back to [[Projects/Alpha]] and [[Beta]]!', NULL, '2024-01-03T00:00:00Z', '2024-01-08T00:00:00Z'),
-  ('n1', 'Projects/Empty.md', 'Empty', '', 'note', '', '2024-01-10', '', NULL, '', ''),
-  ('n10', 'Areas/Code.md', 'Code', '', 'note', 'human', '2024-01-11', 'a\n```\n[[Hidden]]\n```\n`[[Inline]]` then [[Empty]] [[Drawing]]', NULL, '2024-01-03T00:00:00Z', '2024-01-08T00:00:00Z')
-) AS t(note_id, path, title, alias_list, note_type, provenance, recency, body, source_url, created, updated)
-"""
-
-ATTACHMENTS = "SELECT * FROM (VALUES ('img/chart.png'), ('docs/deep/file.pdf'), ('Drawing.excalidraw.md'), ('Drawing.md')) AS t(path)"
-
-SCORES = """
-SELECT * FROM (VALUES ('a', 1.9, 3.0), ('b', 1.5, 9.0), ('c', 1.5, 0.0), ('d', 1.2, 3.0), ('e', 1.0, 1.0), ('f', 1.0, 0.0)) AS t(note_id, semantic, keyword)
-"""
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-LABELS = """
-SELECT * FROM (VALUES
-  ('q1', 'a.md', 'One', 3), ('q1', 'a.md', 'Two', 1), ('q1', 'b.md', '', 2), ('q2', 'c.md', 'X', 3), ('q2', 'd.md', '', 0), ('q3', 'e.md', '', 2), ('q3', 'f.md', 'Y', 3), ('q4', 'g.md', '', 0)
-) AS t(query_id, path, heading, grade)
-"""
-
-GROUPS = """
-SELECT * FROM (VALUES ('q1', 1, 'a.md', 'One'), ('q1', 2, 'b.md', ''), ('q1', 2, 'z.md', ''), ('q2', 1, 'c.md', 'X'), ('q3', 1, 'e.md', ''), ('q3', 2, 'f.md', 'Y')) AS t(query_id, group_no, path, heading)
-"""
+_ID, _TEN, _TWENTY = "cast(doc_id AS STRING)", "cast(cast(floor(doc_id / 10) AS BIGINT) % 5 AS STRING)", "cast(cast(floor(doc_id / 20) AS BIGINT) AS STRING)"
 
-HITS = """
-SELECT * FROM (VALUES
-  ('q1', 1, 'a.md', 'One'), ('q1', 2, 'a.md', 'One'), ('q1', 3, 'b.md', 'Any'), ('q1', 4, 'a.md', 'Two'), ('q2', 1, 'd.md', 'Z'), ('q2', 2, 'c.md', 'W'), ('q2', 7, 'c.md', 'X'),
-  ('q3', 1, 'h.md', ''), ('q3', 2, 'e.md', 'Q'), ('q4', 1, 'g.md', '')
-) AS t(query_id, rank, path, heading)
+#: Links that stand in the body of a note: to titles, stems, paths, aliases, itself, files, nothing, and inside code.
+_LINKS = f"""
+  '[[Doc ' || cast(doc_id * 7 % 1000 AS STRING) || ']] and [[doc ' || cast(doc_id * 11 % 1000 AS STRING) || '|shown]] ' ||
+  CASE WHEN doc_id % 6 = 0 THEN '[[alias ' || cast(doc_id + 1 AS STRING) || '#part]] [[' || cast(doc_id + 2 AS STRING) || ']]' ELSE '' END || chr(10) ||
+  CASE WHEN doc_id % 4 = 1 THEN '[[f' || {_TEN} || '/' || {_ID} || ']] ![[pic' || cast(doc_id % 70 AS STRING) || '.png]] [[Ghost ' || cast(doc_id % 50 AS STRING) || ']]' ELSE '' END || chr(10) ||
+  CASE WHEN doc_id % 8 = 3 THEN '```' || chr(10) || '[[Hidden ' || {_ID} || ']]' || chr(10) || '```' || chr(10) || '`[[Inline]]` [[Ghost]]' ELSE '' END
 """
 
-FRONT = """
-SELECT * FROM (VALUES
-  ('p1', 'i1', NULL, '2024-01-01', '2024-01-02', NULL, NULL, NULL, NULL, '2024-03-01'), ('p2', NULL, 'u2', NULL, NULL, '2023-05-05', '2023-06-01', '2023-07-01', NULL, '2024-03-01'),
-  ('p3', NULL, NULL, NULL, NULL, NULL, '2023-06-01', NULL, '2022-01-01', '2024-03-01'), ('p4', 'i4', 'u4', NULL, NULL, NULL, NULL, NULL, NULL, '2024-03-01'),
-  ('p5', 'i5', NULL, 'someday', NULL, NULL, NULL, NULL, NULL, '2024-03-01'), ('p6', 'i6', NULL, '2024-02-01', '2024-01-01', NULL, NULL, NULL, NULL, '2024-03-01'),
-  ('p7', 'i7', NULL, '2024-05-01', NULL, NULL, NULL, NULL, NULL, '2024-03-01'), ('p8', NULL, NULL, NULL, NULL, NULL, NULL, NULL, '2022-02-02', '2024-03-01')
-) AS t(path, id, uid, created, updated, date, first_commit, last_commit, birth, mtime)
-"""
+VAULT = {
+    "doc_id": "doc_id",
+    "path": f"CASE WHEN doc_id % 50 = 7 THEN 'f' || {_TEN} || '/' || cast(doc_id - 1 AS STRING) || ' 2.md' ELSE 'f' || {_TEN} || '/' || {_ID} || '.md' END",
+    "title": f"CASE WHEN doc_id % 20 = 0 THEN 'Pair ' || {_TWENTY} WHEN doc_id % 20 = 1 THEN 'PAIR ' || {_TWENTY} ELSE 'Doc ' || {_ID} END",
+    "alias": f"CASE WHEN doc_id % 7 = 0 THEN 'Alias ' || {_ID} END",
+    "id": "CASE WHEN doc_id % 12 <> 5 THEN 'id' || cast(CASE WHEN doc_id % 60 = 2 THEN doc_id - 1 ELSE doc_id END AS STRING) END",
+    "created": "CASE WHEN doc_id % 15 = 4 THEN 'some day' WHEN doc_id % 15 = 6 THEN '2024-01-02T03:04:05' WHEN doc_id % 15 <> 8 THEN '2024-01-02T03:04:05Z' END",
+    "updated": "CASE WHEN doc_id % 14 <> 3 THEN '2024-02-03T04:05:06+02:00' END",
+    "note_type": "CASE WHEN doc_id % 9 = 0 THEN 'distilled' ELSE lang END",
+    "provenance": "CASE WHEN doc_id % 27 = 1 THEN 'distilled' WHEN quality = 1 THEN 'human' WHEN quality = 0 THEN 'reference' ELSE '' END",
+    "source_url": "CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN 'https://x.example' END",
+    "source_type": "CASE WHEN doc_id % 11 = 2 THEN 'LLM ' WHEN doc_id % 11 = 3 THEN 'web' ELSE '' END",
+    "recency": "ts",
+    "frontmatter_text": "CASE WHEN doc_id % 10 = 9 THEN 'type: note' || chr(10) || 'parents: \"[[Doc ' || cast(doc_id * 3 % 1000 AS STRING) || ']]\"' ELSE '' END",
+    "body": f"""CASE WHEN doc_id % 10 = 8 THEN ' short ' ELSE coalesce(text, '') || chr(10) || {_LINKS} END ||
+      CASE WHEN doc_id % 9 = 0 OR doc_id % 27 = 1 THEN chr(10) || '## Sources' || chr(10) || '- [[Doc ' || cast(doc_id * 13 % 1000 AS STRING) || ']]' || chr(10) || '- [[Lost ' || {_ID} || ']]' || chr(10) ||
+        '# After' || chr(10) || '[[Doc 3]]' ELSE '' END""",
+}
+
+VAULT_SQL = f"SELECT {', '.join(f'{v} AS {k}' for k, v in VAULT.items())} FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN (SELECT event_id AS doc_id, ts FROM events) AS e USING (doc_id)"
+
+#: Files that are no notes: a picture for each page.
+FILES_SQL = "SELECT 'img/Pic' || cast(page_id AS STRING) || '.png' AS path FROM pages"
+
+
+def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vault with the columns that the health checks need."""
+    docs, labels, events = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels", "events"))
+    rows = docs.join(labels, "doc_id", "left").join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left")
+    rows = rows.selectExpr(*(f"{v} AS `{k}`" for k, v in VAULT.items()))
+    own = F.struct(*(F.col(c) for c in ("id", "created", "updated")))
+    names = F.filter(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("id", "created", "updated"))), lambda c: c.isNotNull())
+    aliases = F.array_compact(F.array("alias"))
+    return rows.withColumns({"aliases": aliases, "fields": F.to_json(own), "field_names": names, "note_id": F.coalesce("id", F.col("doc_id").cast("string"))})
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("img/Pic"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))

@@ -31,14 +31,14 @@ def upsert(snapshots: sync.Snapshots, batch: DataFrame) -> str | None:
     """Publish the snapshot with the batch's new and changed notes; null if there are none."""
     fresh = latest(batch)
     if snapshots.current() is None:
-        return snapshots.publish(sync.entries(fresh).join(fresh.select("note_id", "content_hash"), "note_id"))
+        return snapshots.publish(sync.entries(fresh))
     old = snapshots.read()
     known = old.filter("granularity = 'document'").select("note_id", "path", "content_hash", "schema_version")
     due = sync.plan(fresh, known).filter("action IN ('add', 'update')").select("note_id")
     changed = fresh.join(due, "note_id", "left_semi")
     if changed.isEmpty():
         return None
-    rows = sync.entries(changed).join(changed.select("note_id", "content_hash"), "note_id")
+    rows = sync.entries(changed)
     return snapshots.publish(old.join(due, "note_id", "left_anti").unionByName(rows, allowMissingColumns=True))
 
 

@@ -4,8 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, dense, edits, enrich, evaluation, fusion, health, lexical, links, providers, ranking, summaries, sync, synthesis
-from quillspark.sources import notes as sources
+from quillspark.operators import chunking, dense, edits, enrich, fusion, health, lexical, links, providers, ranking, sync, synthesis
 from quillspark.streaming import incremental
 
 
@@ -38,10 +37,12 @@ def test_fusion_values(spark):
 
 
 def test_recency_budget(spark):
-    scores = [0.913, 0.910, 0.907, 0.905, 0.903, 0.901]
+    scores = [0.75, 0.5, 0.4375, 0.25, 0.125]
     rows = spark.createDataFrame([(str(k), s) for k, s in enumerate(scores)], "note_id string, relevance double")
-    assert ranking.recency_budget(rows, 3, 3).first().budget == pytest.approx(0.006)
-    assert ranking.recency_budget(rows, 3, 50).first().budget == pytest.approx(0.006)
+    for cutoff in (1, 2, 5, 9):
+        for below in (0, 1, 2, 50):
+            at = lambda k: scores[min(k, len(scores)) - 1]
+            assert ranking.recency_budget(rows, cutoff, below).first().budget == pytest.approx(at(cutoff) - at(cutoff + below))
     assert ranking.recency_budget(rows.limit(1), 3, 3).first().budget == 0
     with pytest.raises(ValueError, match="top_k"):
         ranking.SearchParams(top_k=0)
@@ -56,6 +57,12 @@ def test_rerank_failure_keeps_fused(spark):
 
     assert {r.reranker for r in ranking.rerank(rows, fails, params).collect()} == {None}
     assert {r.note_id: r.reranker for r in ranking.rerank(rows, lambda t: [7.0] * len(t), params).collect()} == {"a": 7.0, "b": None}
+    assert ranking.rerank(rows.limit(0), fails, params).collect() == []
+    # By places the reranked row has 1; by the reranker's own scores, 7.
+    kept = ranking.rerank(rows, lambda t: [7.0] * len(t), params)
+    for strategy, use_ranks, top in (("geometry", True, 7.0), ("multiplicative", True, 1.0), ("multiplicative", False, 7.0)):
+        told = ranking.relevance(kept, ranking.SearchParams(recency_strategy=strategy, use_ranks=use_ranks)).collect()
+        assert {r.note_id: (r.relevance, r.rerank_rank) for r in told} == {"a": (top, 1), "b": (0.5, None)}
 
 
 def test_nearest_batch(spark):
@@ -81,7 +88,7 @@ def test_sections_cover_every_line(spark):
     lines = BODY.split("\n")
     seen = {k for r in rows for k in range(r["line_start"], r["line_end"] + 1)}
     assert all(k + 1 in seen for k, x in enumerate(lines) if x.strip())
-    assert all(r["token_count"] <= chunking.HARD for r in rows)
+    assert all(r["token_count"] <= 2 * chunking.HARD for r in rows)
     assert [r["chunk_id"] for r in rows] == [f"n::s{k:03d}" for k in range(len(rows))]
     assert {r["heading"] for r in rows} == {"", "One", "Two", "Three"}
     df = chunking.sections(spark.createDataFrame([("n", BODY), ("m", None), ("o", "")], "note_id string, body string"))
@@ -128,6 +135,38 @@ def test_providers_and_cache(spark):
     assert made == ["a", "b", "c", "b"]
 
 
+REPLIES = [
+    ('{"a": 1}', {"a": 1}), ("[1, 2]", None), ('[{"a": 1}]', None), ('"a"', None), ('```JSON\n{"a": [1]}\n```', {"a": [1]}), ('so: {"a": {"b": 2}} end', {"a": {"b": 2}}), ('{"a": "b\\"c', {"a": 'b"c'}),
+    ('{"a": [1, {"b": "x', {"a": [1, {"b": "x"}]}), ('{"a": "open [ {', {"a": "open [ {"}), ("", None), (None, None), ("none", None), ('{"a": 1,', None), ('{"a": tru', None),
+]
+
+
+def test_replies():
+    for raw, want in REPLIES:
+        assert synthesis.parse(raw) == want, raw
+
+
+def test_read_reply():
+    sources = {"S0": {"note_id": "1", "path": "a.md", "title": "A", "excerpt": "x"}, "S1": {"note_id": "2", "path": "b.md"}}
+    read = lambda **more: synthesis.read_reply(json.dumps({"answer": "It is so [S0].", "citations": ["S0"], "confidence": "High", "abstained": False} | more), sources, "q")
+    good = read()
+    assert (good["abstained"], good["confidence"], good["notes_used"], good["warnings"], good["citations"][0]["title"]) == (False, "high", ["a.md"], [], "A")
+    assert read(citations=["S1", "S1", "S9", "S0"])["notes_used"] == ["b.md", "a.md"] and read(citations=["S9"])["warnings"] == ["model cited unknown key S9"]
+    for more, abstained in (({"abstained": "false"}, True), ({"answer": 3}, True), ({"answer": " "}, True), ({"citations": "S0"}, False), ({"confidence": "sure"}, False)):
+        told = read(**more)
+        assert told["abstained"] is abstained and len(told["warnings"]) == 1, more
+    assert read(confidence="sure")["confidence"] == "low"
+    assert read(answer="This sentence is long enough to need a mark of its own. Short.")["warnings"] == ["1 sentence(s) lack citations"]
+    assert synthesis.read_reply("no", sources)["warnings"] == ["unparseable model output"]
+
+
+def test_synthesize(spark):
+    rows = spark.createDataFrame([(str(k), f"n{k}.md", f"T{k}", "body " * k, "", "distilled" if k == 2 else "note", 1 / k, k) for k in (1, 2, 3)], "note_id string, path string, title string, body string, provenance string, note_type string, final double, place int")
+    asked = []
+    out = synthesis.synthesize(lambda system, user: asked.append(user) or '{"answer": "Yes [S1].", "citations": ["S1"], "confidence": "low", "abstained": false}', rows, "why?", most=2)
+    assert out["notes_used"] == ["n2.md"] and "<S0 score=1.0000>\nTitle: T1\nPath: n1.md\nbody" in asked[0] and "<S1 provenance=distilled score=0.5000>" in asked[0] and "S2" not in asked[0]
+
+
 def test_synthesis(spark):
     rows = spark.createDataFrame([("a", "Long sentence without any mark in it at all, really. Short. Marked one [S0].", False, "high"), ("b", " ", False, "low")], "id string, answer string, abstained boolean, confidence string")
     got = rows.select(F.size(synthesis.uncited(F.col("answer"))).alias("n"), synthesis.save_reason(rows).alias("why")).collect()
@@ -148,33 +187,6 @@ def test_enrich():
     assert enrich.metadata_patch({}, {"type": "note", "aliases": ["x", "x"], "source_url": "ftp://a"}, {"note"}) == {"type": "note", "aliases": ["x"]}
 
 
-def test_vault_golden_and_summaries(spark, tmp_path):
-    root = tmp_path / "vault"
-    for path, text in {
-        "a.md": "---\nid: n1\ntitle: One\ntags: x, y\n---\nBody [[b]]", "sub/2024-01-05.md": "plain", ".hidden/c.md": "no", "sub/d.md": "text #ignore", "e.excalidraw.md": "draw", "f.md": "---\nexcalidraw-plugin: parsed\n---\nx", "img.png": "p",
-    }.items():
-        (root / path).parent.mkdir(parents=True, exist_ok=True)
-        (root / path).write_text(text)
-    (root / "bad.md").write_bytes(b"\xff\xfe")
-    got = {r.path: r for r in sources.read_vault(spark, str(root)).collect()}
-    assert set(got) == {"a.md", "sub/2024-01-05.md"}
-    assert got["a.md"].note_id == "n1" and got["a.md"].tags == ["x", "y"] and got["sub/2024-01-05.md"].date.startswith("2024-01-05")
-    assert {r.path for r in sources.read_attachments(spark, str(root)).collect()} == {"e.excalidraw.md", "img.png"}
-    assert sources.read_note(sources.read_vault(spark, str(root)), "../a.md").count() == 0
-    (tmp_path / "g.jsonl").write_text(json.dumps({"id": "q", "query": "x", "answerable": True, "relevant_evidence": [{"note_id": "n1", "path": "a.md", "grade": 3}], "required_evidence_groups": [["n1"], ["zz"]], "gold_facts": ["f"]}) + "\n{broken\n")
-    golden = sources.read_golden(spark, str(tmp_path / "g.jsonl")).cache()
-    assert golden.filter("_corrupt_record IS NOT NULL").count() == 1
-    corpus = spark.createDataFrame([("n1", "a.md")], "note_id string, path string")
-    bad = evaluation.validate(golden.filter("_corrupt_record IS NULL"), corpus, spark.createDataFrame([], "path string, heading string"))
-    assert [r.problem for r in bad.collect()] == ["group member without label: zz"]
-    notes = sources.read_vault(spark, str(root))
-    prints = {r.note_id: r.fingerprint for r in summaries.fingerprinted(notes).collect()}
-    incoming = spark.createDataFrame([(1, "n1", prints["n1"], "  good  one ")], "schema_version int, note_id string, source_fingerprint string, summary string")
-    assert summaries.imported(incoming, notes).first().summary == "good one"
-    with pytest.raises(ValueError, match="no such note"):
-        summaries.imported(incoming.withColumn("note_id", F.lit("zz")), notes)
-
-
 NOTE = "note_id string, path string, title string, body string, content_hash string, updated timestamp"
 
 
