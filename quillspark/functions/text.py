@@ -140,14 +140,37 @@ def derive_title(body: Column, otherwise: Column) -> Column:
     return F.coalesce(F.try_element_at(heads, F.lit(1)), F.substring(F.try_element_at(plain, F.lit(1)), 1, 100), otherwise)
 
 
-def clean_preview(text: Column) -> Column:
-    """Markdown marks taken off: fences, images, links, wikilinks, headings, quotes, emphasis."""
+#: What an entry's header looks like at the start of its text: the title, then lines of a name and a value.
+HEADER = "\\A#[^\\n]*\\n\\n(?:(?:Path|Tags|Date|Section|Note summary): [^\\n]*\\n\\n)+"
+
+
+def clean_excerpt(text: Column) -> Column:
+    """An excerpt without the header that an entry's text begins with."""
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), HEADER, ""))
+
+
+def clean_preview(text: Column, title: Column | None = None) -> Column:
+    """An excerpt as plain prose: no header, marks of headings, links, code, callouts, quotes, lists or emphasis.
+
+    A title that it begins with is shown elsewhere and taken off.
+    """
+    out = clean_excerpt(text)
     for pattern, to in (
-        ("(?m)^\\s*```.*$", ""), ("!\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"), ("!?\\[\\[[^\\]|]*\\|([^\\]]*)\\]\\]", "$1"),
-        ("!?\\[\\[([^\\]]*)\\]\\]", "$1"), ("(?m)^\\s{0,3}#{1,6}\\s+", ""), ("(?m)^\\s{0,3}>\\s?", ""), ("[*_~`]+", ""), ("\\s+", " "),
+        ("(?m)^#{1,6}\\s+", ""), ("!?\\[\\[[^\\]|]*\\|([^\\]]+)\\]\\]", "$1"), ("!?\\[\\[([^\\]|#]+)[^\\]]*\\]\\]", "$1"), ("!?\\[\\[#([^\\]|]*)[^\\]]*\\]\\]", "$1"), ("!?\\[([^\\]]*)\\]\\([^)]*\\)", "$1"),
+        ("`{1,3}", ""), ("(?m)^\\s*>\\s?\\[![\\w-]+\\][+-]?\\s*", ""), ("(?m)^\\s*>\\s?", ""), ("(?m)^\\s*[-*+]\\s+(?:\\[[ xX]\\]\\s+)?", ""), ("\\*\\*|__|==|~~", ""), ("\\s*\\n\\s*", " "), ("\\s{2,}", " "),
     ):
-        text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+        out = F.regexp_replace(out, pattern, to)
+    out = strip(out)
+    if title is None:
+        return out
+    rest = F.regexp_replace(F.substr(out, F.length(title) + 1), "^[ .:\u2013\u2014-]+", "")
+    return F.when((F.coalesce(title, F.lit("")) != "") & F.startswith(F.lower(out), F.lower(title)), rest).otherwise(out)
+
+
+def heading_at(body: Column, line: Column) -> Column:
+    """The last heading at or before a line (from 1) of a body; empty without one."""
+    heads = F.filter(F.slice(F.split(body, "\n"), F.lit(1), F.greatest(line.cast("int"), F.lit(0))), lambda x: x.rlike("^#{1,6}\\s+"))
+    return F.coalesce(F.trim(F.regexp_extract(F.try_element_at(heads, F.lit(-1)), "^#{1,6}\\s+(.*)$", 1)), F.lit(""))
 
 
 def timestamp_problem(raw: Column, policy: str) -> Column:

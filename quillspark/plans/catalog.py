@@ -6,8 +6,6 @@ cover what those tables do not hold.  Results are scalars or joined strings, rou
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,30 +13,12 @@ from ..functions import text as T
 from ..operators import backfill, chunking, dense, edits, enrich, evaluation, evidence, filters, fusion, health, lexical, links, ranking, stats, summaries, sync, synthesis
 from ..sources.notes import notes_view, table
 from . import hybrid, planted
+from .registry import oracle_sql, queries, query
 
 #: Words of the flagship query, the note whose vector goes with it, and the time that counts as now.
 QUERY, QUERY_NOTE, NOW = 'the ering "of the" tionea and ation', 1, "2024-02-01 00:00:00"
 TOP_K, RESULTS = 150, 10
 
-_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        _Q[f.__name__] = (f, sql)
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _Q.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _Q.items() if s}
-
-
 # --- SQL parts ---------------------------------------------------------------------------------
 
 _NOTES = """
@@ -156,9 +136,9 @@ def top_terms(spark, sf_dir):
     return rows.select("note_id", F.col("place").cast("long").alias("place"), "term", F.col("n").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(lower(left(split_part(text, chr(10), 1), 200)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 80), '^-|-$', '', 'g') AS slug FROM documents")
+@query("SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 80), '^-|-$', '', 'g') AS slug FROM documents")
 def title_slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring(F.split("text", "\n")[0], 1, 200)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.split("text", "\n")[0]).alias("slug"))
 
 
 @query("""
@@ -908,21 +888,14 @@ def frontmatter_resolution(spark, sf_dir):
     return rows.select("path", "field", value.alias("value"), F.concat("source", F.lit("/"), "confidence").alias("how"), F.size("warnings").alias("warned"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, text, regexp_extract(text, '[\\p{L}]+') AS word FROM documents), n AS (SELECT *, (length(text) - length(replace(text, word, ''))) // length(word) AS n FROM w WHERE word <> '')
+SELECT doc_id, CASE WHEN n > 1 THEN 'ambiguous' END AS error, CASE WHEN n = 1 THEN sha256(replace(text, word, 'X')) END AS body_sha256 FROM n""")
 def text_edits(spark, sf_dir):
-    change = F.concat(F.lit('[{"old_text": "'), F.substring(F.split("text", "[^A-Za-z]+")[0], 1, 8), F.lit('", "new_text": "X"}]'))
-    rows = table(spark, sf_dir, "documents").select("doc_id", edits.edited("text", change).alias("e"))
-    return rows.select("doc_id", "e.error", T.sha256(F.col("e.body")).alias("body_sha256"))
-
+    rows = table(spark, sf_dir, "documents").withColumn("word", F.regexp_extract("text", "[\\p{L}]+", 0)).filter("word <> ''")
+    change = F.to_json(F.array(F.struct(F.col("word").alias("old_text"), F.lit("X").alias("new_text"))))
+    return rows.select("doc_id", edits.edited("text", change).alias("e")).select("doc_id", "e.error", T.sha256(F.col("e.body")).alias("body_sha256"))
 
-@query("""SELECT * FROM (VALUES ('a', 0, 'S0', 'n1'), ('a', 1, 'S2', 'n3'), ('b', 0, 'S1', 'n9'), ('b', 1, 'S7', NULL)) AS t(id, place, key, note_id)""")
-def citation_links(spark, sf_dir):
-    answers = spark.createDataFrame([("a", "One [S0]. Two [S2, S0]."), ("b", "See [S1] and [S7]."), ("c", "None.")], "id string, answer string")
-    sources = spark.createDataFrame([("a", "S0", "n1"), ("a", "S1", "n2"), ("a", "S2", "n3"), ("b", "S1", "n9")], "id string, key string, note_id string")
-    return synthesis.citations(answers, sources).select("id", "place", "key", "note_id")
 
+from . import corpus_queries  # noqa: E402  the rest of the queries, which use the parts above
 
-@query("""SELECT * FROM (VALUES (1, '{"a": 1}'), (2, '{"a": 2}'), (3, '{"a": 3}'), (4, '{"a": [1, 2]}'), (5, NULL), (6, '{"a": "b"}')) AS t(k, json)""")
-def llm_json_repair(spark, sf_dir):
-    rows = [(1, '{"a": 1}'), (2, '```json\n{"a": 2}\n```'), (3, 'Sure: {"a": 3} ok'), (4, '{"a": [1, 2'), (5, "no object"), (6, '{"a": "b')]
-    return spark.createDataFrame(rows, "k int, raw string").select("k", synthesis.repaired("raw").alias("json"))
+__all__ = ["corpus_queries", "oracle_sql", "queries"]
