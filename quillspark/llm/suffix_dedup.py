@@ -1,12 +1,12 @@
 """Repeated byte strings by suffix sorting with bucket-pointer refinement.
 
-Every string of ``LENGTH`` bytes is filed in an initial bucket: its least q-gram, in a hashed
-order.  Successive strings of one bucket travel together as one stretch of text to the range of
-that q-gram, where stretches are sorted into their buckets and buckets of one document are
-dropped.  The others are refined: the identifier of a string's first 16 bytes is made of the
-identifiers of its first 8 and of the 8 at the later offset, that of 32 of two of 16, and that
-of 50 of two of 32 that overlap, each level reusing the last one's identifiers.  Positions are
-sorted on the final identifiers, and the bytes of a bucket are compared, so buckets are exact.
+Every string of ``LENGTH`` bytes is filed under its least q-gram, in a hashed order.  Successive
+strings filed under one q-gram travel together, as one stretch of text, to the range of that
+q-gram, where stretches are sorted by q-gram and those of one document alone are dropped.  The
+suffixes of the others are sorted by bucket-pointer refinement: the initial buckets are those
+of their first 8 bytes; the members of a bucket are sorted on the buckets of the suffixes a
+depth further on, which gives buckets of twice the depth, and each round uses what the last one
+updated.  Pointers are places in the sorted order and not hashes, so buckets are exact.
 """
 
 from __future__ import annotations
@@ -16,47 +16,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .removal import BATCH_BYTES, RUNS, as_runs, group_starts, hash_parts, merged, pack_runs, part_of, runs_table
-from .tables import join_measured
+from .removal import BATCH_BYTES, DOCUMENT, RUNS, as_runs, group_starts, merged, numbered, pack_runs, part_of, runs_schema, runs_table, with_spans
+from .tables import stored
 from .textbuf import buffers, mix, run_hashes, slices
 
-#: Bytes of a compared string and of an initial bucket's q-gram.
-LENGTH, GRAM = 50, 12
+#: Bytes of a compared string, of the q-gram it is filed under, and of an initial bucket's q-gram.
+LENGTH, GRAM, FIRST = 50, 12, 8
 
-#: Bytes of stretches that are refined at once.
-CHUNK_BYTES = 512 << 10
+#: Bytes of stretches whose suffixes are sorted at once.
+CHUNK_BYTES = 256 << 10
 
 #: Stretches compared at once.
 STEP = 4096
 
 _U = np.uint64
-_PACKED = "part int, local boolean, size long, packed binary, starts binary, counts binary"
-_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
+_PACKED = {"packed": np.uint8} | RUNS
+_SENT = "part int, local boolean, size long, " + ", ".join(f"{c} binary" for c in _PACKED)
+_NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes at each offset as a number: the identifiers at depth 8."""
+    """The 8 bytes at each offset as a number."""
     n = len(data) - 7
     if n <= 0:
         return np.zeros(0, _U)
     return np.ndarray((n,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
 
 
-def _paired(ids: np.ndarray, offset: int) -> np.ndarray:
-    """Identifier of a string from those of its head and of the bytes at a later offset."""
-    if len(ids) <= offset:
-        return np.zeros(0, _U)
-    return mix(ids[:-offset] * _U(0x9E3779B97F4A7C15) + mix(ids[offset:] + _U(1)))
-
-
-def refine(ids: np.ndarray, depth: int, target: int) -> np.ndarray:
-    """Identifiers at depth ``target`` from those at ``depth``, doubling while that fits."""
-    while depth < target:
-        step = min(depth, target - depth)
-        ids, depth = _paired(ids, step), depth + step
-    return ids
+def _name(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A hash of two 8-byte strings."""
+    return mix(one * _U(0x9E3779B97F4A7C15) + mix(two + _U(1)))
 
 
 def least_in(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +59,9 @@ def least_in(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _grams(data: np.ndarray, gram: int) -> np.ndarray:
-    return refine(_eights(data), 8, gram)
+    """Hash of the ``gram`` bytes, 9 to 16, at each offset."""
+    eights = _eights(data)
+    return _name(eights[: len(eights) - gram + 8], eights[gram - 8 :])
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -79,17 +71,20 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, first byte, number of strings and least q-gram of each stretch of one bucket."""
+    """Row, first byte, number of strings, least q-gram and its place of each stretch."""
     count = np.maximum(np.diff(offsets) - length + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
     if not len(row):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(_U)
+        return none, none, none, none.astype(_U), none
     base = np.concatenate(([0], np.cumsum(count)))[:-1]
     at = np.arange(len(row)) - base[row] + offsets[row]
-    low = least_in(_grams(data, gram), length - gram + 1)[at]
+    grams, width = _grams(data, gram), length - gram + 1
+    low = least_in(grams, width)[at]
     heads = group_starts(row, low)
-    return row[heads], at[heads], np.diff(np.concatenate((heads, [len(row)]))), low[heads]
+    first = at[heads]
+    place = np.concatenate([np.argmax(grams[first[k : k + STEP, None] + np.arange(width)] == low[heads[k : k + STEP], None], 1) for k in range(0, len(first), STEP)])
+    return row[heads], first, np.diff(np.concatenate((heads, [len(row)]))), low[heads], place
 
 
 def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -105,20 +100,20 @@ def _send(length: int, gram: int, parts: int):
         for batch in batches:
             _, all_offs = buffers(batch.column("text"))
             for a, b in slices(all_offs, BATCH_BYTES):
-                ids = batch.column("doc_id")[a:b].to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
+                ids, copies = (batch.column(c)[a:b].to_numpy(zero_copy_only=False).astype(np.int64) for c in DOCUMENT)
+                order = np.lexsort((copies, ids))
+                ids, copies = ids[order], copies[order]
                 data, offs = buffers(batch.column("text")[a:b].take(pa.array(order)))
                 found = []
                 for i, j in slices(offs):
-                    row, at, n, low = stretches(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, gram)
                     own = data[offs[i] : offs[j]]
+                    row, at, n, low, place = stretches(own, offs[i : j + 1] - offs[i], length, gram)
                     name = run_hashes(own.astype(_U) + _U(1), at, at + n + length - 1) if len(at) else low
-                    found.append((row + i, at + offs[i], n, low, name))
-                row, at, n, low, name = (np.concatenate(x) for x in zip(*found, strict=True))
+                    found.append((row + i, at + offs[i], n, low, place, name))
+                row, at, n, low, place, name = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(at):
                     continue
-                doc, pos, size = ids[row], at - offs[row], n + length - 1
+                doc, copy, pos, size = ids[row], copies[row], at - offs[row], n + length - 1
                 # What a smaller document of this batch has whole is settled here.
                 by = np.argsort(name, kind="stable")
                 heads = group_starts(name[by])
@@ -128,129 +123,174 @@ def _send(length: int, gram: int, parts: int):
                 same = np.concatenate([_equal(data, at[by[k : k + STEP]], at[head[k : k + STEP]], size[by[k : k + STEP]]) for k in range(0, len(by), STEP)] or [np.zeros(0, bool)])
                 later = np.zeros(len(at), bool)
                 later[by[same]] = True
-                yield from _pack(data, at, doc, pos, n, low, np.flatnonzero(~later), length, parts)
+                keep = np.flatnonzero(~later)
+                yield from _pack(data, at[keep], (doc[keep], copy[keep], pos[keep], n[keep], place[keep]), low[keep], length, parts)
                 gone = np.flatnonzero(later)
                 if len(gone):
-                    bucket, docs, starts, counts = pack_runs(doc[gone], pos[gone], n[gone], parts)
-                    yield pa.RecordBatch.from_arrays([bucket, pa.array(np.ones(len(bucket), bool)), pa.array(np.zeros(len(bucket), np.int64)), docs, starts, counts], _NAMES)
+                    bucket, *arrays = pack_runs(RUNS, (doc[gone], copy[gone], pos[gone], n[gone]), parts)
+                    none = pa.array([b""] * len(bucket), pa.binary())
+                    yield pa.RecordBatch.from_arrays([bucket, pa.array(np.ones(len(bucket), bool)), pa.array(np.zeros(len(bucket), np.int64)), none, *arrays], _NAMES)
 
     return run
 
 
-def _pack(data, at, doc, pos, n, low, keep, length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Stretches by range: counts, documents, places, lengths and bytes, compressed together."""
-    part = part_of(mix(low[keep]), parts)  # least values are small, so they are spread again
-    order = np.lexsort((low[keep], part))
-    part, keep = part[order], keep[order]
+#: What is told of each stretch: document, first byte, number of strings, place of its least q-gram.
+_TOLD = (np.int64, np.int64, np.int32, np.int32, np.uint8)
+
+
+def _pack(data: np.ndarray, at: np.ndarray, told: tuple[np.ndarray, ...], low: np.ndarray, length: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Stretches by range, what is told of them and their bytes compressed together."""
+    part = part_of(mix(low), parts)  # least values are small, so they are spread again
+    order = np.lexsort((low, part))
+    part, at = part[order], at[order]
+    told = tuple(t[order].astype(k) for t, k in zip(told, _TOLD, strict=True))
     bounds = np.concatenate((group_starts(part), [len(part)]))
     rows = []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        own = keep[s:e]
-        raw = b"".join((np.int64(e - s).tobytes(), doc[own].tobytes(), pos[own].astype(np.int32).tobytes(), n[own].astype(np.int32).tobytes(), data[gather(at[own], n[own] + length - 1)].tobytes()))
-        rows.append((int(part[s]), False, len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        text = data[gather(at[s:e], told[3][s:e].astype(np.int64) + length - 1)]
+        raw = b"".join((np.int64(e - s).tobytes(), *(t[s:e].tobytes() for t in told), text.tobytes()))
+        rows.append((int(part[s]), len(raw), pa.compress(raw, "zstd", asbytes=True)))
     for k in range(0, len(rows), 64):
-        cols = list(zip(*rows[k : k + 64], strict=True))
-        none = pa.array([b""] * len(cols[0]), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), none, none], _NAMES)
+        owner, size, packed = zip(*rows[k : k + 64], strict=True)
+        none = [pa.array([b""] * len(owner), pa.binary())] * len(RUNS)
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array([False] * len(owner)), pa.array(size, pa.int64()), pa.array(packed, pa.binary()), *none], _NAMES)
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for k in _TOLD:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return *out, np.frombuffer(raw, np.uint8, -1, at)
 
 
-def _unpack(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    doc = np.frombuffer(raw, np.int64, n, 8)
-    pos = np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64)
-    count = np.frombuffer(raw, np.int32, n, 8 + 12 * n).astype(np.int64)
-    return doc, pos, count, np.frombuffer(raw, np.uint8, -1, 8 + 16 * n)
+def _sorted(high: np.ndarray, low: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of pairs of numbers below ``n``, and the pairs in that order as one number each."""
+    bits = n.bit_length()
+    if 3 * bits > 63:
+        key = high * n + low
+        order = np.argsort(key)
+        return order, key[order]
+    # Pairs and places fit one number, and plain numbers are sorted twice as fast as their order is found.
+    packed = np.sort((high << 2 * bits) | (low << bits) | np.arange(len(high)))
+    return packed & ((1 << bits) - 1), packed >> bits
 
 
 def buckets(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the strings at ``at`` by bucket, and where buckets of equal strings begin.
+    """Order of the strings of ``length`` bytes at ``at`` by bucket, and where buckets of equal strings begin.
 
-    Positions are sorted on the refined identifiers.  Should two different strings share one,
-    the sort is repeated on the bytes themselves.
+    A suffix's pointer is the place of its bucket's first member in the sorted order.  Only
+    members of buckets with several are sorted again.  A suffix too near the end of the data
+    for a round's offset is left as it is: no string begins there, nor asks for its bucket.
     """
     eights = _eights(data)
-    ids = refine(eights, 8, length)[at]
-    order = np.argsort(ids, kind="stable")
-    heads = group_starts(ids[order])
+    n = len(eights)
+    order = np.argsort(eights)
+    heads = group_starts(eights[order])
+    size = np.diff(np.concatenate((heads, [n])))
+    pointer = np.empty(n, np.int64)
+    pointer[order] = np.repeat(heads, size)
+    depth = FIRST
+    while depth < length:
+        step = min(depth, length - depth)
+        mine = order[np.repeat(size > 1, size)]
+        mine = mine[mine + step < n]
+        by, key = _sorted(pointer[mine], pointer[mine + step], n)
+        order = mine[by]
+        heads = group_starts(key)
+        size = np.diff(np.concatenate((heads, [len(order)])))
+        old = pointer[order]
+        tops = group_starts(old)
+        pointer[order] = old + np.repeat(heads, size) - np.repeat(tops, np.diff(np.concatenate((tops, [len(order)]))))
+        depth += step
+    found = pointer[at]
+    order = np.argsort(found)
+    return order, group_starts(found[order])
+
+
+def _shared(low: np.ndarray, doc: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the stretches ``of``: those whose q-gram several documents have, by q-gram, and where each q-gram begins."""
+    order = of[np.argsort(low[of])]
+    heads = group_starts(low[order])
     size = np.diff(np.concatenate((heads, [len(order)])))
-    head = np.repeat(at[order[heads]], size)
-    mine = at[order]
-    places = [*range(0, length - 7, 8), length - 8]
-    if all(np.array_equal(eights[mine + k], eights[head + k]) for k in places):
-        return order, heads
-    keys = [eights[at + k] for k in places]
-    order = np.lexsort(keys[::-1])
-    return order, group_starts(*(k[order] for k in keys))
+    if not len(order):
+        return order, np.zeros(1, np.int64)
+    many = np.minimum.reduceat(doc[order], heads) != np.maximum.reduceat(doc[order], heads)
+    return order[np.repeat(many, size)], np.concatenate(([0], np.cumsum(size[many])))
+
+
+def _whole(data: np.ndarray, start: np.ndarray, width: np.ndarray, doc: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the stretches ``of`` a smaller document has whole: equal hashes, then equal bytes."""
+    names = [np.zeros(0, _U)]
+    for s, e in slices(np.concatenate(([0], np.cumsum(width[of]))), CHUNK_BYTES):
+        mine = of[s:e]
+        ends = np.cumsum(width[mine])
+        names.append(run_hashes(data[gather(start[mine], width[mine])].astype(_U) + _U(1), ends - width[mine], ends))
+    name = np.concatenate(names)
+    by = np.lexsort((doc[of], width[of], name))
+    heads = group_starts(name[by], width[of][by])
+    head = np.repeat(by[heads], np.diff(np.concatenate((heads, [len(by)]))))
+    maybe = doc[of[by]] != doc[of[head]]
+    by, head = of[by[maybe]], of[head[maybe]]
+    same = [_equal(data, start[by[k : k + STEP]], start[head[k : k + STEP]], width[by[k : k + STEP]]) for k in range(0, len(by), STEP)]
+    return by[np.concatenate([np.zeros(0, bool), *same])]
 
 
 def _settle(length: int, gram: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         local = table.column("local").combine_chunks()
         own, rest = table.filter(local).combine_chunks(), table.filter(pa.compute.invert(local))
-        settled = [[own.column(c).chunk(0) for c in ("part", "packed", "starts", "counts")]] if own.num_rows else []
-        gone_runs = []
-        # First the buckets of all stretches, without their bytes; then the bytes of those that stay.
-        kept = []
-        for packed, size in zip((x for c in rest.column("packed").chunks for x in c), rest.column("size").to_pylist(), strict=True):
-            doc, pos, n, data = _unpack(pa.decompress(packed.as_buffer(), size, "zstd", asbytes=True), length)
-            span = n + length - 1
-            low = np.empty(len(doc), _U)
-            ends = np.cumsum(span)
-            starts = ends - span
-            for s, e in slices(np.concatenate(([0], ends)), CHUNK_BYTES):
-                part = data[starts[s] : ends[e - 1]]
-                grams = np.full(len(part), ~_U(0))
-                g = _grams(part, gram)
-                grams[: len(g)] = g
-                for k in range(1, gram):  # q-grams that leave their stretch
-                    grams[ends[s:e] - starts[s] - k] = ~_U(0)
-                low[s:e] = np.minimum.reduceat(grams, starts[s:e] - starts[s])
-            kept.append((doc, pos, n, low, data, starts))
-        if kept:
-            doc, pos, n, low = (np.concatenate([k[i] for k in kept]) for i in range(4))
-            blob = np.repeat(np.arange(len(kept)), [len(k[0]) for k in kept])
-            start = np.concatenate([k[5] for k in kept])
-            order = np.lexsort((blob, low))
-            heads = group_starts(low[order])
-            size = np.diff(np.concatenate((heads, [len(order)])))
-            many = np.minimum.reduceat(doc[order], heads) != np.maximum.reduceat(doc[order], heads)
-            order = order[np.repeat(many, size)]
-            heads = np.concatenate(([0], np.cumsum(size[many])))
-            span = n[order] + length - 1
-            reach = np.concatenate(([0], np.cumsum(span)))[heads]
-            for s, e in slices(reach, CHUNK_BYTES):
-                mine = order[heads[s] : heads[e]]
-                text = np.empty(int((n[mine] + length - 1).sum()), np.uint8)
-                ends = np.cumsum(n[mine] + length - 1)
-                for b in np.unique(blob[mine]).tolist():
-                    here = np.flatnonzero(blob[mine] == b)
-                    width = n[mine[here]] + length - 1
-                    text[gather(ends[here] - width, width)] = kept[b][4][gather(start[mine[here]], width)]
-                at = gather(ends - (n[mine] + length - 1), n[mine])
-                item = np.repeat(np.arange(len(mine)), n[mine])
-                by, top = buckets(text, at, length)
-                owner = doc[mine][item]
-                count = np.diff(np.concatenate((top, [len(by)])))
-                gone = np.zeros(len(at), bool)
-                gone[by] = owner[by] > np.repeat(np.minimum.reduceat(owner[by], top), count)
-                out = np.flatnonzero(gone)
-                if len(out):
-                    first = np.concatenate(([0], np.cumsum(n[mine])))[:-1]
-                    place = pos[mine][item[out]] + out - first[item[out]]
-                    gone_runs.append(as_runs(owner[out], place))
-        if gone_runs:
-            settled.append(pack_runs(*(np.concatenate(x) for x in zip(*gone_runs, strict=True)), parts))
-        return runs_table(*settled)
+        settled = [[own.column(c).chunk(0) for c in ("part", *RUNS)]] if own.num_rows else []
+        kept = [
+            _unpack(pa.decompress(packed.as_buffer(), size, "zstd", asbytes=True))
+            for packed, size in zip((x for c in rest.column("packed").chunks for x in c), rest.column("size").to_pylist(), strict=True)
+        ]
+        if not kept:
+            return runs_table(RUNS, *settled)
+        doc, copy, pos, n, place, data = (np.concatenate(x) for x in zip(*kept, strict=True))
+        del kept
+        pos, n = pos.astype(np.int64), n.astype(np.int64)
+        width = n + length - 1
+        start = np.cumsum(width) - width
+        eights = np.ndarray((max(len(data) - 7, 0),), "<u8", data, 0, (1,))
+        low = _name(eights[start + place], eights[start + place + gram - 8])
+        order, _ = _shared(low, doc, np.arange(len(low)))
+        whole = _whole(data, start, width, doc, order)
+        gone_runs = [(doc[whole], copy[whole], pos[whole], n[whole])]
+        left = np.ones(len(low), bool)
+        left[whole] = False
+        # What has gone whole takes nothing from others that its smaller double does not take too.
+        order, heads = _shared(low, doc, order[left[order]])
+        reach = np.concatenate(([0], np.cumsum(width[order])))[heads]
+        for s, e in slices(reach, CHUNK_BYTES):
+            mine = order[heads[s] : heads[e]]
+            text = data[gather(start[mine], width[mine])]
+            at = gather(np.cumsum(width[mine]) - width[mine], n[mine])
+            item = np.repeat(np.arange(len(mine)), n[mine])
+            by, top = buckets(text, at, length)
+            owner = doc[mine][item]
+            count = np.diff(np.concatenate((top, [len(by)])))
+            gone = np.zeros(len(at), bool)
+            gone[by] = owner[by] > np.repeat(np.minimum.reduceat(owner[by], top), count)
+            out = np.flatnonzero(gone)
+            if len(out):
+                first = np.concatenate(([0], np.cumsum(n[mine])))[:-1]
+                spot = pos[mine][item[out]] + out - first[item[out]]
+                begin, length_of, (d, c) = as_runs(spot, owner[out], copy[mine][item[out]])
+                gone_runs.append((d, c, begin, length_of))
+        every = [np.concatenate(x) for x in zip(*gone_runs, strict=True)]
+        if len(every[0]):
+            settled.append(pack_runs(RUNS, every, parts))
+        return runs_table(RUNS, *settled)
 
     return run
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id and spans (32-bit pairs of first and last + 1 byte) of what a smaller document has too."""
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = hash_parts(rows)
-    sent = rows.mapInArrow(_send(length, gram, parts), _PACKED)
-    return merged(sent.groupBy("part").applyInArrow(_settle(length, gram, parts), RUNS), length)
+    """The columns of ``removal.MERGED`` of what a smaller document has too; spans are pairs of first and last + 1 byte."""
+    rows, parts, _ = numbered(docs, id_col, text)
+    sent = rows.mapInArrow(_send(length, gram, parts), _SENT)
+    return stored(merged(sent.groupBy("part").applyInArrow(_settle(length, gram, parts), runs_schema(RUNS)), length, RUNS), "suffix-found")[0]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +320,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     """doc_id, n_bytes, n_removed, n_spans, spans (null: nothing goes) and kept bytes.
 
     Null texts are empty.  Texts shorter than ``length`` bytes stay whole.  Rows with a null id
-    stay whole and take nothing from others.  Repeated rows of one id are one document: they
-    take nothing from each other.  What is kept may begin or end inside a character.
+    stay whole and take nothing from others.  Rows that share an id take nothing from each
+    other; each loses what a smaller id has of its own text.  What is kept may begin or end
+    inside a character.
     """
     kind = dict(docs.dtypes)[id_col]
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    both = join_measured(whole, repeated(docs, id_col, text, length), "doc_id", "suffix-spans")
-    return both.select("doc_id", "text", "spans").mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans binary, kept binary")
+    both = with_spans(docs, id_col, text, repeated(docs, id_col, text, length), "suffix-spans")
+    return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans binary, kept binary")
