@@ -9,7 +9,8 @@ candidates, so a query's claims are folded inside one row.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -185,6 +186,56 @@ def breakdown(rows: DataFrame, metrics: tuple[str, ...] = ("ndcg", "rr")) -> Dat
     return whole.groupBy("g.kind", "g.name").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(F.round(m, 4)), 4).alias(m) for m in metrics))
 
 
+@dataclass
+class Run:
+    """An evaluation: a row per query, means over all, means by category and slice, and what went wrong."""
+
+    queries: DataFrame
+    means: DataFrame
+    breakdown: DataFrame
+    answers: DataFrame | None
+    failed: dict[str, str]
+
+
+def run(golden: DataFrame, search: Callable[[dict], DataFrame], k: int = 5, note_level: bool = False, only: Sequence[str] | None = None,
+        answer: Callable[[dict, DataFrame], dict] | None = None, judge: Callable[[str, str], str] | None = None) -> Run:
+    """Search for every answerable golden query and score what is found; with ``answer``, ask for answers to all and judge them.
+
+    ``search`` gives the results of one query (path, heading, chunk_id and place); one that
+    raises ValueError, as filters that match nothing do, counts as without results.  Golden
+    queries are written by hand, so they are read to the driver; their results are one plan.
+    """
+    rows = [r.asDict(recursive=True) for r in golden.collect()]
+    if only is not None:
+        if odd := sorted(set(only) - {r["id"] for r in rows}):
+            raise ValueError(f"unknown query ids: {', '.join(odd)}")
+        rows = [r for r in rows if r["id"] in set(only)]
+        golden = golden.filter(F.col("id").isin(*only))
+    found: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for r in rows:
+        if r["answerable"] or answer:
+            try:
+                found[r["id"]] = search(r)
+            except ValueError as e:
+                failed[r["id"]] = str(e)
+    spark = golden.sparkSession
+    hits = spark.createDataFrame([], "query_id string, rank int, path string, heading string, chunk_id string")
+    for name, out in found.items():
+        hits = hits.unionByName(out.select(F.lit(name).alias("query_id"), F.col("place").cast("int").alias("rank"), "path", "heading", "chunk_id"))
+    asked = golden.filter("answerable")
+    scored = scores(golden_labels(asked), golden_groups(asked), hits, k, note_level)
+    zero = {"ndcg": 0.0, "recall": 0.0, "complete": False, "rr": 0.0}
+    scored = asked.select(F.col("id").alias("query_id"), "category", "slices").join(scored, "query_id", "left").fillna(zero)
+    answers = None
+    if answer:
+        none = spark.createDataFrame([], "path string, heading string, chunk_id string, place int")
+        told = [{"id": r["id"], "answerable": r["answerable"]} | score_answer(r, answer(r, found.get(r["id"], none)), judge, note_level) for r in rows]
+        names = [x.split()[0] for x in ANSWER_SCORES.split(", ")]
+        answers = spark.createDataFrame([tuple(t.get(n) for n in names) for t in told], ANSWER_SCORES)
+    return Run(scored, retrieval_means(scored), breakdown(scored.withColumn("done", F.col("complete").cast("double")), ("ndcg", "recall", "done", "rr")), answers, failed)
+
+
 #: Columns of the scores of answers; a column is null where a score does not apply.
 ANSWER_SCORES = (
     "id string, answerable boolean, abstained boolean, abstention_correct boolean, confidence string, citation_group_recall double, citation_complete boolean, "

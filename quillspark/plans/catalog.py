@@ -460,12 +460,6 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.neighbour_rrf(hits, own=str(QUERY_NOTE))
 
 
-@query("SELECT * FROM (VALUES ('src1', 3)) AS t(folder, n)")
-def folder_consensus(spark, sf_dir):
-    rows = [("src1", 1), ("src2", 2), ("src1", 3), ("src3", 4), ("src1", 5), ("src3", 6), ("src3", 7)]
-    return enrich.folder_consensus(spark.createDataFrame(rows, "folder string, place int")).select("folder", F.col("n").cast("int").alias("n"))
-
-
 # --- links and health ------------------------------------------------------------------------------------
 
 

@@ -87,3 +87,34 @@ def test_judged_answers(spark):
     kinds = [x.split()[0] for x in evaluation.ANSWER_SCORES.split(", ")]
     means = evaluation.synthesis_means(spark.createDataFrame([tuple(r.get(k) for k in kinds) for r in rows], evaluation.ANSWER_SCORES)).first()
     assert (means.abstention_accuracy, means.citation_complete_rate, means.gold_fact_coverage, means.forbidden_fact_violation_rate, means.judge_failures) == (1.0, 0.5, 0.75, 0.5, 0)
+
+
+def test_run(spark):
+    golden = spark.createDataFrame(
+        [
+            ("q1", "one", True, "x", ["s"], [("a", "a.md", "H", 3), ("b", "b.md", "", 2)], [["a#H"], ["b#"]], ["f"], []),
+            ("q2", "two", True, "x", [], [("c", "c.md", "", 3)], [["c#"]], ["f"], []), ("q3", "no", False, "y", ["s"], [], [], [], []),
+        ],
+        "id string, query string, answerable boolean, category string, slices array<string>, relevant_evidence array<struct<note_id:string,path:string,heading:string,grade:int>>, required_evidence_groups array<array<string>>, gold_facts array<string>, forbidden_facts array<string>",
+    )
+
+    def search(row):
+        if row["id"] == "q2":
+            raise ValueError("no note passes the filters")
+        return spark.createDataFrame([("a.md", "K", "a::s1", 1), ("a.md", "H", "a::s2", 2), ("b.md", "", "b::doc", 3)], "path string, heading string, chunk_id string, place int")
+
+    def answer(row, results):
+        top = [r.asDict() for r in results.orderBy("place").collect()]
+        return {"abstained": not row["answerable"] or not top, "answer": "x", "citations": top}
+
+    out = evaluation.run(golden, search, k=5, answer=answer, judge=lambda s, u: '{"verdicts": [true]}')
+    rows = {r.query_id: r for r in out.queries.collect()}
+    want = (3 / math.log2(3) + 2 / 2) / (3 + 2 / math.log2(3))
+    assert rows["q1"].ndcg == round(want, 4) and rows["q1"].rr == 0.5 and rows["q1"].complete and rows["q2"].ndcg == 0 and set(rows) == {"q1", "q2"}
+    assert out.failed == {"q2": "no note passes the filters"} and out.means.first().complete_rate == 0.5
+    assert {(r.kind, r.name): (r.n, r.rr) for r in out.breakdown.collect()} == {("overall", ""): (2, 0.25), ("category", "x"): (2, 0.25), ("slice", "s"): (1, 0.5)}
+    told = {r.id: r for r in out.answers.collect()}
+    assert told["q1"].citation_complete and told["q1"].gold_fact_coverage == 1.0 and told["q3"].abstention_correct and not told["q2"].abstention_correct
+    assert evaluation.run(golden, search, only=["q1"]).queries.count() == 1
+    with pytest.raises(ValueError, match="zz"):
+        evaluation.run(golden, search, only=["zz"])

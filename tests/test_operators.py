@@ -176,15 +176,37 @@ def test_synthesis(spark):
     assert synthesis.prompt_body("one two three four", 2).strip() == "one two"
 
 
-def test_enrich():
-    known = {"alpha": "A.md", "beta": "B.md", "gamma": "C.md"}
-    proposed = [{"target": "Alpha", "confidence": 0.95, "anchor": "al"}, {"target": "Beta", "confidence": 0.95, "anchor": "zz"}, {"target": "Gamma", "confidence": 0.3}, {"target": "Nope", "confidence": 1}, {"target": "Alpha", "confidence": True}]
-    inline, related, warned = enrich.sort_links(proposed, known, set(), "al text")
-    assert [x["path"] for x in inline] == ["A.md"] and [x["path"] for x in related] == ["B.md"] and len(warned) == 2
-    assert enrich.place("stdin", "", "src") == "src" and enrich.place("file", "Areas", "src") == "Areas" and enrich.place("stdin", "", None) == "Inbox"
-    assert enrich.new_title("My note", "my NOTE!") is None and enrich.new_title("a", "b/c") is None and enrich.new_title("a", "Better") == "Better"
-    assert enrich.overall(1, 0) == "high" and enrich.overall(1, 5) == "low" and enrich.overall(0, 0) == "medium"
-    assert enrich.metadata_patch({}, {"type": "note", "aliases": ["x", "x"], "source_url": "ftp://a"}, {"note"}) == {"type": "note", "aliases": ["x"]}
+NEAR = [{"title": "Alpha", "path": "Areas/Alpha one.md"}, {"title": "Beta", "path": "Areas/B.md"}, {"title": "alpha", "path": "Areas/C.md"}, {"title": "Gamma", "path": "X/G.md"}]
+
+
+def test_enrich_plan():
+    note = {"title": "My note", "body": "first\nal text and [[Gamma]]", "path": None, "frontmatter": {}, "source_url": "https://x.example"}
+    links = [{"target": "ALPHA", "confidence": "0.95", "anchor_text": "al text"}, {"target": "b", "confidence": 0.95, "anchor_text": "zz"}, {"target": "Gamma", "confidence": 0.99, "anchor_text": "al"}, {"target": "Beta", "confidence": True}, {"target": "Nope", "confidence": 1}, "odd"]
+    related = [{"target": "Areas/C", "confidence": 0.7, "reason": "why"}, {"target": "Alpha one", "confidence": 0.8}, {"target": "Beta", "confidence": 0.5}]
+    reply = {"title": "Better", "type": "Idea", "aliases": [" x ", ""], "inline_links": links, "related": related, "warnings": ["w"]}
+    got = enrich.planned(json.dumps(reply), note, NEAR)
+    assert got["title"] == "Better" and got["title_changed"] and got["suggested_path"] == "Areas/Better.md" and got["frontmatter_patch"] == {"type": "idea", "aliases": ["x"], "source_url": "https://x.example"}
+    assert [(x["target_path"], x["occurs_at_line"]) for x in got["link_insertions"]] == [("Areas/Alpha one.md", 2)]
+    assert [(x["target_path"], x["reason"]) for x in got["related_candidates"]] == [("Areas/B.md", "anchor text not found in body"), ("Areas/C.md", "why")]
+    assert got["warnings"] == ["w", "dropped link with invalid confidence: Beta", "dropped link to nonexistent note: Nope"] and got["confidence"] == "medium"
+    for raw in (None, "[1]", "no"):
+        assert enrich.planned(raw, note, NEAR)["warnings"] == ["planner failed to produce a usable plan"]
+    kept = enrich.planned(json.dumps({"title": "a/b", "type": "poem"}), note | {"path": "Inbox/old/My.md", "title": "..", "frontmatter": {"type": "idea"}}, NEAR)
+    assert kept["title"] == "Untitled" and kept["suggested_path"] == "Areas/Untitled.md" and len(kept["warnings"]) == 2
+    assert enrich.planned('{"title": "my NOTE!", "type": "idea"}', note | {"path": "Y/My.md", "frontmatter": {"type": "journal"}}, NEAR[3:]) | {"warnings": 0} == {
+        "title": "My note", "title_changed": False, "suggested_path": "Y/My.md", "frontmatter_patch": {"source_url": "https://x.example"}, "link_insertions": [], "related_candidates": [], "warnings": 0, "confidence": "medium",
+    }
+    assert [enrich.confidence(x) for x in (0, "1", 1.1, "x", None, False, float("nan"))] == [0.0, 1.0, None, None, None, None, None]
+
+
+def test_enrich_gather(spark):
+    rows = spark.createDataFrame([(f"n{k}", f"T{k}", f"f/n{k}.md", "body", 1.0 / k, k) for k in (1, 2, 3)], "note_id string, title string, path string, body string, final double, place int")
+    sections = spark.createDataFrame([("n2", "n2::s0", "Far", "far text", [9.0]), ("n2", "n2::s1", "Near", "near text", [1.0]), ("n9", "n9::s0", "No", "no", [0.0])], "note_id string, chunk_id string, heading string, text string, embedding array<double>")
+    asked = []
+    note = {"title": "Title", "body": "running runs", "path": "f/n3.md"}
+    out = enrich.plan(lambda q: asked.append(q) or rows, lambda system, user: asked.append(user) or '{"related": [{"target": "T2", "confidence": 0.9}]}', note, sections, [0.0])
+    assert asked[:3] == ["Title", "running runs", "run"] and [x["target_path"] for x in out["related_candidates"]] == ["f/n2.md"]
+    assert '"excerpt_heading": "Near", "excerpt": "near text"' in asked[3] and '"path": "f/n1.md"' in asked[3] and "n3.md" not in asked[3].split("NEIGHBORS")[1]
 
 
 NOTE = "note_id string, path string, title string, body string, content_hash string, updated timestamp"
