@@ -17,11 +17,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import hold_batches
+from .tables import hold_batches, stored
 from .textbuf import buffers, mix, slices, word_hashes
 
-#: Most labelled documents that are learnt from.
-TRAIN_ROWS = 4000
+#: Most labelled documents that are learnt from, and most bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 
 #: Rows and columns of the table of word vectors; words are filed by a hash.
 SLOTS, DIM = 1 << 16, 96
@@ -165,22 +165,43 @@ class Classifier:
     network: Network
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Classifier:
-    """Learn from at most ``rows`` labelled documents that are not held out.
+def _sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int, id_col: str, text: str) -> pa.Table:
+    """doc_id, y and text that are learnt from."""
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    told = usable.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top")).filter("y = top").select("doc_id", "y")
+    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ``rows`` rows
+    own, _ = stored(own.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "quality-sample")
+    # Ids and sizes of at most ``rows`` rows; their texts follow only as far as they fit.
+    sizes = own.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, fits = 0, []
+    for r in sizes:
+        total += r.n
+        if total > size and fits:
+            break
+        fits.append((r.doc_id,))
+    kept = own.join(F.broadcast(docs.sparkSession.createDataFrame(fits, own.select("doc_id").schema)), "doc_id", "left_semi")
+    return kept.toArrow().sort_by([("doc_id", "ascending")])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, id_col: str = "doc_id", text: str = "text") -> Classifier:
+    """Learn from at most ``rows`` labelled documents, of at most ``size`` bytes in all, that are not held out.
 
     The sample is that of the smallest hashes of the id, so it does not depend on the order or
-    the number of files.  Rows whose id or label is null are not used.  Without any labelled
-    row, or with one class only, every document scores as good as the share of label 1.
+    the number of files.  A label that is neither 0 nor 1, a null id and an id with different
+    labels are not used; of an id with several texts the one with the smallest hash is.  A null
+    text is empty.  Without any labelled row, or with one class only, every document scores as
+    good as the share of label 1.
     """
-    usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
+    table = _sample(docs, labels, label, rows, size, id_col, text)
     y = table.column("y").to_numpy().astype(np.float64)
-    slots, first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    listed, firsts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
     data, offs = buffers(table.column("text"))
     for a, b in slices(offs):
         own, cut = slots_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-        slots, first = np.concatenate((slots, own)), np.concatenate((first, cut[1:] + first[-1]))
+        listed.append(own)
+        firsts.append(cut[1:] + firsts[-1][-1])
+    slots, first = np.concatenate(listed), np.concatenate(firsts)
     vectors = word_vectors([slots[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
     if len(np.unique(y)) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import join_measured, new_path, stored
+from .tables import hold_batches, join_measured, new_path, stored
 
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
 
-#: Records of an archive file; three for each capture.
-RECORDS_PER_FILE = 15_000
+#: Bytes of payloads, and records, that an archive file is meant to hold; three records for each capture.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 15_000
 
 _VERSION = "WARC/1.1"
 _DATE = "2024-01-01T00:00:00Z"
@@ -93,7 +93,10 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
         F.concat(F.lit("page-id: "), F.coalesce(name, F.lit("")), F.lit("\r\n")),
     )
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # The mean payload tells how many records make a file of the size that is meant.
+    told = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html")).alias("size")).first()
+    most = max(3, min(RECORDS_PER_FILE, 3 * told.n * FILE_BYTES // max(told.size or 0, 1)))
+    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 class RecordReader:
@@ -178,6 +181,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     An archive is one task's input; its records are unpacked as a stream, so memory holds the
     packed file and one record.
     """
+    hold_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(_parse(with_payload), _RECORD_DDL)
 

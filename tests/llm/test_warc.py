@@ -42,3 +42,12 @@ def test_reader_members_and_plain():
     one = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     for raw in (one * 3, gzip.compress(one) * 3, gzip.compress(one * 3)):
         assert [b for _, b in warc.RecordReader(raw)] == [b"abc"] * 3
+
+
+def test_null_page_and_long_payload(spark, monkeypatch):
+    """A null page is a response of its own and nobody's original; a payload may be longer than a file is meant to be."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    long = "é" * 300_000
+    rows = [(None, "u", "z" * 300, None), (8, "u", "z" * 300, None), (None, "u", "z" * 300, None), (9, "u", "z" * 300, None), (1, "v", long, None), (2, "v", long, None), (3, "w", "", None)]
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_rows(warc.round_trip(frame(spark, rows))).collect()), key=repr)
+    assert got == sorted([(None, 300, "response", None), (None, 300, "response", None), (8, 300, "response", None), (9, 300, "revisit", 8), (1, 600_000, "response", None), (2, 600_000, "revisit", 1), (3, 0, "response", None)], key=repr)
