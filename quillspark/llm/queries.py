@@ -126,5 +126,20 @@ FROM p LEFT JOIN f ON p.d = f.d
 """
 
 
+# Bytes as pairs of hexadecimal digits; removed runs are islands of string starts at most 50 apart.
+_OP10 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM b WHERE length(h) >= 100)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM w) WHERE m < doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, k),
+lo AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo FROM sp),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (a - lo)), '' ORDER BY a) AS head, max(z) AS z, sum(z - a) AS gone, count(*) AS spans FROM lo JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, cast(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op6_exact_dedup": _OP6, "op7_substring_dedup": _OP7, "op9_warc": _OP9}
+    return {"op3_decontamination": _OP3, "op6_exact_dedup": _OP6, "op7_substring_dedup": _OP7, "op9_warc": _OP9, "op10_suffix_array": _OP10}

@@ -315,11 +315,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: tuple[int, ...] = SEGMENTS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, segments: tuple[int, ...] = SEGMENTS,
+               similarity: tuple[int, int] | None = None) -> DataFrame:
     """Rows of ``docs`` that represent their group, with all their columns: the smallest id, null last.
 
+    Groups chain texts whose fingerprints differ in at most ``radius`` bits; with ``similarity``,
+    a fraction, texts whose shingles have at least that Jaccard similarity (see ``similar``).
     Verdicts are on rows, so rows that share an id, or have none, are judged by their own texts.
     """
+    if similarity:
+        from .similar import near_components
+
+        return all_but_least(docs, near_components(docs, id_col, text, shingle, radius, segments, similarity), id_col, "near-gone")
     rows = keyed(docs, id_col).select(KEY, F.col(text).alias("text"))
     marked, _ = stored(fingerprints(rows, KEY, "text", shingle).withColumnRenamed("doc_id", KEY), "simhash-rows")
     points, _ = stored(marked.select("fp").distinct(), "simhash-points")
