@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, exact_dedup, quality, similar
+from quillspark.llm import bpe, decontaminate, exact_dedup, quality, simhash
 from quillspark.llm.tables import stored
 
 
@@ -30,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of texts of similarity 0.8 and more."""
-    return similar.near_dedup(docs)
+    """The smallest id of each component of texts whose five-word shingles have a similarity of 0.8 and more."""
+    return simhash.near_dedup(docs, shingle=5, similarity=(4, 5))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
