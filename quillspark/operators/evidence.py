@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-
-def everything() -> WindowSpec:
-    """All rows as one group; only for candidate sets, which a top-k bounds."""
-    return Window.partitionBy(F.lit(1))
+from .fusion import everything
 
 
 def z_score(score: str) -> Column:
@@ -20,7 +16,7 @@ def z_score(score: str) -> Column:
 
 
 def why(rows: DataFrame) -> DataFrame:
-    """Adds ``why``; ``rerank_rank`` may be null."""
+    """Adds ``why``, one of four labels (fixed values); ``rerank_rank`` may be null."""
     rows = rows.withColumns({"__k": z_score("keyword"), "__s": z_score("semantic")})
     label = (
         F.when(F.col("rerank_rank") <= 3, F.concat(F.lit("reranked into top "), F.col("rerank_rank").cast("string"), F.lit(" for this query")))

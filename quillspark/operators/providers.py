@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -89,14 +91,24 @@ def embed(rows: DataFrame, provider: Provider, text: str = "text", batch: int =
 
 
 class QueryCache:
-    """Query vectors by model and text, the least recently used dropped first."""
+    """Query vectors by model and text, the least recently used dropped first; with a path, kept in a file."""
 
-    def __init__(self, size: int = 256) -> None:
-        self.size, self.rows = size, {}
+    def __init__(self, size: int = 256, path: str | None = None) -> None:
+        self.size, self.path, self.rows = size, path, {}
+        try:
+            told = json.loads(Path(path).read_text(encoding="utf-8")) if path else []
+            self.rows = {(r["model"], r["text"]): [float(x) for x in r["vector"]] for r in told}
+        except (OSError, ValueError, KeyError, TypeError):
+            self.rows = {}  # a file that is missing or broken is an empty cache
 
     def get(self, model: str, text: str, make: Callable[[], list[float]]) -> list[float]:
         key = (model, text)
-        self.rows[key] = found = self.rows.pop(key) if key in self.rows else make()
+        known = key in self.rows
+        self.rows[key] = found = self.rows.pop(key) if known else make()
         while len(self.rows) > self.size:
             del self.rows[next(iter(self.rows))]
+        if self.path and not known:
+            from .files import write_results
+
+            write_results(self.path, [{"model": m, "text": t, "vector": v} for (m, t), v in self.rows.items()])
         return found

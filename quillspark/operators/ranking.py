@@ -6,19 +6,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from .fusion import everything
+
 #: Sections of one note that a result may hold.
 PER_NOTE = 3
 
 
-def everything() -> WindowSpec:
-    """All rows as one group; only for candidate sets, which a top-k bounds."""
-    return Window.partitionBy(F.lit(1))
-
-
 @dataclass(frozen=True)
 class SearchParams:
     """Parameters of a search, checked when made."""

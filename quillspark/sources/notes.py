@@ -147,6 +147,28 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[dict, list[str]]:
     return found | whole, sorted(set(found) - set(MANIFEST_KEYS) - set(MANIFEST_MORE))
 
 
+CANDIDATES = (
+    "candidates array<struct<note_id:string,path:string,title:string,type:string,provenance:string,heading:string,chunk_id:string,line_start:int,line_end:int,excerpt:string,"
+    "scores:struct<bm25:double,semantic:double,fused:double,reranker:double,final:double>,why:string>>"
+)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The candidates of a search that was saved, as they were or in an envelope, in order: their fields, final and place.
+
+    Raises where a candidate has no finite final score or no excerpt.
+    """
+    whole = spark.read.schema(f"query string, {CANDIDATES}, result struct<query:string,{CANDIDATES.replace(' ', ':', 1)}>").option("multiLine", "true").json(path)
+    listed = F.coalesce("candidates", "result.candidates")
+    if whole.isEmpty() or whole.filter(listed.isNull()).count():
+        raise ValueError(f"{path} holds no results of a search")
+    rows = whole.select(F.coalesce("query", "result.query").alias("query"), F.posexplode(listed).alias("place", "c")).select("query", (F.col("place") + 1).alias("place"), "c.*", F.col("c.scores.final").alias("final"))
+    bad = rows.filter(F.col("final").isNull() | F.isnan("final") | (F.abs("final") == float("inf")) | F.col("excerpt").isNull()).select("place").limit(1).collect()
+    if bad:
+        raise ValueError(f"candidate {bad[0].place} of {path} has no finite final score or no excerpt")
+    return rows
+
+
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Summary records; ``problem`` names a wrong file name or a repeated note."""
     rows = spark.read.schema(SUMMARY).option("multiLine", "true").json(path).withColumn("file", F.col("_metadata.file_name"))

@@ -1,10 +1,12 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, dense, edits, enrich, fusion, health, lexical, links, providers, ranking, sync, synthesis
+from quillspark.operators import chunking, dense, edits, enrich, fusion, health, lexical, links, providers, ranking, summaries, sync, synthesis
+from quillspark.sources import notes
 from quillspark.streaming import incremental
 
 
@@ -72,6 +74,20 @@ def test_nearest_batch(spark):
     assert "CartesianProduct" not in dense.nearest_batch(rows, [(1, [0.0, 0.0])], 2)._jdf.queryExecution().toString()
 
 
+def test_nearest_listed(spark):
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(10 * (k % 5), 1), rng.gauss(0, 1)]) for k in range(200)] + [(500, None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    centre = dense.centroids(df, lists=6)
+    listed = dense.listed(df, centre).collect()
+    assert len(listed) == 200 and all(len(r.lists) == 1 for r in listed)
+    exact = {(r.query_id, r.vec_id) for r in dense.nearest_blocks(df.filter("vec_id < 500"), df.filter("vec_id < 20"), 5).collect()}
+    every = {(r.query_id, r.vec_id) for r in dense.nearest_listed(df, df.filter("vec_id < 20"), 5, centre, probes=6).collect()}
+    some = {(r.query_id, r.vec_id) for r in dense.nearest_listed(df, df.filter("vec_id < 20"), 5, centre, probes=2).collect()}
+    assert every == exact and len(some & exact) >= 90
+    assert dense.nearest_listed(df.limit(0), df.limit(0), 5, dense.centroids(df.limit(0))).collect() == []
+
+
 def test_link_parts_and_health(spark):
     got = spark.range(1).select(links.link_parts(F.lit("![[a#h|s]] [[ b ]] [[#c]]")).alias("l")).first().l
     assert [(x.embed, x.target, x.heading, x.alias, x.shown) for x in got] == [(True, "a", "h", "s", "s"), (False, "b", None, None, "b"), (False, "", "c", None, "c")]
@@ -111,7 +127,7 @@ def test_edits():
     assert "No newline" in edits.diff("a", "b")
 
 
-def test_providers_and_cache(spark):
+def test_providers_and_cache(spark, tmp_path):
     p = providers.Offline(4)
     rows = providers.embed(spark.createDataFrame([("x",), ("y",), ("x",)], "text string"), p).collect()
     by = {r.text: r.embedding for r in rows}
@@ -133,6 +149,35 @@ def test_providers_and_cache(spark):
     for t in ("a", "b", "a", "c", "a", "b"):
         cache.get("m", t, lambda t=t: made.append(t) or [1.0])
     assert made == ["a", "b", "c", "b"]
+    path = str(tmp_path / "cache.json")
+    assert providers.QueryCache(2, path).get("m", "t", lambda: [0.5]) == [0.5] == providers.QueryCache(2, path).get("m", "t", lambda: [9.0])
+    (tmp_path / "cache.json").write_text("broken")
+    assert providers.QueryCache(2, path).rows == {}
+
+
+def test_generated_summaries(spark):
+    notes = spark.createDataFrame([("1", "a.md", "T", "# H\n\nbody " + "word " * 9000), ("2", "b.md", "U", "x"), ("3", "c.md", "V", "y")], "note_id string, path string, title string, body string")
+    heads = spark.createDataFrame([("1", 1, "H")], "note_id string, line int, text string")
+    none = spark.createDataFrame([], "note_id string, source_fingerprint string")
+    due = summaries.jobs(notes, none, heads)
+    assert chunking.token_count(summaries.prompt("T", "word " * 9000, ["H"])) < summaries.PROMPT_TOKENS + 20
+
+    def chat(system, user):
+        return '{"summary": " short  one "}' if "- H" in user else '{"summary": ""}' if "Title: U" in user else '{"other": 1}'
+
+    got = {r.note_id: (r.summary, r.problem) for r in summaries.generated(due, chat, "m").collect()}
+    assert got == {"1": ("short one", None), "2": (None, "empty or too long"), "3": (None, "reply has another shape")}
+
+
+def test_replayed_results(spark, tmp_path):
+    one = {"query": "q", "candidates": [{"note_id": "a", "path": "a.md", "excerpt": "x", "scores": {"final": 0.5}}, {"note_id": "b", "path": "b.md", "excerpt": "", "scores": {"final": 1}}]}
+    for k, told in enumerate((one, {"ok": True, "result": one})):
+        (tmp_path / f"{k}.json").write_text(json.dumps(told))
+        assert [(r.place, r.note_id, r.final, r.query) for r in notes.read_results(spark, str(tmp_path / f"{k}.json")).orderBy("place").collect()] == [(1, "a", 0.5, "q"), (2, "b", 1.0, "q")]
+    for k, told in enumerate(({"query": "q"}, {"candidates": [{"excerpt": "x", "scores": {}}]}, {"candidates": [{"scores": {"final": 1.0}}]})):
+        (tmp_path / f"bad{k}.json").write_text(json.dumps(told))
+        with pytest.raises(ValueError, match="bad"):
+            notes.read_results(spark, str(tmp_path / f"bad{k}.json"))
 
 
 REPLIES = [
