@@ -99,7 +99,7 @@ def phrase_boost(query: str, text: str = "body") -> Column:
     return F.lit(1.0) + F.lit(PHRASE_GAIN) * hits
 
 
-def search(docs: DataFrame, query: str, top_k: int, text: str = "body", key: str = "note_id", stemmed: bool = False) -> DataFrame:
+def search(docs: DataFrame, query: str, top_k: int, text: str = "body", key: str = "note_id", stemmed: bool = True) -> DataFrame:
     """The ``top_k`` rows by keyword score, then key."""
     found = scored(tokenized(docs, text, stemmed), query_terms(query.replace('"', " "), stemmed))
     return found.withColumn("keyword", F.col("keyword") * phrase_boost(query, text)).orderBy(F.desc("keyword"), key).limit(top_k)

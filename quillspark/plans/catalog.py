@@ -214,17 +214,17 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"WITH {_NOTES}, {_TOKENS}, {_bm25_sql(['tion', 'ering', 'ation', 'tion', 'des'])} SELECT note_id, round(score, 6) AS keyword FROM kw0 ORDER BY score DESC, note_id LIMIT {TOP_K}")
 def bm25_topk(spark, sf_dir):
-    return lexical.search(_texts(spark, sf_dir), "tion the of ering ation tion des", TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
+    return lexical.search(_texts(spark, sf_dir), "tion the of ering ation tion des", TOP_K, stemmed=False).select("note_id", F.round("keyword", 6).alias("keyword"))
 
 
 @query(f"WITH {_NOTES}, {_TOKENS}, {_KW} SELECT note_id, round(keyword, 6) AS keyword FROM kw ORDER BY keyword DESC, note_id LIMIT {TOP_K}")
 def bm25_phrase(spark, sf_dir):
-    return lexical.search(_texts(spark, sf_dir), QUERY, TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
+    return lexical.search(_texts(spark, sf_dir), QUERY, TOP_K, stemmed=False).select("note_id", F.round("keyword", 6).alias("keyword"))
 
 
 @query()
 def bm25_stemmed(spark, sf_dir):
-    return lexical.search(_texts(spark, sf_dir), "ering nations of thes ating ations", TOP_K, stemmed=True).select("note_id", F.round("keyword", 6).alias("keyword"))
+    return lexical.search(_texts(spark, sf_dir), "ering nations of thes ating ations", TOP_K).select("note_id", F.round("keyword", 6).alias("keyword"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ def focus_section(spark, sf_dir):
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of the flagship query: the best of each channel, with both scores."""
     asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).select("embedding").scalar()
-    return hybrid.candidates(_texts(spark, sf_dir), _vectors(spark, sf_dir), QUERY, asked, TOP_K).join(notes_view(spark, sf_dir).drop("body"), "note_id")
+    return hybrid.candidates(_texts(spark, sf_dir), _vectors(spark, sf_dir), QUERY, asked, TOP_K, stemmed=False).join(notes_view(spark, sf_dir).drop("body"), "note_id")
 
 
 _FOUND = f"WITH {_NOTES}, {_TOKENS}, {_KW}, {_SEM}, {_CAND}"
@@ -308,7 +308,7 @@ def _search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     # The query's vector is a scalar subquery, so the search is one plan and starts no job.
     asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).select("embedding").scalar()
     notes = notes_view(spark, sf_dir).withColumn("group_id", F.col("folder"))
-    return hybrid.retrieve(notes, _vectors(spark, sf_dir), QUERY, asked, params, texts=_texts(spark, sf_dir), **options)
+    return hybrid.retrieve(notes, _vectors(spark, sf_dir), QUERY, asked, params, texts=_texts(spark, sf_dir), stemmed=False, **options)
 
 
 _HYBRID = f"WITH {_NOTES}, {_TOKENS}, {_KW}, {_SEM}, {_CAND}, {_rrf_sql('cand', 'f')}"
@@ -356,7 +356,7 @@ def _section_search(spark: SparkSession, sf_dir: str, mixed: bool) -> DataFrame:
     rows, vectors = _turns(spark, sf_dir)
     asked = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == QUERY_NOTE).select("embedding").scalar()
     params = ranking.SearchParams(top_k=TOP_K, n_results=RESULTS)
-    out = hybrid.retrieve(rows, vectors, QUERY, asked, params, mixed=mixed, key="entry_id", group="note_id", lexical_text="lexical")
+    out = hybrid.retrieve(rows, vectors, QUERY, asked, params, mixed=mixed, key="entry_id", group="note_id", lexical_text="lexical", stemmed=False)
     return out.select("entry_id", "note_id", F.round("final", 4).alias("final"))
 
 
@@ -453,7 +453,7 @@ def neighbor_rrf(spark, sf_dir):
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lexical.search(_texts(spark, sf_dir), QUERY, 30).select(F.lit("title").alias("channel"), "note_id", F.col("keyword").alias("score"))
+    words = lexical.search(_texts(spark, sf_dir), QUERY, 30, stemmed=False).select(F.lit("title").alias("channel"), "note_id", F.col("keyword").alias("score"))
     near = dense.nearest(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 30, "note_id").select(F.lit("body").alias("channel"), "note_id", dense.similarity(F.col("distance")).alias("score"))
     hits = words.unionByName(near)
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), "note_id")))

@@ -14,7 +14,7 @@ from ..operators import dense, evidence, fusion, lexical, ranking
 GRANULARITIES = ("document", "section", "mixed")
 
 
-def candidates(texts: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | Column, top_k: int, key: str = "note_id", text: str = "body", stemmed: bool = False) -> DataFrame:
+def candidates(texts: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | Column, top_k: int, key: str = "note_id", text: str = "body", stemmed: bool = True) -> DataFrame:
     """key, semantic (0 beyond its top-k) and keyword of the rows in either top-k.
 
     One pass over the texts for their statistics, one for their scores, and one over the
@@ -32,7 +32,7 @@ def candidates(texts: DataFrame, vectors: DataFrame, query: str, vector: Sequenc
 
 
 def retrieve(notes: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | Column, params: ranking.SearchParams, allowed: Column | None = None,
-             now: Column | None = None, mixed: bool = False, provider: Callable[[list[str]], list[float]] | None = None, stemmed: bool = False, texts: DataFrame | None = None,
+             now: Column | None = None, mixed: bool = False, provider: Callable[[list[str]], list[float]] | None = None, stemmed: bool = True, texts: DataFrame | None = None,
              key: str = "note_id", group: str = "group_id", lexical_text: str = "body") -> DataFrame:
     """key, semantic, keyword, fused, reranker, rerank_rank, freshness, relevance, final and place of the results.
 

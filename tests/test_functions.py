@@ -55,6 +55,11 @@ def test_stems():
     # Words and stems of the paper.
     pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun activate activ homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll"
     words = pairs.split()
+    assert {w: porter.stem(w, extended=False) for w in words[::2]} == dict(zip(words[::2], words[1::2], strict=True))
+    # Of these only "ties" has another stem by the extended rules.
+    assert {w for w, x in zip(words[::2], words[1::2], strict=True) if porter.stem(w) != x} == {"ties"}
+    more = "ties tie flies fli dies die died die cried cri spied spi enjoy enjoy say say by by cry cri dying die news news proceed proceed geology geolog hopefully hope normally normal possibly possibl happily happili skies sky aged age"
+    words = more.split()
     assert {w: porter.stem(w) for w in words[::2]} == dict(zip(words[::2], words[1::2], strict=True))
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions.porter import stem
 from quillspark.operators import chunking, dense, edits, enrich, fusion, health, lexical, links, providers, ranking, summaries, sync, synthesis
 from quillspark.sources import notes
 from quillspark.streaming import incremental
@@ -26,6 +27,15 @@ def test_bm25_against_loop(spark):
     assert {r.keyword for r in lexical.scored(rows, []).collect()} == {0.0}
 
 
+def test_stemmed_search(spark):
+    docs = ["Running runs", "the runner ran a relation", "relational relations relate", "Dying news", "none of it"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "note_id int, body string")
+    plain = [[stem(w) for w in d.lower().split() if w not in lexical.T.STOP_WORDS] for d in docs]
+    assert [r.tokens for r in lexical.tokenized(rows, stemmed=True).orderBy("note_id").collect()] == plain
+    assert lexical.query_terms("Relations, dying", stemmed=True) == ["relat", "die"]
+    assert {r.note_id for r in lexical.search(rows, "relation run", 5).collect() if r.keyword > 0} == {0, 1, 2}
+
+
 def test_fusion_values(spark):
     rows = spark.createDataFrame([("a", 2.0, 1.0), ("b", 2.0, 5.0), ("c", 1.0, 3.0)], "note_id string, semantic double, keyword double")
     got = {r.note_id: r.fused for r in fusion.rrf(rows).collect()}
