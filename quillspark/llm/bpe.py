@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import KEY, hold_batches, join_rows, keyed, stored
+from .tables import KEY, hold_batches, join_rows, keyed, rested, stored
 from .textbuf import buffers, slices, word_hashes
 from .vocab import BYTE_BPE_JSON, path_of, pieces_of_json, read
 
@@ -90,7 +90,7 @@ def word_table(docs: DataFrame, text: str, special: list[str], raw: Broadcast) -
     """word, class (by its count) and ids of every word that occurs twice or more, each encoded once."""
     found = docs.select(F.explode(words(F.col(text), special)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = found.select("word", F.floor(F.log2("n") * _CLASSES).cast("int").alias("class"))
-    return stored(rows.mapInArrow(_encode_words(raw), "word string, class int, ids array<int>"), "bpe-words")[0]
+    return stored(rows.mapInArrow(rested(_encode_words(raw)), "word string, class int, ids array<int>"), "bpe-words")[0]
 
 
 def least_class(table: DataFrame, limit: int) -> tuple[int, bool]:
@@ -249,14 +249,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenize
     cut = words(F.col("text"), special).alias("words")
     if more:
         own = keyed(rows, "doc_id")
-        spots = own.select(KEY, cut).mapInArrow(_unknown(sent), f"{KEY} {dict(own.dtypes)[KEY]}, pos int, word string")
+        spots = own.select(KEY, cut).mapInArrow(rested(_unknown(sent)), f"{KEY} {dict(own.dtypes)[KEY]}, pos int, word string")
         joined = spots.join(every.filter(F.col("class") < least).select("word", "ids"), "word")
         holes = joined.groupBy(KEY).agg(F.collect_set(F.struct("pos", "ids")).alias("holes"))  # rows that are equal have equal holes
         texts = join_rows(own, holes, "bpe-holes", "left").select("doc_id", cut, "holes")
     else:
         texts = rows.select("doc_id", cut)
     pieces = spark.sparkContext.broadcast(pieces_of_json(content)) if decoded else None
-    return texts.mapInArrow(_encode(raw, sent, pieces), f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
+    return texts.mapInArrow(rested(_encode(raw, sent, pieces)), f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def _decode(pieces: Broadcast):
@@ -289,7 +289,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """
     pieces = encoded.sparkSession.sparkContext.broadcast(pieces_of_json(read(tokenizer or path_of(BYTE_BPE_JSON))))
     kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(pieces), f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(rested(_decode(pieces)), f"doc_id {kind}, ids array<int>, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

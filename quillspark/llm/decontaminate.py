@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import KEY, broadcast_measured, hold_batches, join_rows, keyed, stored
+from .tables import KEY, broadcast_measured, hold_batches, join_rows, keyed, rested, stored
 from .textbuf import buffers, gap_table, run_hashes, slices, spans, word_hashes
 
 #: Lower-cases A-Z and turns every separator into a space.
@@ -160,16 +160,16 @@ def _hits(rows: DataFrame, items: DataFrame, window: int, shingle: int, item_id:
     hold_batches(rows.sparkSession)
     sc = rows.sparkSession.sparkContext
     listed = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("None")).alias("item"), F.col(item_text).alias("text"))
-    made, _ = stored(listed.mapInArrow(_item_windows(window, shingle), "item string, words string, w int, shingles array<long>"), "leaks-windows")
+    made, _ = stored(listed.mapInArrow(rested(_item_windows(window, shingle)), "item string, words string, w int, shingles array<long>"), "leaks-windows")
     windows = made.dropDuplicates(["words"]).select("words", "w", F.posexplode("shingles").alias("place", "shingle"))
     # The order of rarity: how often each shingle of a window occurs in all texts.
     every, _ = stored(windows.select("w", "shingle").distinct(), "leaks-shingles")
-    told = rows.select("text").mapInArrow(_count(sc.broadcast(_Bits(every))), "w int, shingle long, n long")
+    told = rows.select("text").mapInArrow(rested(_count(sc.broadcast(_Bits(every)))), "w int, shingle long, n long")
     counts, _ = stored(told.join(every, ["w", "shingle"], "left_semi").groupBy("w", "shingle").agg(F.sum("n").alias("n")), "leaks-counts")
     # A window of which a shingle never occurs is not there at all; of the others the rarest shingle is the prefix.
     least = windows.join(counts, ["w", "shingle"], "left").groupBy("words", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place")).alias("p"))
     prefix, _ = stored(least.filter("p.n > 0").select("words", "w", "p.shingle", "p.place", F.size(F.split("words", " ")).alias("n")), "leaks-prefix")
-    found = rows.mapInArrow(_find(sc.broadcast(_Bits(prefix.select("w", "shingle"))), window), f"{KEY} {dict(rows.dtypes)[KEY]}, n_words long, found array<struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>>")
+    found = rows.mapInArrow(rested(_find(sc.broadcast(_Bits(prefix.select("w", "shingle"))), window)), f"{KEY} {dict(rows.dtypes)[KEY]}, n_words long, found array<struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>>")
     found, _ = stored(found, "leaks-found")
     spots = found.select(KEY, "n_words", F.explode("found").alias("f")).select(KEY, "n_words", "f.*")
     met = spots.join(broadcast_measured(prefix, "leaks-sent"), ["w", "shingle"])

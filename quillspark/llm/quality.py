@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import hold_batches, stored
+from .tables import hold_batches, rested, stored
 from .textbuf import buffers, mix, slices, word_hashes
 
 #: Most labelled documents that are learnt from, and most bytes of their texts.
@@ -245,11 +245,11 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str
     hold_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(sent), f"doc_id {kind}, score double")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rested(_score(sent)), f"doc_id {kind}, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that are predicted good, with all their columns; each by its own text."""
     hold_batches(docs.sparkSession)
-    return docs.mapInArrow(_good(docs.sparkSession.sparkContext.broadcast(model), text, THRESHOLD), docs.schema)
+    return docs.mapInArrow(rested(_good(docs.sparkSession.sparkContext.broadcast(model), text, THRESHOLD)), docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import broadcast_measured, hold_batches, join_measured, shuffle_partitions, stored
+from .tables import broadcast_measured, hold_batches, join_measured, rested, shuffle_partitions, stored
 from .textbuf import covered, intervals
 
 #: Text, in bytes, whose windows one reducing call holds; more text means more hash ranges.
@@ -172,7 +172,7 @@ def merged(runs: DataFrame, length: int, kinds: dict[str, type]) -> DataFrame:
 
     ``runs`` has the columns of ``runs_schema``; there are as many buckets as hash ranges.
     """
-    return runs.groupBy("bucket").applyInArrow(_merge(kinds, length), MERGED)
+    return runs.groupBy("bucket").applyInArrow(rested(_merge(kinds, length)), MERGED)
 
 
 def brute_force(rows: Sequence[tuple[int | None, Sequence]], length: int) -> list[np.ndarray]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import KEY, all_but_least, broadcast_measured, drop, hold_batches, keyed, shuffle_partitions, stored
+from .tables import KEY, all_but_least, broadcast_measured, drop, hold_batches, keyed, rested, shuffle_partitions, stored
 from .textbuf import WHITE, buffers, slices, spans
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     """doc_id and fp (the fingerprint's 64 bits as a long) of every document."""
     hold_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints(shingle, seed), f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rested(_fingerprints(shingle, seed)), f"doc_id {kind}, fp long")
 
 
 def segment_radii(segments: tuple[int, ...], radius: int) -> list[int]:
@@ -255,15 +255,15 @@ def links(points: DataFrame, radius: int = RADIUS, segments: tuple[int, ...] = S
     """
     spark = points.sparkSession
     rows = "key long, fp long, own boolean"
-    own = points.mapInArrow(_probes(segments, radius, around=False), rows)
+    own = points.mapInArrow(rested(_probes(segments, radius, around=False)), rows)
     # Fewer rows than fingerprints / block.
     busy = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("shares"))
-    probes = points.mapInArrow(_probes(segments, radius), rows).join(broadcast_measured(busy, "simhash-busy"), "key", "left")
+    probes = points.mapInArrow(rested(_probes(segments, radius)), rows).join(broadcast_measured(busy, "simhash-busy"), "key", "left")
     shares = F.coalesce("shares", F.lit(1))
     dealt = probes.select("key", "fp", "own", shares.alias("shares"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"))
     dealt = dealt.select("key", "salt", "fp", (F.col("own") & (F.pmod(F.xxhash64("fp"), F.col("shares")) == F.col("salt"))).alias("own"))
     met = dealt.repartition(shuffle_partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", F.desc("own"))
-    return met.mapInArrow(_verify(radius), "a long, b long").distinct()
+    return met.mapInArrow(rested(_verify(radius)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, path = stored(edges.select("a", "b"), "components")
     n = now.count()
-    now, new = stored(now.repartition(max(1, -(-n // THINNED))).mapInArrow(_thin, "a long, b long"), "components")
+    now, new = stored(now.repartition(max(1, -(-n // THINNED))).mapInArrow(rested(_thin), "a long, b long"), "components")
     drop(now.sparkSession, path)
     path = new
     # Up to THINNED edges are one forest by now, and then there is nothing to contract.

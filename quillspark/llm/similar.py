@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simhash import RADIUS, SEGMENTS, components, links
-from .tables import KEY, broadcast_measured, hold_batches, join_rows, keyed, shuffle_partitions, stored
+from .tables import KEY, broadcast_measured, hold_batches, join_rows, keyed, rested, shuffle_partitions, stored
 from .textbuf import ASCII_LOWER, WHITE, buffers, mix, run_hashes, slices, spans, word_hashes
 
 #: Words of a shingle.
@@ -207,7 +207,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     hold_batches(spark)
     texts = keyed(docs, id_col).select(KEY, F.col(text).alias("text"))
     kind = dict(texts.dtypes)[KEY]
-    marked, _ = stored(texts.mapInArrow(_signatures(shingle), f"{KEY} {kind}, node long, n long, fp long, bands array<long>"), "similar-signatures")
+    marked, _ = stored(texts.mapInArrow(rested(_signatures(shingle)), f"{KEY} {kind}, node long, n long, fp long, bands array<long>"), "similar-signatures")
     # Fingerprints within the radius, by the fingerprint's smallest node.
     reps, _ = stored(marked.groupBy("fp").agg(F.min("node").alias("rep")), "similar-fingerprints")
     close = links(reps.select("fp"), radius, segments).join(reps.withColumnsRenamed({"fp": "a", "rep": "one"}), "a").join(reps.withColumnsRenamed({"fp": "b", "rep": "two"}), "b")
@@ -222,9 +222,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     large = met.groupBy("root").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks")).filter("blocks > 1")
     met = met.join(broadcast_measured(large, "similar-large"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.select(KEY, "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    sets = join_rows(texts, met, "similar-met").select("text", "root", "node", "block", "blocks").mapInArrow(_sets(shingle), "root long, node long, block int, blocks int, shingles binary")
+    sets = join_rows(texts, met, "similar-met").select("text", "root", "node", "block", "blocks").mapInArrow(rested(_sets(shingle)), "root long, node long, block int, blocks int, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     dealt = sets.select("root", "node", "block", "shingles", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "node", "block", "shingles")
-    found = dealt.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "block").mapInArrow(_compare(similar), "a long, b long")
+    found = dealt.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "block").mapInArrow(rested(_compare(similar)), "a long, b long")
     verified, _ = stored(components(found), "similar-roots")
     return marked.select(KEY, "node").join(verified, "node", "left").select(KEY, F.coalesce("root", "node").alias("component"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .removal import BATCH_BYTES, DOCUMENT, SOURCED, as_runs, binary_column, group_starts, joined, merged, numbered, pack_runs, part_of, runs_schema, runs_table, with_spans
-from .tables import broadcast_measured, stored
+from .tables import broadcast_measured, rested, stored
 from .textbuf import WHITE, buffers, run_hashes, slices, spans, word_hashes
 
 #: Words of a window.
@@ -184,14 +184,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wrong(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """Removed runs whose words are not those of the document that keeps them."""
     runs, _ = stored(
-        found.select(*DOCUMENT, "proof").mapInArrow(_proofs(window), "doc_id long, copy long, at int, n int, source_doc long, source_copy long, source_at int"), "substring-runs"
+        found.select(*DOCUMENT, "proof").mapInArrow(rested(_proofs(window)), "doc_id long, copy long, at int, n int, source_doc long, source_copy long, source_at int"), "substring-runs"
     )
     source = {"doc_id": "source_doc", "copy": "source_copy", "at": "source_at", "n": "n"}
     spots = runs.select(*source).unionByName(runs.select(*(F.col(v).alias(k) for k, v in source.items()))).distinct()
     # A document is asked for each of its runs once, however many documents have them.
     asks = spots.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("at", "n")).alias("asks"))
     asked = rows.join(broadcast_measured(asks, "substring-asks"), list(DOCUMENT)).select(*DOCUMENT, "text", "asks")
-    told, _ = stored(asked.mapInArrow(_digests, "doc_id long, copy long, at int, n int, digest binary").distinct(), "substring-digests")
+    told, _ = stored(asked.mapInArrow(rested(_digests), "doc_id long, copy long, at int, n int, digest binary").distinct(), "substring-digests")
     kept = told.select(*(F.col(k).alias(v) for k, v in source.items()), F.col("digest").alias("source_digest"))
     both = runs.join(told, [*DOCUMENT, "at", "n"]).join(kept, [*source.values()])
     return both.filter("digest <> source_digest")
@@ -202,8 +202,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     rows, parts, size = numbered(docs, id_col, text)
     wide = np.uint16 if size < WIDE_BYTES else np.uint32
     for again in itertools.count(seed):
-        sent = rows.mapInArrow(_send(window, parts, again, wide), _SENT)
-        found, _ = stored(merged(sent.groupBy("part").applyInArrow(_settle(parts, wide), runs_schema(SOURCED)), window, SOURCED), "substring-found")
+        sent = rows.mapInArrow(rested(_send(window, parts, again, wide)), _SENT)
+        found, _ = stored(merged(sent.groupBy("part").applyInArrow(rested(_settle(parts, wide)), runs_schema(SOURCED)), window, SOURCED), "substring-found")
         if _wrong(rows, found, window).isEmpty():
             return found
     raise AssertionError
@@ -241,4 +241,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     kind = dict(docs.dtypes)[id_col]
     both = with_spans(docs, id_col, text, repeated(docs, id_col, text, window), "substring-spans")
-    return both.mapInArrow(_cut, f"doc_id {kind}, n_words long, n_removed long, spans binary, kept string")
+    return both.mapInArrow(rested(_cut), f"doc_id {kind}, n_words long, n_removed long, spans binary, kept string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .removal import BATCH_BYTES, DOCUMENT, RUNS, as_runs, group_starts, merged, numbered, pack_runs, part_of, runs_schema, runs_table, with_spans
-from .tables import stored
+from .tables import rested, stored
 from .textbuf import buffers, mix, run_hashes, slices
 
 #: Bytes of a compared string, of the q-gram it is filed under, and of an initial bucket's q-gram.
@@ -289,8 +289,8 @@ def _settle(length: int, gram: int, parts: int):
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The columns of ``removal.MERGED`` of what a smaller document has too; spans are pairs of first and last + 1 byte."""
     rows, parts, _ = numbered(docs, id_col, text)
-    sent = rows.mapInArrow(_send(length, gram, parts), _SENT)
-    return stored(merged(sent.groupBy("part").applyInArrow(_settle(length, gram, parts), runs_schema(RUNS)), length, RUNS), "suffix-found")[0]
+    sent = rows.mapInArrow(rested(_send(length, gram, parts)), _SENT)
+    return stored(merged(sent.groupBy("part").applyInArrow(rested(_settle(length, gram, parts)), runs_schema(RUNS)), length, RUNS), "suffix-found")[0]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,4 +326,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     """
     kind = dict(docs.dtypes)[id_col]
     both = with_spans(docs, id_col, text, repeated(docs, id_col, text, length), "suffix-spans")
-    return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans binary, kept binary")
+    return both.mapInArrow(rested(_cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans binary, kept binary")

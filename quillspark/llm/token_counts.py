@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import hold_batches
+from .tables import hold_batches, rested
 from .vocab import BYTE_BPE_RANKS, path_of, pieces_of_ranks, read
 
 #: Words remembered by a worker; beyond it the memory is emptied and filled anew.
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vo
     hold_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of_ranks(read(vocabulary or path_of(BYTE_BPE_RANKS))))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_count(pieces, start), f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rested(_count(pieces, start)), f"doc_id {kind}, n_words long, n_tokens long")
 
 
 def greedy(word: bytes, pieces: set[bytes]) -> int:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import hold_batches, join_measured, new_path, stored
+from .tables import hold_batches, join_measured, new_path, rested, stored
 
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
@@ -183,7 +183,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     """
     hold_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_parse(with_payload), _RECORD_DDL)
+    return files.mapInArrow(rested(_parse(with_payload)), _RECORD_DDL)
 
 
 def captures(records: DataFrame) -> DataFrame:
