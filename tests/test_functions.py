@@ -66,8 +66,9 @@ def test_stems():
 def test_frontmatter(spark):
     raws = ["---\nid: 7\ntags: [a, ' b ']\naliases: One\ncreated: 2024-01-02\n---\n\nbody\n---\n", "plain", "---\n- list\n---\nx", "---\nbad: [\n---\nx", "---\ntags: a, b\n---\n", "---\nnever closed\n"]
     raw = F.col("raw")
-    rows = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string").select("k", frontmatter.body(raw).alias("body"), frontmatter.as_json(frontmatter.block(raw)).alias("f"))
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string").withColumn("f", frontmatter.as_json(frontmatter.block(raw))).select("k", frontmatter.body(raw, F.col("f")).alias("body"), "f")
     got = rows.select("k", "body", "f", frontmatter.tags_of(F.col("f")).alias("tags"), frontmatter.aliases_of(F.col("f")).alias("aliases"), frontmatter.when_field(F.col("f"), "date", "created").alias("date")).orderBy("k").collect()
     assert got[0].body == "body\n---\n" and got[0].tags == ["a", "b"] and got[0].aliases == ["One"] and got[0].date == "2024-01-02"
-    assert [r.body for r in got[1:]] == ["plain", "x", "x", "", "---\nnever closed\n"]
-    assert got[2].f is None and got[3].f is None and got[4].tags == ["a", "b"]
+    # A list is YAML without fields; a block that is no YAML stays where it is.
+    assert [r.body for r in got[1:]] == ["plain", "x", raws[3], "", "---\nnever closed\n"]
+    assert got[1].f == got[2].f == "{}" and got[3].f is None and got[4].tags == ["a", "b"]
