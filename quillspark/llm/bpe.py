@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import KEY, hold_batches, join_rows, keyed, rested, stored
+from .tables import KEY, give_back, hold_batches, join_rows, keyed, rested, stored
 from .textbuf import buffers, slices, word_hashes
 from .vocab import BYTE_BPE_JSON, path_of, pieces_of_json, read
 
@@ -38,7 +38,7 @@ TABLE_BYTES = 64 << 20
 _CLASSES = 4
 
 #: Text, in bytes, that is encoded or decoded at once; words of the table that are hashed at once.
-PART_BYTES, STEP = 1 << 20, 1 << 15
+PART_BYTES, STEP = 512 << 10, 1 << 15
 
 
 def words(text: Column, special: list[str]) -> Column:
@@ -112,13 +112,19 @@ class _Words:
     def __init__(self, raw: bytes) -> None:
         # One chunk, read in place.
         with pa.ipc.open_stream(raw) as stream:
-            known = stream.read_next_batch()
-        self.data, self.offs = buffers(known.column("word"))
+            known = stream.read_next_batch()  # not a slice, so offsets begin with 0
+        self.data, _ = buffers(known.column("word"))
+        self.offs = np.frombuffer(known.column("word").buffers()[1], np.int32)[: known.num_rows + 1]
         # Hashing takes many times the bytes of the words, so it goes by runs of words.
         steps = range(0, len(self.offs) - 1, STEP)
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(self.data, self.offs[k : k + STEP + 1][:-1], self.offs[k : k + STEP + 1][1:]) for k in steps)])
+        hashes = np.empty(known.num_rows, np.uint64)
+        for k in steps:
+            own = self.offs[k : k + STEP + 1]
+            hashes[k : k + len(own) - 1] = word_hashes(self.data, own[:-1], own[1:])
         self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
+        del hashes
+        give_back()
         self.starts = known.column("ids").offsets.to_numpy()
         self.ids = known.column("ids").values.to_numpy()
 

@@ -134,7 +134,7 @@ def hold_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
-def _rest() -> None:
+def give_back() -> None:
     """Give memory that is no longer used back to the machine."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -154,7 +154,7 @@ def rested(f: Callable) -> Callable:
             try:
                 return f(table)
             finally:
-                _rest()
+                give_back()
 
         return whole
 
@@ -162,7 +162,7 @@ def rested(f: Callable) -> Callable:
         try:
             yield from f(batches)
         finally:
-            _rest()
+            give_back()
 
     return run
 
