@@ -10,6 +10,7 @@ single position and is encoded there.  Decoding joins the pieces of the vocabula
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -60,7 +61,9 @@ def _special(content: bytes) -> list[str]:
     return [t["content"] for t in added]
 
 
+@functools.lru_cache(1)
 def _tokenizer(raw: bytes):
+    """The tokenizer of a file, made once in a process: one that is made anew for each task leaves memory behind."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
